@@ -4,9 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from pyspark.sql import functions as F
+
+from .common import Scratch, table
 from .exact_dedup import exact_dedup
 from .sharding import histogram_shards
+from .warc import read_archives, resolved, write_archives
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), scratch.path("archives"))
+    records = scratch.stage(read_archives(spark, scratch.path("archives")), "records")
+    return resolved(records).select(
+        "page_id", F.col("payload_bytes").cast("long").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), F.col("refers_to_page").alias("refers_to"),
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +30,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op7_exact_dedup, op8_sharding)}
 
 ORACLE_SQL = {
+    "op1_warc_revisits": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT h, max(page_id) AS keep FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+        SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+            CASE WHEN g.keep IS NOT NULL AND g.keep <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN g.keep <> p.page_id THEN g.keep END AS refers_to
+        FROM p LEFT JOIN g ON p.h = g.h
+    """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
