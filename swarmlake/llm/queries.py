@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .exact_dedup import exact_dedup
+from .fm_index import find_spans
 from .sharding import histogram_shards
 from .warc import read_archives, resolved, write_archives
 
@@ -22,6 +23,14 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,7 +39,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op7_exact_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_benchmark_decontamination, op7_exact_dedup, op8_sharding)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
