@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .exact_dedup import exact_dedup
 from .fm_index import find_spans
+from .packing import pack
 from .sharding import histogram_shards
 from .warc import read_archives, resolved, write_archives
 
@@ -31,6 +33,16 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Digest columns of the packed pieces; also the last stage of the pipeline."""
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,7 +51,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_benchmark_decontamination, op7_exact_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
