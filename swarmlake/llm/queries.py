@@ -11,6 +11,7 @@ from .common import Scratch, table
 from .exact_dedup import exact_dedup
 from .fm_index import find_spans
 from .packing import pack
+from .prob_minhash import near_duplicates
 from .sharding import histogram_shards
 from .warc import read_archives, resolved, write_archives
 
@@ -47,11 +48,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
