@@ -9,62 +9,125 @@ document that fits nowhere is cut, first into the sequence of the lowest cost.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
 
+# Fixed value: how the word-end tokenizers cut a text, lower-cased, before the merges.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Texts of characters below U+0300 hold no combining marks: lower-casing and cutting them at spaces
 # before the tokenizer does both gives the same ids.
-OTHER = re.compile("[^\x00-˿]")
+OTHER = re.compile("[^\x00-\u02ff]")
+
+
+class Numbered(dict):
+    """Gives every new key the next number."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+    def since(self, n: int) -> list:
+        """Keys numbered n and above."""
+        new = list(islice(reversed(self), len(self) - n))
+        new.reverse()
+        return new
+
+
+class Ragged:
+    """Rows of 32-bit numbers, one after another, in a buffer that grows."""
+
+    def __init__(self):
+        self.n, self.ids, self.ends = 0, np.zeros(1 << 12, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, rows: list[bytes]) -> None:
+        new = np.frombuffer(b"".join(rows), np.uint32)
+        while self.n + len(new) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.n : self.n + len(new)] = new
+        self.n += len(new)
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // 4)))
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        start = self.ends[rows]
+        size = self.ends[rows + 1] - start
+        ends = np.cumsum(size)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
 
 
 class WordCache:
-    """Ids of texts by a tokenizers file that drops white space; words are encoded once and kept.
+    """Ids of texts by a tokenizers file. With a vocabulary that marks word ends and drops white
+    space, words are encoded once and kept, and texts are put together from their words.
 
     Only the speed depends on the cache: it is emptied when it holds `limit` words.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(found.ids, np.uint32).tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1)) * 4
-        self.known.update(zip(new, (raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), strict=True))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merges, self.limit = Tokenizer.from_file(path), Tokenizer.from_file(path), limit
+        self.tokenizer.encode_special_tokens = self.merges.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        self.by_word = made["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and json.dumps(CUTS) in json.dumps(made["pre_tokenizer"])
+        if self.by_word:  # the pieces of CUTS need the merges only
+            self.merges.normalizer = None
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cut = regex.compile(CUTS).findall
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.ids = Numbered(), Ragged()
+        self.pieces, self.of_piece = Numbered(), []
+
+    def _learn(self, n: int) -> None:
+        """Encodes the words numbered n and above."""
+        known, number = len(self.pieces), self.pieces.__getitem__
+        cut = [(number(w),) if w.isalpha() else tuple(map(number, self.cut(w))) for w in self.words.since(n)]
+        if len(self.pieces) > known:
+            found = np.array(self.merges.encode_batch_fast([" ".join(self.pieces.since(known))], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (np.flatnonzero(self.last[found]) + 1) * 4
+            if len(ends) != len(self.pieces) - known:
+                raise ValueError("every piece of a word ends in a token that marks its end")
+            raw, starts = found.tobytes(), [0, *ends[:-1].tolist()]
+            self.of_piece.extend(raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True))
+        ids = self.of_piece
+        self.ids.add([ids[c[0]] if len(c) == 1 else b"".join([ids[i] for i in c]) for c in cut])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain = []
+        out: list[bytes] = [b""] * len(texts)
+        if len(self.words) > self.limit:
+            self._clear()
+        known, number, plain, rest = len(self.words), self.words.__getitem__, [], []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = b""
-            elif OTHER.search(text) or "<|" in text:
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            if not self.by_word or OTHER.search(text):
+                rest.append(i)
             else:
-                plain.append((i, text.lower().replace("\n", " ").split(" ")))
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        new = list(set().union(*(w for _, w in plain)) - self.known.keys())
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        for i, w in plain:
-            out[i] = b"".join(map(get, w))
+                plain.append((i, np.fromiter(map(number, text.lower().replace("\n", " ").split(" ")), np.int64)))
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
+        if len(self.words) > known:
+            self._learn(known)
+        for i, words in plain:
+            out[i] = self.ids.take(words).astype("<u4", copy=False).tobytes()
         return out
 
 
