@@ -13,6 +13,7 @@ from .fm_index import find_spans
 from .packing import pack
 from .prob_minhash import near_duplicates
 from .sharding import histogram_shards
+from .toxicity import score_toxicity
 from .warc import read_archives, resolved, write_archives
 
 
@@ -26,6 +27,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -56,7 +61,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
