@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .exact_dedup import exact_dedup
 from .fm_index import find_spans
+from .html_extract import extract_text
 from .packing import pack
 from .prob_minhash import near_duplicates
 from .sharding import histogram_shards
@@ -61,7 +62,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
