@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
+from .chat import digests, format_events, message_events
 from .exact_dedup import exact_dedup
 from .fm_index import find_spans
 from .html_extract import extract_text
 from .packing import pack
 from .prob_minhash import near_duplicates
+from .quality import score_quality
 from .sharding import histogram_shards
 from .toxicity import score_toxicity
 from .warc import read_archives, resolved, write_archives
@@ -40,6 +42,13 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(format_events(message_events(rows)))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -50,6 +59,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -66,7 +79,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op5_packing, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_packing, op6_quality_classifier, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction)}
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
@@ -77,6 +90,16 @@ ORACLE_SQL = {
             CASE WHEN g.keep <> p.page_id THEN g.keep END AS refers_to
         FROM p LEFT JOIN g ON p.h = g.h
     """,
+    "op4_chat_formatting": """
+        WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        esc AS (SELECT *, replace(replace(text, '\\', '\\\\'), '<', '\\<') AS body FROM said)
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(length(role) + length(body) + length('<turn >') + length('</turn>') + 2)::BIGINT AS formatted_chars
+        FROM esc GROUP BY conv_id
+    """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
