@@ -2,5 +2,607 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify as cls
+from ..functions import format as fmt
+from ..functions.text import STOPWORDS, index_tokens
+from ..operators import catalog, routing, search
+from ..schema import CATEGORIES, DISPLAY_ORDER, ENTRY
+from ..sources import codecs, datasource
+from ..streaming import ingest
+from . import corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# Parts of the checking SQL.
+CLASSIFIED = f"cat AS ({cls.category_sql('torrents', 'infohash')}), known AS (SELECT * FROM cat JOIN (SELECT infohash, o_orderkey FROM torrents) USING (infohash) WHERE o_orderkey % 10 <> 3)"
+LABELS = "lab(code, label) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CATEGORIES)) + ")"
+ROW = "infohash, name, size, coalesce(label, 'other') AS category, discovered_at + 1577836800 AS discovered_at"
+TOKENS = "tok AS (SELECT DISTINCT infohash, token FROM (SELECT infohash, unnest(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]')) AS token FROM docs) WHERE strlen(token) >= 2 AND token NOT IN (" + ", ".join(f"'{w}'" for w in STOPWORDS) + "))"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; `sql` follows the catalog's common table expressions."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {corpus.SQL}{sql}"
+        return f
+
+    return add
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; on one machine without a setting, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="swarmlake-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and categories; every tenth entry is not classified yet."""
+    t = corpus.torrents(spark, sf_dir)
+    return t, catalog.classify(t.filter("o_orderkey % 10 <> 3"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = corpus.document_entries(spark, sf_dir)
+    codes = d.filter("size % 4 <> 1").select("infohash", (F.col("size") % 11).cast("tinyint").alias("category"))
+    return d, codes, catalog.postings(d)
+
+
+DOC_CODES = "dcat AS (SELECT infohash, size % 11 AS category FROM docs WHERE size % 4 <> 1)"
+
+
+def _search_sql(tokens: list[str], where: str = "true", limit: int = 20, offset: int = 0, cap: int | None = None) -> str:
+    source = "tok" if cap is None else f"(SELECT * FROM tok WHERE token IN ({', '.join(map(repr, tokens))}) QUALIFY row_number() OVER (PARTITION BY token ORDER BY infohash) <= {cap})"
+    return f""", {TOKENS}, {LABELS}, {DOC_CODES}, hit AS (SELECT infohash FROM {source} WHERE token IN ({", ".join(map(repr, tokens))}) GROUP BY infohash HAVING count(DISTINCT token) = {len(tokens)})
+        SELECT {ROW} FROM docs JOIN hit USING (infohash) LEFT JOIN dcat USING (infohash) LEFT JOIN lab ON code = category WHERE {where}
+        ORDER BY docs.discovered_at DESC, infohash DESC LIMIT {limit} OFFSET {offset}"""
+
+
+# --- text and classifier
+
+
+@query(f", {TOKENS} SELECT infohash, token FROM tok")
+def tokenize(spark, sf_dir):
+    return catalog.postings(corpus.document_entries(spark, sf_dir)).select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "token")
+
+
+@query(f", {TOKENS} SELECT token, count(*)::BIGINT AS df FROM tok GROUP BY token")
+def token_df(spark, sf_dir):
+    return catalog.postings(corpus.document_entries(spark, sf_dir)).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(" SELECT infohash, " + ", ".join(f"{s} AS s{i}" for i, s in enumerate(cls.scores_sql("name"))) + " FROM torrents")
+def classify_scores(spark, sf_dir):
+    s = corpus.torrents(spark, sf_dir).withColumn("s", cls.scores(F.col("name")))
+    return s.select(fmt.hex_lower(F.col("infohash")).alias("infohash"), *[F.col("s")[i].alias(f"s{i}") for i in range(11)])
+
+
+@query(f", {CLASSIFIED} SELECT infohash, category FROM cat")
+def classify(spark, sf_dir):
+    return catalog.classify(corpus.torrents(spark, sf_dir)).withColumn("infohash", fmt.hex_lower(F.col("infohash")))
+
+
+@query(f", {CLASSIFIED} SELECT category, count(*)::BIGINT AS n FROM cat GROUP BY category")
+def reclassify_full(spark, sf_dir):
+    return catalog.category_stats(catalog.classify(corpus.torrents(spark, sf_dir)))
+
+
+@query(f", {CLASSIFIED} SELECT infohash, category FROM cat WHERE infohash NOT IN (SELECT infohash FROM known)")
+def classify_incremental(spark, sf_dir):
+    t, known = _catalog(spark, sf_dir)
+    return catalog.classify(catalog.unclassified(t, known)).withColumn("infohash", fmt.hex_lower(F.col("infohash")))
+
+
+@query(f", {LABELS} SELECT k AS code, coalesce(label, 'other') AS label FROM (SELECT DISTINCT l_linenumber + 5 AS k FROM lineitem) LEFT JOIN lab ON code = k")
+def category_label(spark, sf_dir):
+    codes = corpus.table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") + 5).alias("code")).distinct()
+    return codes.select("code", cls.label(F.col("code")).alias("label"))
+
+
+@query(
+    ", ext(e, c, w) AS (VALUES " + ", ".join(f"('{e}', '{c}', {w}::DOUBLE)" for e, m in cls.EXTENSIONS.items() for c, w in m.items()) + ")"
+    " SELECT c AS category, count(*)::BIGINT AS n, round(sum(w), 4) AS weight FROM lineitem JOIN ext ON e = ['.mkv', '.mp3', '.pdf', '.exe', '.txt'][l_partkey % 5 + 1] GROUP BY c"
+)
+def ext_weights(spark, sf_dir):
+    ext = F.get(F.array(*map(F.lit, corpus.FILE_EXT)), (F.col("l_partkey") % 5).cast("int"))
+    weights = spark.createDataFrame([(e, c, w) for e, m in cls.EXTENSIONS.items() for c, w in m.items()], "e string, category string, w double")
+    lines = corpus.table(spark, sf_dir, "lineitem").select(ext.alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("k"))
+    return lines.join(F.broadcast(weights), "e").groupBy("category").agg(F.sum("k").alias("n"), F.round(F.sum(F.col("k") * F.col("w")), 4).alias("weight"))
+
+
+# --- listings and statistics
+
+
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
+def recent(spark, sf_dir):
+    return catalog.recent(*_catalog(spark, sf_dir))
+
+
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50 OFFSET 50")
+def recent_page2(spark, sf_dir):
+    return catalog.recent(*_catalog(spark, sf_dir), offset=50)
+
+
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category WHERE coalesce(category, 0) = 0 ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
+def recent_by_category(spark, sf_dir):
+    return catalog.recent(*_catalog(spark, sf_dir), category="other")
+
+
+@query(" SELECT count(*)::BIGINT AS total FROM torrents")
+def stats_total(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(f", {CLASSIFIED}, {LABELS} SELECT label AS category, count(*)::BIGINT AS n, list_position([{', '.join(map(repr, DISPLAY_ORDER))}], label) AS position FROM known JOIN lab ON code = category GROUP BY label")
+def stats_by_category(spark, sf_dir):
+    counts = catalog.category_stats(_catalog(spark, sf_dir)[1])
+    rank = F.array_position(F.array(*map(F.lit, DISPLAY_ORDER)), F.col("category")).cast("int")
+    return counts.select(cls.label(F.col("category").cast("int")).alias("category"), "n").withColumn("position", rank).orderBy("position")
+
+
+@query(f", {CLASSIFIED}, {LABELS} SELECT (SELECT count(*) FROM torrents)::BIGINT AS total, count(*)::BIGINT AS classified, count(DISTINCT category)::BIGINT AS categories FROM known")
+def stats(spark, sf_dir):
+    t, known = _catalog(spark, sf_dir)
+    counts = catalog.category_stats(known).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("classified"), F.count(F.lit(1)).alias("categories"))
+    return t.agg(F.count(F.lit(1)).alias("total")).join(counts)  # two single rows
+
+
+@query(" SELECT coalesce(max(discovered_at), 0)::BIGINT AS latest FROM torrents")
+def latest_ts(spark, sf_dir):
+    return catalog.latest_timestamp(corpus.torrents(spark, sf_dir))
+
+
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category WHERE infohash = sha1('o7')")
+def point_lookup(spark, sf_dir):
+    import hashlib
+
+    return catalog.point_lookup(*_catalog(spark, sf_dir), hashlib.sha1(b"o7").hexdigest())
+
+
+@query(" SELECT infohash, discovered_at, row_number() OVER (ORDER BY discovered_at, infohash)::BIGINT AS position FROM torrents WHERE discovered_at < 8640000")
+def scan_time_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = corpus.torrents(spark, sf_dir).filter("discovered_at < 8640000")
+    order = Window.orderBy("discovered_at", "infohash")  # a position in the whole scan, so one order over all its rows
+    return rows.select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "discovered_at", F.row_number().over(order).cast("long").alias("position"))
+
+
+@query(" SELECT infohash, discovered_at FROM torrents WHERE (discovered_at, infohash) > (86400000, sha1('o7')) ORDER BY discovered_at, infohash LIMIT 1000")
+def keyset_page(spark, sf_dir):
+    import hashlib
+
+    page = catalog.entries_after(corpus.torrents(spark, sf_dir), 86_400_000, hashlib.sha1(b"o7").digest(), 1000)
+    return page.select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "discovered_at")
+
+
+@query(" SELECT infohash, discovered_at FROM torrents WHERE discovered_at >= 150000000")
+def sync_since(spark, sf_dir):
+    return catalog.entries_since(corpus.torrents(spark, sf_dir), 150_000_000).select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "discovered_at")
+
+
+@query(f", {CLASSIFIED} SELECT count(*)::BIGINT AS late FROM torrents WHERE infohash NOT IN (SELECT infohash FROM known)")
+def late_unclassified(spark, sf_dir):
+    return catalog.unclassified(*_catalog(spark, sf_dir)).agg(F.count(F.lit(1)).alias("late"))
+
+
+@query(" SELECT infohash, '{\"infohash\":\"' || infohash || '\",\"name\":\"' || name || '\",\"size\":' || size || '}' AS json FROM torrents")
+def json_result(spark, sf_dir):
+    h = fmt.hex_lower(F.col("infohash")).alias("infohash")
+    return corpus.torrents(spark, sf_dir).select(h, F.to_json(F.struct(h, F.col("name"), F.col("size"))).alias("json"))
+
+
+# --- search
+
+
+@query(_search_sql(["of", "is"]))
+def search_all_tokens(spark, sf_dir):
+    return search.search(*_documents(spark, sf_dir), "of is")
+
+
+@query(_search_sql(["tion"]))
+def search_one_token(spark, sf_dir):
+    return search.search(*_documents(spark, sf_dir), "Tion")
+
+
+@query(_search_sql(["of", "is"], limit=100, offset=20))
+def search_page(spark, sf_dir):
+    return search.search(*_documents(spark, sf_dir), "is of", limit=500, offset=20)
+
+
+@query(_search_sql(["of", "is"], where="category IS NULL OR category = 1"))
+def search_category(spark, sf_dir):
+    return search.search(*_documents(spark, sf_dir), "of is", category="movie")
+
+
+@query(_search_sql(["of", "is"]))
+def search_bad_category(spark, sf_dir):
+    return search.search(*_documents(spark, sf_dir), "of is", category="nonsense")
+
+
+@query(_search_sql(["the", "of"]))
+def search_stopword(spark, sf_dir):
+    return search.search(*_documents(spark, sf_dir), "the of")
+
+
+@query(_search_sql(["of", "is"], cap=30))
+def search_capped(spark, sf_dir):
+    return search.search(*_documents(spark, sf_dir), "of is", cap=30)
+
+
+# --- writes
+
+SECOND = "SELECT sha1('o' || o_orderkey * 2) AS infohash, 'again ' || o_orderkey AS name, 1::BIGINT AS size, 5::BIGINT AS discovered_at, o_orderkey AS seq FROM orders UNION ALL SELECT sha1('o' || o_orderkey * 2), 'late', 2, 6, o_orderkey + 1000000000 FROM orders"
+
+
+def _incoming(spark, sf_dir):
+    """Rows that are stored already, new rows, and repeats of both."""
+    o = corpus.table(spark, sf_dir, "orders")
+    h = F.unhex(F.sha1(F.concat(F.lit("o"), (F.col("o_orderkey") * 2).cast("string")))).alias("infohash")
+    one = lambda v: F.lit(v).cast("long")
+    first = o.select(h, F.concat(F.lit("again "), F.col("o_orderkey").cast("string")).alias("name"), one(1).alias("size"), one(5).alias("discovered_at"), F.col("o_orderkey").alias("seq"))
+    return first.unionByName(o.select(h, F.lit("late").alias("name"), one(2).alias("size"), one(6).alias("discovered_at"), (F.col("o_orderkey") + 1_000_000_000).alias("seq")))
+
+
+@query(f", incoming AS ({SECOND}), new AS (SELECT infohash, name, size, discovered_at FROM incoming WHERE infohash NOT IN (SELECT infohash FROM torrents) QUALIFY row_number() OVER (PARTITION BY infohash ORDER BY seq) = 1) SELECT infohash, name, size, discovered_at FROM torrents UNION ALL SELECT * FROM new")
+def upsert_first_wins(spark, sf_dir):
+    stored = corpus.torrents(spark, sf_dir).drop("o_orderkey")
+    return catalog.upsert_first_wins(stored, _incoming(spark, sf_dir), F.col("seq")).withColumn("infohash", fmt.hex_lower(F.col("infohash")))
+
+
+@query(f", incoming AS ({SECOND}) SELECT infohash, name FROM incoming WHERE infohash NOT IN (SELECT infohash FROM torrents)")
+def ingest_antijoin(spark, sf_dir):
+    return _incoming(spark, sf_dir).join(corpus.torrents(spark, sf_dir).select("infohash"), "infohash", "left_anti").select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "name")
+
+
+@query(" SELECT count(*)::BIGINT AS applied FROM torrents WHERE discovered_at >= 100000000")
+def sync_apply(spark, sf_dir):
+    """Replicates to a store that holds what is older, from its latest time on."""
+    t = corpus.torrents(spark, sf_dir).drop("o_orderkey")
+    local = t.filter("discovered_at < 100000000")
+    since = catalog.latest_timestamp(local).first()["latest"]
+    return catalog.new_entries(local, catalog.entries_since(t, since), F.col("discovered_at")).agg(F.count(F.lit(1)).alias("applied"))
+
+
+@query()
+def compact(spark, sf_dir):
+    path = scratch(spark, "compact")
+    catalog.write_snapshot(corpus.torrents(spark, sf_dir), path, 4)
+    return spark.read.parquet(path).select(F.input_file_name().alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"))
+
+
+# --- formats
+
+
+@query(" SELECT o_orderkey, greatest(0, CAST(epoch(o_orderdate) AS BIGINT) - 1577836800) & 4294967295 AS stored, CAST(epoch(o_orderdate) AS BIGINT) - 788918400 + 1577836800 AS shown FROM orders")
+def epoch_convert(spark, sf_dir):
+    unix = corpus.unix_seconds(F.col("o_orderdate"))
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", fmt.from_unix(unix).alias("stored"), fmt.to_unix(unix - corpus.SHIFT).alias("shown"))
+
+
+@query(" SELECT o_orderkey, (281474976710656 * (o_orderkey % 100) + o_orderkey) & 281474976710655 AS size FROM orders")
+def codec_u48(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", fmt.u48(F.lit(1 << 48) * (F.col("o_orderkey") % 100) + F.col("o_orderkey")).alias("size"))
+
+
+SIZES = "(o_orderkey * 7919 % 1000003) * power(10, o_orderkey % 7)::BIGINT"
+
+
+@query(
+    f" SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN format('{{:.1f}} GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN format('{{:.1f}} MB', n / 1048576.0::DOUBLE) ELSE CAST(n // 1024 AS BIGINT) || ' KB' END AS bin FROM (SELECT o_orderkey, {SIZES} AS n FROM orders)"
+)
+def format_size(spark, sf_dir):
+    n = ((F.col("o_orderkey") * 7919) % 1000003) * F.pow(F.lit(10), F.col("o_orderkey") % 7).cast("long")
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", fmt.size_binary(n).alias("bin"))
+
+
+@query(" SELECT infohash, CASE WHEN d < 60 THEN d || 's ago' WHEN d < 3600 THEN (d // 60) || 'm ago' WHEN d < 86400 THEN (d // 3600) || 'h ago' ELSE (d // 86400) || 'd ago' END AS ago FROM (SELECT infohash, 300000000 - discovered_at - (o_orderkey * 7919) % 90000 AS d FROM torrents)")
+def time_ago(spark, sf_dir):
+    t = corpus.torrents(spark, sf_dir)
+    return t.select(fmt.hex_lower(F.col("infohash")).alias("infohash"), fmt.time_ago(F.lit(300_000_000) - (F.col("o_orderkey") * 7919) % 90000, F.col("discovered_at")).alias("ago"))
+
+
+@query(" SELECT infohash, 'magnet:?xt=urn:btih:' || infohash || '&dn=' || replace(replace(url_encode(name), '%28', '('), '%29', ')') AS link FROM torrents")
+def magnet(spark, sf_dir):
+    h = fmt.hex_lower(F.col("infohash"))
+    return corpus.torrents(spark, sf_dir).select(h.alias("infohash"), fmt.magnet(h, F.col("name")).alias("link"))
+
+
+@query(" SELECT v, y, greatest(CASE WHEN y THEN least(CASE WHEN v > 0 THEN v ELSE 60 END, 60) ELSE 300 END, 10) AS seconds FROM (SELECT DISTINCT o_orderkey % 90 - 5 AS v, o_orderkey % 2 = 0 AS y FROM orders)")
+def interval_rule(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 90 - 5).alias("v"), (F.col("o_orderkey") % 2 == 0).alias("y")).distinct()
+    return rows.withColumn("seconds", fmt.sampling_interval(F.col("v"), F.col("y")).cast("long"))
+
+
+# --- codecs
+
+
+def _hex_entries(df):
+    return df.select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "name", "size", "discovered_at", F.size("files").cast("long").alias("n_files"), F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"]).alias("bytes"))
+
+
+FILES = ", f AS (SELECT l_orderkey, count(*)::BIGINT AS n_files, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS bytes FROM lineitem GROUP BY l_orderkey) SELECT infohash, name, size, discovered_at, coalesce(n_files, 0)::BIGINT AS n_files, coalesce(bytes, 0)::BIGINT AS bytes FROM torrents LEFT JOIN f ON l_orderkey = o_orderkey"
+
+
+@query(FILES)
+def codec_entry(spark, sf_dir):
+    """Stored entries, encoded and decoded again."""
+    raw = datasource.encoded(corpus.entries(spark, sf_dir), codecs.encode_entry).select("infohash", "raw")
+
+    def decode(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [codecs.decode_entry(bytes(x)) for x in b["raw"]]
+            yield pd.DataFrame({"infohash": b["infohash"], **{c: [r[c] for r in rows] for c in ("name", "size", "discovered_at")}, "files": [[{"path": p, "size": n} for p, n in r["files"]] for r in rows]})
+
+    return _hex_entries(raw.mapInPandas(decode, datasource.DUMP))
+
+
+@query(FILES)
+def src_dump_roundtrip(spark, sf_dir):
+    """Dump files, written by executors through Spark and read back by the dump source."""
+    from ..sources.sink import write_dump
+
+    path = scratch(spark, "dump")
+    write_dump(corpus.entries(spark, sf_dir), path)
+    return _hex_entries(datasource.read_dump(spark, path))
+
+
+@query(FILES)
+def sync_export(spark, sf_dir):
+    """Sync frames, written and read back; entries without a name have none."""
+    raw = datasource.encoded(corpus.entries(spark, sf_dir).filter(F.length("name") > 0), codecs.write_frame).select("raw")
+
+    def decode(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [e for x in b["raw"] for e in codecs.read_frames(bytes(x))]
+            yield pd.DataFrame({c: [r[c] for r in rows] for c in ("infohash", "name", "size", "discovered_at")} | {"files": [[{"path": p, "size": n} for p, n in r["files"]] for r in rows]})
+
+    return _hex_entries(raw.mapInPandas(decode, datasource.DUMP))
+
+
+@query(" SELECT doc_id, sha1(text) AS digest, true AS ok FROM documents")
+def verify_sha1(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents")
+    digest = F.sha1(F.col("text").cast("binary"))
+    return d.select("doc_id", digest.alias("digest"), (F.unhex(digest) == F.unhex(F.sha1("text"))).alias("ok"))
+
+
+@query(" SELECT o_orderkey, 2::BIGINT AS n_files, o_orderkey % 1000 + 10 AS size, 'dir/' || o_orderkey AS path FROM orders")
+def info_dict(spark, sf_dir):
+    """Metadata dictionaries built and parsed; the file without a path counts in the size only."""
+    import pandas as pd
+
+    def parse(batches):
+        for b in batches:
+            rows = []
+            for k in b["o_orderkey"]:
+                files = [{"length": int(k % 1000), "path": ["dir", str(k)]}, {"length": 3, "path": ["x"]}, {"length": 7, "path": []}]
+                e = codecs.info_dict(codecs.bencode({"name": f"n{k}", "files": files}))
+                rows.append((k, len(e["files"]), e["size"], e["files"][0][0]))
+            yield pd.DataFrame(rows, columns=["o_orderkey", "n_files", "size", "path"])
+
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey").mapInPandas(parse, "o_orderkey long, n_files long, size long, path string")
+
+
+@query(" SELECT c_custkey, 'q' AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'get_peers' ELSE 'find_node' END AS method, sha1('c' || c_custkey) AS id, 2::BIGINT AS n_nodes, 1::BIGINT AS n_peers FROM customer")
+def krpc_parse(spark, sf_dir):
+    """Messages built and parsed: a query for the method and a response for nodes and peers."""
+    import hashlib
+
+    import pandas as pd
+
+    def parse(batches):
+        for b in batches:
+            rows = []
+            for k in b["c_custkey"]:
+                me = hashlib.sha1(b"c%d" % k).digest()
+                ask = codecs.parse_message(codecs.query(b"aa", "get_peers" if k % 2 == 0 else "find_node", {"id": me, "target": me}))
+                near = b"".join(me + bytes((10, 0, 0, i)) + (0 if i == 2 else 80).to_bytes(2, "big") for i in range(3)) + b"rest"
+                got = codecs.parse_message(codecs.response(b"aa", {"id": me, "nodes": near, "values": [b"\x01\x02\x03\x04\x00\x50", b"short"]}))
+                rows.append((k, ask["kind"], ask["method"], ask["id"].hex(), len(got["nodes"]), len(got["peers"])))
+            yield pd.DataFrame(rows, columns=["c_custkey", "kind", "method", "id", "n_nodes", "n_peers"])
+
+    return corpus.table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(parse, "c_custkey long, kind string, method string, id string, n_nodes long, n_peers long")
+
+
+@query(" SELECT l_orderkey AS o_orderkey, string_agg(x, '' ORDER BY n, x) AS whole FROM (SELECT l_orderkey, l_linenumber AS n, 'p' || l_linenumber || ';' AS x FROM lineitem) GROUP BY l_orderkey")
+def pieces(spark, sf_dir):
+    """Pieces put together by their numbers."""
+    li = corpus.table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string"), F.lit(";")).alias("x")).alias("p"))
+    return li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("p")).alias("p")).select("o_orderkey", F.array_join(F.transform("p", lambda p: p["x"]), "").alias("whole"))
+
+
+@query()
+def bloom_sim(spark, sf_dir):
+    """Repeats that the decaying filter reports in a stream of keys; its order is one sequence of steps."""
+    import pandas as pd
+
+    def run(pdf):
+        bloom = codecs.StableBloom(1000)
+        return pd.DataFrame({"seq": pdf.sort_values("seq")["seq"], "seen": [bloom.test_and_add(bytes(h)) for h in pdf.sort_values("seq")["h"]]})
+
+    ev = corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.unhex(F.sha1(F.col("user_id").cast("string"))).alias("h")).withColumn("shard", F.lit(0))
+    return ev.groupBy("shard").applyInPandas(run, "seq long, seen boolean")
+
+
+# --- routing
+
+LIMB = "xor(('0x' || substr(id, {a}, {n}))::BIGINT, ('0x' || substr(sha1('s1'), {a}, {n}))::BIGINT)"
+DISTANCE = ", ".join(LIMB.format(a=a, n=n) for a, n in routing.LIMBS)
+NODE = "id, ip, port, insert_seq"
+_TARGET = lambda: F.sha1(F.lit("s1"))
+
+
+@query(f" SELECT {NODE} FROM nodes WHERE NOT dropped ORDER BY {DISTANCE}, insert_seq LIMIT 80")
+def route_knn(spark, sf_dir):
+    return routing.closest(corpus.nodes(spark, sf_dir), _TARGET()).select(*NODE.split(", "))
+
+
+@query(f" SELECT {NODE} FROM nodes ORDER BY {DISTANCE}, insert_seq LIMIT 80")
+def route_evict(spark, sf_dir):
+    n = corpus.nodes(spark, sf_dir)
+    return routing.evicted(n.filter("insert_seq % 2 = 0"), n.filter("insert_seq % 2 = 1"), _TARGET()).select(*NODE.split(", "))
+
+
+@query(f" SELECT {NODE} FROM nodes WHERE last_responded < 50000 ORDER BY insert_seq LIMIT 20")
+def route_stale(spark, sf_dir):
+    return routing.stale(corpus.nodes(spark, sf_dir), 50_000, 20).select(*NODE.split(", "))
+
+
+@query(f" SELECT {NODE} FROM nodes WHERE bep51 AND next_at <= 2500 ORDER BY insert_seq LIMIT 20")
+def route_sample_ready(spark, sf_dir):
+    return routing.sample_ready(corpus.nodes(spark, sf_dir), 2500, 20).select(*NODE.split(", "))
+
+
+@query(
+    f", ready AS (SELECT {NODE}, 0 AS feed FROM nodes WHERE bep51 AND next_at <= 300 ORDER BY insert_seq LIMIT 60), old AS (SELECT {NODE}, 1 AS feed FROM nodes WHERE last_responded < 50000 ORDER BY insert_seq LIMIT 60)"
+    f" SELECT {NODE}, feed FROM (SELECT * FROM ready UNION ALL SELECT * FROM old) ORDER BY feed, insert_seq LIMIT 60"
+)
+def route_feed(spark, sf_dir):
+    return routing.feed(corpus.nodes(spark, sf_dir), 300, 50_000, 60).select(*NODE.split(", "), F.col("_feed").alias("feed"))
+
+
+@query(" SELECT count(*)::BIGINT AS nodes, count(*) FILTER (NOT dropped)::BIGINT AS live FROM nodes")
+def route_stats(spark, sf_dir):
+    return corpus.nodes(spark, sf_dir).agg(F.count(F.lit(1)).alias("nodes"), F.count_if(~F.col("dropped")).alias("live"))
+
+
+@query(" SELECT s_suppkey, ip, port FROM (SELECT s_suppkey, '10.' || (s_suppkey % 9) || '.' || (s_suppkey % 251) || '.1' AS ip, CAST(1024 + s_suppkey % 3 AS INTEGER) AS port FROM supplier) s WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.ip = s.ip AND n.port = s.port)")
+def route_unknown_addrs(spark, sf_dir):
+    k = F.col("s_suppkey")
+    seen = corpus.table(spark, sf_dir, "supplier").select(k, F.concat_ws(".", F.lit("10"), (k % 9).cast("string"), (k % 251).cast("string"), F.lit("1")).alias("ip"), (1024 + k % 3).cast("int").alias("port"))
+    return routing.unknown(seen, corpus.nodes(spark, sf_dir)).select("s_suppkey", "ip", "port")
+
+
+@query(
+    ", seen AS (SELECT s_suppkey, sha1('c' || s_suppkey * 3) AS id, '10.' || (s_suppkey % 7) || '.' || (s_suppkey % 251) || '.1' AS ip, CAST(1024 + s_suppkey % 3 AS INTEGER) AS port FROM supplier)"
+    " SELECT s_suppkey, (SELECT min(insert_seq) FROM nodes n WHERE n.id = seen.id OR (n.ip = seen.ip AND n.port = seen.port)) AS matched FROM seen"
+)
+def route_upsert(spark, sf_dir):
+    k = F.col("s_suppkey")
+    seen = corpus.table(spark, sf_dir, "supplier").select(
+        k, F.sha1(F.concat(F.lit("c"), (k * 3).cast("string"))).alias("id"), F.concat_ws(".", F.lit("10"), (k % 7).cast("string"), (k % 251).cast("string"), F.lit("1")).alias("ip"), (1024 + k % 3).cast("int").alias("port")
+    )
+    return routing.upserted(corpus.nodes(spark, sf_dir), seen).select("s_suppkey", "matched")
+
+
+@query(f" SELECT {NODE} FROM nodes WHERE id <> sha1('c3') AND ip <> '10.1.1.1'")
+def route_drop(spark, sf_dir):
+    import hashlib
+
+    return routing.without(corpus.nodes(spark, sf_dir), [hashlib.sha1(b"c3").hexdigest()], ["10.1.1.1"]).select(*NODE.split(", "))
+
+
+ANNOUNCES = "ann AS (SELECT sha1('u' || user_id) AS infohash, event_id AS seq, 'p' || event_id AS peer FROM events)"
+
+
+def _announces(spark, sf_dir):
+    e = corpus.table(spark, sf_dir, "events")
+    return e.select(F.sha1(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("infohash"), F.col("event_id").alias("seq"), F.array(F.concat(F.lit("p"), F.col("event_id").cast("string"))).alias("peers"))
+
+
+@query(f", {ANNOUNCES} SELECT infohash, max_by(peer, seq) AS peer FROM ann GROUP BY infohash")
+def announce_last(spark, sf_dir):
+    return routing.last_announced(_announces(spark, sf_dir)).select("infohash", F.col("peers")[0].alias("peer"))
+
+
+@query(f", {ANNOUNCES}, held AS (SELECT infohash, max_by(peer, seq) AS peer FROM ann GROUP BY infohash), asked AS (SELECT c_custkey, sha1('u' || c_custkey * 2) AS infohash FROM customer) SELECT c_custkey, CASE WHEN peer IS NULL THEN 'nodes' ELSE 'peers' END AS branch, peer FROM asked LEFT JOIN held USING (infohash)")
+def route_get_peers(spark, sf_dir):
+    asked = corpus.table(spark, sf_dir, "customer").select("c_custkey", F.sha1(F.concat(F.lit("u"), (F.col("c_custkey") * 2).cast("string"))).alias("infohash"))
+    found = asked.join(routing.last_announced(_announces(spark, sf_dir)), "infohash", "left")
+    return found.select("c_custkey", F.when(F.col("peers").isNull(), "nodes").otherwise("peers").alias("branch"), F.col("peers")[0].alias("peer"))
+
+
+@query()
+def route_sample(spark, sf_dir):
+    return corpus.nodes(spark, sf_dir).orderBy(F.rand(7), "id").limit(20).select(*NODE.split(", "))
+
+
+@query()
+def route_split(spark, sf_dir):
+    return corpus.nodes(spark, sf_dir).select("id", F.when(F.rand(7) < 0.5, "find").otherwise("sample").alias("way"))
+
+
+@query(
+    ", q AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 2 = 0), r AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 2 = 1)"
+    " SELECT q.event_id AS query_id, r.event_id AS reply_id FROM q JOIN r ON q.user_id = r.user_id AND r.t >= q.t AND r.t <= q.t + 3600000000"
+)
+def krpc_match(spark, sf_dir):
+    """Replies to queries of the same transaction within a bound."""
+    e = corpus.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("t"))
+    q, r = (e.filter(F.col("event_id") % 2 == i).alias(n) for i, n in ((0, "q"), (1, "r")))
+    return q.join(r, (F.col("q.user_id") == F.col("r.user_id")) & (F.col("r.t") >= F.col("q.t")) & (F.col("r.t") <= F.col("q.t") + F.expr("INTERVAL 1 HOUR"))).select(F.col("q.event_id").alias("query_id"), F.col("r.event_id").alias("reply_id"))
+
+
+# --- streaming and ingest
+
+
+@query(f", {ANNOUNCES}, ok AS (SELECT * FROM ann WHERE seq % 3 <> 0) SELECT infohash, peer FROM ok QUALIFY row_number() OVER (PARTITION BY infohash ORDER BY seq) = 1")
+def first_success(spark, sf_dir):
+    """The first attempt of each hash that succeeds."""
+    tried = _announces(spark, sf_dir).filter("seq % 3 <> 0")
+    return tried.groupBy("infohash").agg(F.min_by(F.col("peers")[0], "seq").alias("peer"))
+
+
+@query(f", {ANNOUNCES}, held AS (SELECT infohash, max_by(peer, seq) AS peer FROM ann GROUP BY infohash) SELECT c_custkey, coalesce(peer, 'node' || c_custkey) AS peer FROM customer LEFT JOIN held ON infohash = sha1('u' || c_custkey * 2)")
+def peer_fallback(spark, sf_dir):
+    asked = corpus.table(spark, sf_dir, "customer").select("c_custkey", F.sha1(F.concat(F.lit("u"), (F.col("c_custkey") * 2).cast("string"))).alias("infohash"))
+    return asked.join(routing.last_announced(_announces(spark, sf_dir)), "infohash", "left").select("c_custkey", F.coalesce(F.col("peers")[0], F.concat(F.lit("node"), F.col("c_custkey").cast("string"))).alias("peer"))
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    schema = corpus.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+
+
+GAP = 21_600
+
+
+@query(
+    f", e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events), k AS (SELECT user_id, min(seconds) AS seconds FROM e GROUP BY user_id UNION ALL"
+    f" SELECT k.user_id, (SELECT min(e.seconds) FROM e WHERE e.user_id = k.user_id AND e.seconds >= k.seconds + {GAP}) FROM k WHERE k.seconds IS NOT NULL) SELECT user_id, seconds FROM k WHERE seconds IS NOT NULL"
+)
+def cooldown_dedup(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir).select("user_id", corpus.unix_seconds(F.col("ts")).alias("seconds"))
+    path = scratch(spark, "cooldown")
+    kept = ingest.cool_down(stream, "user_id", "seconds", GAP)
+    kept.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return spark.read.schema("user_id long, seconds long").parquet(f"{path}/rows")
+
+
+@query(" SELECT DISTINCT user_id FROM events")
+def stream_dedup(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = scratch(spark, "dedup")
+    once = ingest.distinct_arrivals(stream, "user_id", "ts", "3650 days").select("user_id")
+    once.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return spark.read.schema("user_id long").parquet(f"{path}/rows")
+
+
+@query(" SELECT sha1('u' || user_id) AS infohash, 'name ' || min(event_id) AS name FROM events WHERE user_id % 10 <> 0 GROUP BY user_id")
+def ingest_stream(spark, sf_dir):
+    """Events as discovered entries: empty names dropped, first write wins, appended per micro-batch."""
+    e = _event_stream(spark, sf_dir)
+    rows = e.select(
+        F.unhex(F.sha1(F.concat(F.lit("u"), F.col("user_id").cast("string")))).alias("infohash"), F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit("name "), F.col("event_id").cast("string"))).alias("name"),
+        F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("discovered_at"), F.array().cast("array<struct<path:string,size:long>>").alias("files"), F.col("event_id").alias("seq"),
+    )
+    path = scratch(spark, "ingest")
+    store = ingest.Catalog(spark, f"{path}/catalog", ENTRY).create()
+    ingest.run_available(rows, f"{path}/state", lambda batch, n: store.append(batch, n, F.col("seq")))
+    return store.rows().select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "name")
