@@ -49,6 +49,10 @@ class Phrases:
         for row, x in zip(self.symbols, self.windows, strict=True):
             row[width - len(x) :] = x
 
+    def symbols_of(self, text: list[bytes]) -> np.ndarray:
+        get = self.symbol.get
+        return np.fromiter([get(w, 0) for w in text], np.int32, len(text))
+
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """The suffix array of symbols, by prefix doubling; each 0 ends its suffixes and differs from the others by place."""
@@ -172,18 +176,14 @@ class FMIndex:
         return out
 
 
-def search_shard(docs: list[list[bytes]], phrases: Phrases) -> tuple[list[np.ndarray], list[set[int]]]:
-    """For each document of a shard: merged spans (start, end) of hit words, and the items found."""
+def search_shard(docs: list[np.ndarray], phrases: Phrases) -> tuple[list[np.ndarray], list[set[int]]]:
+    """For each document (symbols) of a shard: merged spans (start, end) of hit words, and the items found."""
     spans, items = [np.empty((0, 2), np.int64) for _ in docs], [set() for _ in docs]
-    get, parts, sizes = phrases.symbol.get, [], []
-    for doc in docs:
-        parts.append(np.fromiter((get(w, 0) for w in doc), np.int32, len(doc)))
-        parts.append(np.zeros(1, np.int32))
-        sizes.append(len(doc) + 1)
     if not docs or not phrases.windows:
         return spans, items
-    whole = np.concatenate(parts)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
+    gap = np.zeros(1, np.int32)
+    whole = np.concatenate([x for doc in docs for x in (doc, gap)])
+    starts = np.concatenate(([0], np.cumsum([len(doc) + 1 for doc in docs])))
     keep = np.ones(len(whole), bool)
     keep[1:] = (whole[1:] != 0) | (whole[:-1] != 0)
     place, text = np.flatnonzero(keep), whole[keep]
@@ -219,7 +219,7 @@ def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.nd
 
 def find_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-    shard_words: int = 1_500_000, max_item_words: int = 2_000_000, carry: tuple[str, ...] = (),
+    shard_words: int = 600_000, max_item_words: int = 2_000_000, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, spans (word offsets, merged, half open), items, and the columns of `carry`.
 
@@ -246,17 +246,18 @@ def find_spans(
     shared = [spark.sparkContext.broadcast(Phrases(p, window)) for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts, n, row = [], [], 0, 0
+        held, counts, n, row = [], [], 0, 0
+        symbols = [[] for _ in shared]
 
         def flush() -> pa.RecordBatch:
-            found = [([], set()) for _ in texts]
-            for phrases in shared:
-                for (spans, items), more, new in zip(found, *search_shard(texts, phrases.value), strict=True):
+            found = [([], set()) for _ in counts]
+            for phrases, docs in zip(shared, symbols, strict=True):
+                for (spans, items), more, new in zip(found, *search_shard(docs, phrases.value), strict=True):
                     spans.extend(more.tolist())
                     items |= new
             spans = [_merge(s) if len(shared) > 1 else s for s, _ in found]
             cols = [
-                pa.concat_arrays([x.column(0) for x in held]), pa.array(range(row - len(texts), row), pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                pa.concat_arrays([x.column(0) for x in held]), pa.array(range(row - len(counts), row), pa.int64()), pa.array(counts, pa.int64()),
                 pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], arrow.field(4).type),
                 pa.array([sorted(i) for _, i in found], arrow.field(5).type), *(pa.concat_arrays([x.column(2 + i) for x in held]) for i in range(len(carry))),
             ]
@@ -267,12 +268,17 @@ def find_spans(
                 piece = batch.slice(at, 256)
                 held.append(piece)
                 for t in piece.column(1).to_pylist():
-                    texts.append(words(t))
-                    n += len(texts[-1])
+                    found = words(t)
+                    counts.append(len(found))
+                    for phrases, docs in zip(shared, symbols, strict=True):
+                        docs.append(phrases.value.symbols_of(found))
+                    n += len(found)
                 row += piece.num_rows
                 if n >= shard_words:
                     yield flush()
-                    held, texts, n = [], [], 0
+                    held, counts, n = [], [], 0
+                    for docs in symbols:
+                        docs.clear()
         if held:
             yield flush()
 

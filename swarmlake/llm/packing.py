@@ -59,6 +59,9 @@ class Ragged:
         self.n += len(new)
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // 4)))
 
+    def row(self, n: int) -> bytes:
+        return self.ids[self.ends[n] : self.ends[n + 1]].tobytes()
+
     def take(self, rows: np.ndarray) -> np.ndarray:
         start = self.ends[rows]
         size = self.ends[rows + 1] - start
@@ -70,50 +73,59 @@ class WordCache:
     """Ids of texts by a tokenizers file. With a vocabulary that marks word ends and drops white
     space, words are encoded once and kept, and texts are put together from their words.
 
-    Only the speed depends on the cache: it is emptied when it holds `limit` words.
+    Only the speed depends on the cache. It holds the last `limit` to twice `limit` words, so a
+    worker's memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.merges, self.limit = Tokenizer.from_file(path), Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = self.merges.encode_special_tokens = True
-        made = json.loads(self.tokenizer.to_str())
+        self.path, self.limit, self.whole = path, limit, None
+        self.merges = Tokenizer.from_file(path)
+        self.merges.encode_special_tokens = True
+        made = json.loads(self.merges.to_str())
         steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = made["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and json.dumps(CUTS) in json.dumps(made["pre_tokenizer"])
         if self.by_word:  # the pieces of CUTS need the merges only
             self.merges.normalizer = None
             self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            vocabulary = self.tokenizer.get_vocab()
+            vocabulary = self.merges.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cut = regex.compile(CUTS).findall
-        self._clear()
+        self.words, self.ids, self.before = Numbered(), Ragged(), (Numbered(), Ragged())
+
+    def tokenizer(self):
+        """The file's tokenizer as it is, for texts that can't be put together from words."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
 
-    def _clear(self) -> None:
-        self.words, self.ids = Numbered(), Ragged()
-        self.pieces, self.of_piece = Numbered(), []
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return self.whole
 
     def _learn(self, n: int) -> None:
-        """Encodes the words numbered n and above."""
-        known, number = len(self.pieces), self.pieces.__getitem__
-        cut = [(number(w),) if w.isalpha() else tuple(map(number, self.cut(w))) for w in self.words.since(n)]
-        if len(self.pieces) > known:
-            found = np.array(self.merges.encode_batch_fast([" ".join(self.pieces.since(known))], add_special_tokens=False)[0].ids, np.uint32)
+        """Gives ids to the words numbered n and above."""
+        new, (old, old_ids) = self.words.since(n), self.before
+        pieces = Numbered()
+        cut = [None if w in old else (pieces[w],) if w.isalpha() else tuple(map(pieces.__getitem__, self.cut(w))) for w in new]
+        ids: list[bytes] = []
+        if pieces:
+            found = np.array(self.merges.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
             ends = (np.flatnonzero(self.last[found]) + 1) * 4
-            if len(ends) != len(self.pieces) - known:
+            if len(ends) != len(pieces):
                 raise ValueError("every piece of a word ends in a token that marks its end")
             raw, starts = found.tobytes(), [0, *ends[:-1].tolist()]
-            self.of_piece.extend(raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True))
-        ids = self.of_piece
-        self.ids.add([ids[c[0]] if len(c) == 1 else b"".join([ids[i] for i in c]) for c in cut])
+            ids = [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
+        self.ids.add([old_ids.row(old[w]) if c is None else ids[c[0]] if len(c) == 1 else b"".join([ids[i] for i in c]) for w, c in zip(new, cut, strict=True)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = [b""] * len(texts)
         if len(self.words) > self.limit:
-            self._clear()
+            self.before = (self.words, self.ids)
+            self.words, self.ids = Numbered(), Ragged()
         known, number, plain, rest = len(self.words), self.words.__getitem__, [], []
         for i, text in enumerate(texts):
             if not text:
@@ -122,7 +134,7 @@ class WordCache:
                 rest.append(i)
             else:
                 plain.append((i, np.fromiter(map(number, text.lower().replace("\n", " ").split(" ")), np.int64)))
-        for i, found in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+        for i, found in zip(rest, self.tokenizer().encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
             out[i] = np.array(found.ids, "<u4").tobytes()
         if len(self.words) > known:
             self._learn(known)
