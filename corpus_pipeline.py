@@ -19,8 +19,8 @@ from swarmlake.llm.toxicity import score_toxicity
 
 def _kept(docs: DataFrame, verdict: DataFrame, condition: str) -> DataFrame:
     """Documents whose verdict row meets the condition; rows that repeat an id share its best verdict."""
-    keep = verdict.filter(condition).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    keep = verdict.filter(condition).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ class Lexicon:
         for i in hits:
             votes |= 1 << self.voter[i]
         abuse, rate = len(ABUSE & found), len(marked) / max(1, len(every))
-        for bit, vote in enumerate((abuse > 0, abuse > 2, SHOUT.search(text), MARKS.search(text), len(marked) > 1, len(marked) > 2, rate > 0.003, rate > 0.01)):
+        for bit, vote in enumerate((abuse > 0, abuse > 2, SHOUT.search(text), MARKS.search(text), len(marked) > 1, len(marked) > 2, len(marked) > 1 and rate > 0.006, len(marked) > 2 and rate > 0.01)):
             votes |= bool(vote) << (LEXICONS + bit)
         return sorted(hits), votes
 
@@ -146,14 +146,13 @@ class LabelModel:
         self.patterns = patterns
         self.bits = (patterns[:, None] >> np.arange(VOTERS)) & 1
         self.factors: list[tuple[int, ...]] = [(v,) for v in range(VOTERS)]
+        self.correlated: dict[tuple[int, int], float] = {}
         self._fit(counts, labelled, rounds)
-        self.correlated = self._pairs(counts, labelled)
-        taken: set[int] = set()
-        for a, b in self.correlated:
-            if a not in taken and b not in taken:
-                taken |= {a, b}
-                self.factors = [f for f in self.factors if f not in ((a,), (b,))] + [(a, b)]
-        if taken:
+        while found := self._strongest_pair(counts):
+            # One pair at a time: a pair counted twice distorts the correlations of the others.
+            a, b = found[0]
+            self.correlated[a, b] = found[1]
+            self.factors = [f for f in self.factors if f not in ((a,), (b,))] + [(a, b)]
             self._fit(counts, labelled, rounds)
 
     def _outcome(self, factor: tuple[int, ...]) -> np.ndarray:
@@ -182,22 +181,21 @@ class LabelModel:
         # of a voter that fires: how much likelier under the toxic class
         self.accuracy = {f: t[1] / t[0] for f, t in zip(self.factors, self.tables, strict=True)}
 
-    def _pairs(self, counts: np.ndarray, labelled: np.ndarray, least: float = 0.3) -> list[tuple[int, int]]:
-        """Pairs whose correlation within the classes is at least `least`, the strongest first."""
-        found = {}
+    def _strongest_pair(self, counts: np.ndarray, least: float = 0.3) -> tuple[tuple[int, int], float] | None:
+        """Of voters that are factors of their own, the pair with the highest correlation within a class, if it is at least `least`."""
+        alone, best = [f[0] for f in self.factors if len(f) == 1], None
         for side in (1 - self.posterior, self.posterior):
             w = counts * side
             if w.sum() < 20:
                 continue
-            mean = (w[:, None] * self.bits).sum(0) / w.sum()
-            centred = self.bits - mean
+            centred = self.bits - (w[:, None] * self.bits).sum(0) / w.sum()
             cov = (centred * w[:, None]).T @ centred / w.sum()
             scale = np.sqrt(np.diag(cov))
-            for a in range(VOTERS):
-                for b in range(a + 1, VOTERS):
-                    if scale[a] > 1e-3 and scale[b] > 1e-3 and (c := abs(cov[a, b]) / (scale[a] * scale[b])) >= least:
-                        found[a, b] = max(c, found.get((a, b), 0))
-        return sorted(found, key=found.get, reverse=True)
+            for i, a in enumerate(alone):
+                for b in alone[i + 1 :]:
+                    if scale[a] > 1e-3 and scale[b] > 1e-3 and (c := abs(cov[a, b]) / (scale[a] * scale[b])) >= least and (best is None or c > best[1]):
+                        best = (a, b), float(c)
+        return best
 
 
 def fit_linear(row: np.ndarray, col: np.ndarray, target: np.ndarray, width: int, l2: float = 1e-4, steps: int = 600) -> np.ndarray:
