@@ -29,6 +29,7 @@ LEXICONS = 8
 PATTERNS = 8
 REPEATS = (2, 3)  # distinct words of one beginning that make a further term
 VOTERS = LEXICONS + PATTERNS
+TRUST = 4.0
 SHOUT = re.compile(r"[A-Z]{2,}[^a-z]{12,}[A-Z]{2,}")
 MARKS = re.compile(r"[!?]{2,}")
 
@@ -96,7 +97,12 @@ class Lexicon:
 
 
 def mine_terms(rows: DataFrame, max_terms: int) -> list[tuple[bytes, float]]:
-    """Terms of `rows` (text, toxic) whose link to the label can't be chance, the clearest first, with their precision."""
+    """Terms of `rows` (text, toxic) whose link to the label can't be chance, with their precision.
+
+    The clearest `max_terms` candidates are thinned out one by one: each choice must be significant
+    on the rows that no earlier choice hits, so words that merely stand beside others are left out.
+    Terms of ten toxic rows and no other stay besides.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -126,16 +132,35 @@ def mine_terms(rows: DataFrame, max_terms: int) -> list[tuple[bytes, float]]:
     bound = 2 * np.log(60.0 * n)  # about the number of terms that were tried
     best = seen.filter(F.col("pos") > 3 * rate * df).withColumn("g2", g2).filter(F.col("g2") > F.lit(float(bound)))
     got = [(bytes(r["term"]), r["pos"], r["neg"]) for r in best.orderBy(F.desc("g2"), F.length("term"), "term").limit(max_terms).collect()]
-    # Of longer and shorter beginnings with the same counts, the shortest says it all.
-    held: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
-    out = []
-    for term, pos, neg in got:
-        bare, mark = term.partition(b":")[2].partition(b"#")[0] or term[1:], term.partition(b"#")[2]
-        if any(m == mark and bare.startswith(x) for x, m in held.setdefault((pos, neg), [])):
-            continue
-        held[pos, neg].append((bare, mark))
-        out.append((term, pos / (pos + neg)))
-    return out
+    if not got:
+        return []
+    candidates = Lexicon([(term, pos / (pos + neg)) for term, pos, neg in got])
+    shared = rows.sparkSession.sparkContext.broadcast(candidates)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = pa.array([shared.value.read(t)[0] for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([hits, batch.column(1)], ["hits", "toxic"])
+
+    found = rows.select("text", "toxic").mapInArrow(find, "hits array<int>, toxic int").toPandas()  # bounded like the sample
+    toxic = found["toxic"].to_numpy()
+    owner = np.repeat(np.arange(len(found)), found["hits"].map(len))
+    term = np.concatenate([*found["hits"], np.empty(0, np.int32)]).astype(np.int64)
+    open_rows, chosen = np.ones(len(found), bool), []
+    while True:
+        live = open_rows[owner]
+        pos = np.bincount(term[live & (toxic[owner] == 1)], minlength=len(got)).astype(float)
+        df = np.bincount(term[live], minlength=len(got)).astype(float)
+        p = max(toxic[open_rows].mean() if open_rows.any() else 0, 1e-4)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g2 = 2 * (np.where(pos > 0, pos * np.log(pos / (df * p)), 0) + np.where(df > pos, (df - pos) * np.log((df - pos) / (df * (1 - p))), 0))
+        g2[(pos < 3) | (pos < 0.5 * df)] = 0
+        best = int(np.argmax(g2))
+        if g2[best] <= bound:
+            known = {t for t, _ in chosen}
+            return chosen + [(t, 1.0) for t, pos, neg in got if not neg and pos >= 10 and t not in known]
+        chosen.append((got[best][0], float(pos[best] / df[best])))
+        open_rows[owner[term == best]] = False
 
 
 class LabelModel:
@@ -178,6 +203,8 @@ class LabelModel:
             if done:
                 break
         self.posterior, self.balance = post, share[1]
+        # The labelled rows of a pattern speak for it too, against a weight of TRUST rows for the model.
+        self.blended = (labelled[1] + TRUST * post) / (labelled.sum(0) + TRUST)
         # of a voter that fires: how much likelier under the toxic class
         self.accuracy = {f: t[1] / t[0] for f, t in zip(self.factors, self.tables, strict=True)}
 
@@ -231,7 +258,8 @@ def score_toxicity(
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).filter("toxic = _most").drop("_most")
     sample = scratch.stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
     sample = F.broadcast(sample)  # at most max_labelled rows of two numbers
-    lexicon = Lexicon(mine_terms(src.join(sample, "doc_id"), max_terms))
+    taught_texts = scratch.stage(src.join(sample, "doc_id").select("text", "toxic").dropDuplicates(), "texts")
+    lexicon = Lexicon(mine_terms(taught_texts, max_terms))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +306,7 @@ def _train(counted: dict[int, int], taught, terms: int) -> np.ndarray:
     where = np.searchsorted(patterns, taught["votes"].to_numpy())
     labelled = np.stack([np.bincount(where[taught["toxic"].to_numpy() == y], minlength=len(patterns)) for y in (0, 1)]).astype(np.float64)
     model = LabelModel(patterns, counts, labelled)
-    target = model.posterior[where]
+    target = model.blended[where]
     rows, cols = [], []
     for i, (hits, votes) in enumerate(zip(taught["hits"], taught["votes"], strict=True)):
         own = [*hits, *(terms + v for v in range(VOTERS) if votes >> v & 1)]
