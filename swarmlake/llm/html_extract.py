@@ -38,6 +38,9 @@ MARKS = frozenset(
     "header masthead footer contentinfo cookie cookies consent notice notices notification alert disclaimer gdpr popup modal overlay form login signup subscribe subscription newsletter search comment comments "
     "respond reply replies disqus discussion related recommended recommendations share sharing social pagination pager toolbar widget widgets skip".split()
 )
+# Marks that an article element itself can have; and names that tell what stands beside an element.
+OTHER_ARTICLES = frozenset("ad ads advert advertisement promo sponsored comment comments reply replies related recommended".split())
+LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][\w-]+|\bsidebar[-_](?:left|right|none|layout)\b")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -65,14 +68,16 @@ def _ruled_out(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if name == "header" and not in_article:
         return True
-    if not attributes.strip() or name in ("html", "body", "article", "main"):
+    if not attributes.strip() or name in ("html", "body"):
         return False
     got = _attributes(attributes)
     if "hidden" in got or got.get("aria-hidden") == "true" or HIDDEN.search(got.get("style", "")):
         return True
-    named = set(WORDS.findall(" ".join((got.get("class", ""), got.get("id", ""), got.get("role", ""))).lower()))
-    marks = named & MARKS
-    if in_article and name in ("header", "hgroup", "h1"):
+    given = " ".join((got.get("class", ""), got.get("id", ""), got.get("role", ""))).lower()
+    marks = set(WORDS.findall(LAYOUT.sub(" ", given))) & MARKS
+    if name in ("article", "main"):
+        return bool(marks & OTHER_ARTICLES)
+    if in_article:
         marks -= {"header", "masthead"}
     return bool(marks)
 

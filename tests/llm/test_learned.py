@@ -159,6 +159,12 @@ def test_extraction(spark):
     assert html_extract.extract_text(pages(spark, [])).count() == 0
 
 
+def test_marks(spark):
+    page = """<div class="page has-sidebar sidebar-right"><main id="main"><article class="post"><div class="entry-header"><h1>T</h1></div><p>x</p>
+<article class="comment"><p>Nice</p></article><div id="respond">r</div></article></main><div class="related"><article><p>Teaser</p></article></div></div>"""
+    assert html_extract.extract_text(pages(spark, [(1, "u", page)])).first()["text"] == "T\nx"
+
+
 @pytest.mark.parametrize("shared", [200_000, 0])
 def test_site_templates_go(spark, shared):
     body = "<body><div><div>About us</div><div>Imprint</div></div><div><p>Story {i} tells this</p><p>Same ending</p></div><div>Part {j}</div></body>"
