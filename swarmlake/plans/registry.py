@@ -170,13 +170,10 @@ def point_lookup(spark, sf_dir):
     return catalog.point_lookup(*_catalog(spark, sf_dir), hashlib.sha1(b"o7").hexdigest())
 
 
-@query(" SELECT infohash, discovered_at, row_number() OVER (ORDER BY discovered_at, infohash)::BIGINT AS position FROM torrents WHERE discovered_at < 8640000")
+@query(" SELECT infohash, discovered_at FROM torrents ORDER BY discovered_at, infohash")
 def scan_time_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = corpus.torrents(spark, sf_dir).filter("discovered_at < 8640000")
-    order = Window.orderBy("discovered_at", "infohash")  # a position in the whole scan, so one order over all its rows
-    return rows.select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "discovered_at", F.row_number().over(order).cast("long").alias("position"))
+    """All entries in time order, by a range-partitioned sort."""
+    return catalog.entries_after(corpus.torrents(spark, sf_dir), 0, bytes(20)).select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "discovered_at")
 
 
 @query(" SELECT infohash, discovered_at FROM torrents WHERE (discovered_at, infohash) > (86400000, sha1('o7')) ORDER BY discovered_at, infohash LIMIT 1000")
