@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ TABLE = np.frombuffer(WORD_TABLE, np.uint8)
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 P_INV = np.uint64(pow(int(P), -1, 1 << 64))
 PIECE = 1 << 20  # bytes of text hashed at once
+VOLUME, COLUMNS = 4_000_000, 4096  # shingles of a part of a bucket; columns multiplied at once
 SIGNATURES = "doc_id long, k1 long, k2 long, n int, bands array<long>"
 SETS = "doc_id long, k1 long, k2 long, shingles array<long>"
 
@@ -191,14 +193,14 @@ def shingle_sets(docs: DataFrame, width: int, wanted: tuple[np.ndarray, np.ndarr
     return docs.mapInArrow(run, SETS)
 
 
-def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Roots of all nodes after more links, and the roots that changed (root, to)."""
+def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Roots of all nodes after more links."""
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     up = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     found = components(up, scratch, name)
     moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
     kept = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return kept.unionByName(found.join(roots, "node", "left_anti")), moved
+    return kept.unionByName(found.join(roots, "node", "left_anti"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFrame:
@@ -226,7 +228,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4,
-    all_pairs: int = 4, all_late: int = 2, max_shared: int = 2_000_000,
+    all_pairs: int = 4, block: int = 1000, max_shared: int = 2_000_000,
 ) -> DataFrame:
     """One row per document: id, class_id (the largest id of its class), class_size, kept.
 
@@ -238,19 +240,15 @@ def near_duplicates(
 
     A band's bucket of at most `all_pairs` nodes compares all its pairs; in a larger one all nodes
     are compared with the least. Links make classes. A large bucket whose nodes are then of one
-    class is done. In the others only nodes of different classes are compared: all such pairs where
-    they are at most `all_late` a node, and else those with the least node. What is left of the
-    latter goes to finer buckets, by one more band at a time (first by each of two), until all pairs
-    left are at most half of the first members; nodes that agree in all bands go on in rounds, each
-    with a new least node.
+    class is done. In the others all pairs of nodes of different classes are compared, in blocks of
+    about `block` by `block` nodes.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = scratch.stage(sketch(src, width, bands, rows), "sketch")
     nodes = found.filter("n > 0").groupBy("k1", "k2").agg(F.max("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
     nodes = scratch.stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    # Rows (node, n, band, bucket): the bucket is a band's key, further bands are hashed in later.
-    bucketed = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    bucketed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     both = F.col("x.bucket") == F.col("y.bucket")
     fits = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n")
     pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
@@ -261,36 +259,11 @@ def near_duplicates(
     pairs = few.alias("x").join(few.alias("y"), both & (F.col("x.node") < F.col("y.node")) & fits).select(*pair)
     pairs = pairs.unionByName(many.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))).distinct()
     roots = scratch.stage(components(_linked(sets, pairs, similarity), scratch, "c0"), "roots0")
-    # What each node carries on: its class, and its bands for finer buckets.
-    carried = nodes.select("node", "bands").join(roots, "node", "left").select("node", "bands", F.coalesce("root", "node").alias("root"))
-    bucketed, level, affordable = many.select("node", "n", "band", "bucket").join(carried, "node"), 0, members.count() // 2
-    while True:
-        # Only buckets of more than one class hold pairs that can still matter.
-        bucketed = scratch.stage(bucketed, f"bucketed{level}")
-        by_class = bucketed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
-        sizes = by_class.groupBy("bucket").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("_same"), F.min(F.struct("node", "root")).alias("centre"))
-        sizes = sizes.withColumn("cross", (F.col("size") * F.col("size") - F.col("_same")) / 2).filter("cross > 0").drop("_same")
-        members = scratch.stage(bucketed.join(sizes, "bucket"), f"members{level + 1}")
-        total = members.agg(F.sum(F.col("cross") / F.col("size"))).first()[0]
-        if not total:
-            break
-        level += 1
-        direct = (F.col("cross") <= all_late * F.col("size")) | (F.col("size") <= 16) | F.lit(total <= affordable)
-        few, many = members.filter(direct), members.filter(~direct)
-        pairs = few.alias("x").join(few.alias("y"), both & (F.col("x.root") < F.col("y.root")) & fits).select(*pair)
-        stars = many.filter("root <> centre.root").select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
-        new = scratch.stage(_linked(sets, pairs.unionByName(stars).distinct(), similarity), f"links{level}")
-        bucketed = many.filter("node <> centre.node" if level >= bands else "true").select("node", "n", "bands", "root", "band", "bucket")
-        if not new.isEmpty():
-            roots, moved = _joined(roots, new, scratch, f"c{level}")
-            roots = scratch.stage(roots, f"roots{level}")
-            bucketed = bucketed.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-        if level < bands:
-            steps = (5, 7) if level == 1 else (5,)  # 5 and the usual numbers of bands share no factor: all bands come in turn
-            further = [F.pmod(F.col("band") + i, F.lit(bands)) for i in steps]
-            bucketed = bucketed.withColumn("band", F.explode(F.array(*further)) if len(steps) > 1 else further[0])
-            bucketed = bucketed.withColumn("bucket", F.xxhash64("bucket", "band", F.get("bands", F.col("band"))))
-        scratch.drop(f"members{level - 1}", f"bucketed{level - 1}")
+    # Only buckets of more than one class hold pairs that can still matter.
+    many = many.select("node", "n", "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    new = scratch.stage(_across(sets, scratch.stage(many, "members1"), similarity, block).distinct(), "links1")
+    if not new.isEmpty():
+        roots = scratch.stage(_joined(roots, new, scratch, "c1"), "roots1")
     owner = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     alone = found.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     rows_of = scratch.stage(found.filter("n > 0").join(owner, ["k1", "k2"]).select("doc_id", "root"), "rooted")
@@ -315,3 +288,88 @@ def _linked(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def _across(sets: DataFrame, members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between the classes of each bucket, as pairs of roots, from all its pairs of nodes of different classes.
+
+    Members are (node, n, bucket, root). A bucket's largest class and the rest are cut into parts of
+    about `block` nodes and VOLUME shingles; a unit compares two parts. Two parts of the largest
+    class never meet, so its nodes travel once for each part of the rest.
+    """
+    by_class = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("v"))
+    sizes = by_class.groupBy("bucket").agg(F.max(F.struct("c", "v", "root")).alias("major"), F.sum("c").alias("c"), F.sum("v").alias("v"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    parts = lambda c, v: F.ceil(F.greatest(c / F.lit(block), v / F.lit(VOLUME)))
+    sizes = sizes.select("bucket", F.col("major.root").alias("major"), parts(F.col("major.c"), F.col("major.v")).alias("m"), parts(F.col("c") - F.col("major.c"), F.col("v") - F.col("major.v")).alias("r"))
+    m, r, own = F.col("m"), F.col("r"), F.col("part")
+    met = members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), m).otherwise(r)))
+    with_rest = F.transform(F.sequence(F.lit(0), r - 1), lambda j: own * r + j)
+    with_major = F.transform(F.sequence(F.lit(0), m - 1), lambda i: i * r + own)
+    in_rest = F.transform(F.sequence(F.lit(0), r - 1), lambda j: (m + F.least(own, j)) * r + F.greatest(own, j))
+    units = F.when((m == 1) & (r == 1), F.array(F.lit(0).cast("long"))).when(F.col("root") == F.col("major"), with_rest).otherwise(F.concat(with_major, in_rest))
+    rows = met.select("node", "root", "bucket", F.explode(units).alias("unit")).join(sets, "node").select("bucket", "unit", "root", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def links() -> np.ndarray:
+            root, lists = pa.concat_arrays([h.column(2) for h in held]), pa.concat_arrays([h.column(3) for h in held])
+            return class_links(np.asarray(root), np.asarray(pa.compute.list_value_length(lists)), np.asarray(lists.flatten()), similarity)
+
+        for batch in batches:
+            bucket, unit, found = np.asarray(batch.column(0)), np.asarray(batch.column(1)), []
+            cuts = (np.flatnonzero((bucket[1:] != bucket[:-1]) | (unit[1:] != unit[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+                if lo < hi:
+                    if held and key != (bucket[lo], unit[lo]):
+                        found.append(links())
+                        held.clear()
+                    key = (bucket[lo], unit[lo])
+                    held.append(batch.slice(lo, hi - lo))
+            yield from _pairs(found)
+        yield from _pairs([links()] if held else [])
+
+    return rows.repartition("bucket", "unit").sortWithinPartitions("bucket", "unit").mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        both = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def class_links(root: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of roots that connect the classes with texts as similar as the bound, from all pairs of texts.
+
+    Shingles that texts share are columns of a matrix of 0 and 1; its products count the common ones.
+    """
+    classes, own = np.unique(root, return_inverse=True)
+    n, c = len(root), len(classes)
+    if c == 1:
+        return np.empty((0, 2), np.int64)
+    _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    doc, shared = np.repeat(np.arange(n), sizes), times[column] > 1
+    doc, column = doc[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    common = np.zeros((n, n))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[doc[lo:hi], column[lo:hi] - at] = 1
+        common += part @ part.T
+    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    near &= own[:, None] != own[None, :]
+    a, b = np.nonzero(near)
+    linked = np.zeros((c, c), bool)
+    linked[own[a], own[b]] = True
+    out, left = [], linked.any(1)
+    while left.any():  # a star for each group of connected classes
+        first = int(left.argmax())
+        left[first] = False
+        front = np.array([first])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(0) & left)
+            left[front] = False
+            out.append(np.stack((np.full(len(front), classes[first]), classes[front]), 1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)

@@ -66,6 +66,23 @@ def test_near_duplicates_in_a_large_family(spark):
     assert sum(got[d] == want[d] for d in want) >= 0.99 * len(want)
 
 
+def test_near_duplicates_pairs_in_large_buckets(spark):
+    """Texts that share large buckets with many others, but whose only partner is one of them."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(200):
+        places = [k + rng.randrange(20) for k in (10, 60, 110, 160)]
+        for j in (0, 1):  # the same places, other words: what the two share, most texts share
+            text = [f"b{k}" for k in range(200)]
+            for k in places:
+                text[k] = f"e{2 * i + j}x{k}"
+            rows.append((2 * i + j, " ".join(text)))
+    want = {i: (c, n) for i, c, n in classes(rows)}
+    assert sum(n == 2 for _, n in want.values()) > 300
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in prob_minhash.near_duplicates(documents(spark, rows)).collect()} == want
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in prob_minhash.near_duplicates(documents(spark, rows), block=20).collect()} == want
+
+
 def test_near_duplicates_edges(spark):
     got = sorted(((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in prob_minhash.near_duplicates(documents(spark)).collect()), key=str)
     want = [(1, 5, 4, False), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 1, True), (5, 5, 4, True), (5, 5, 4, True), (6, 7, 2, False), (7, 7, 2, True), (None, 5, 4, False)]
