@@ -3,7 +3,7 @@
 Pages are parsed into element subtrees. What the markup itself names as no part of the article
 (menus, adverts, forms, comments and so on) goes first. Then subtrees are hashed and counted per
 host in Spark; those that recur on many pages of their host are a template of the site and are
-deleted. Text blocks inside an article or main element stay, as an article may repeat a passage;
+deleted. Copies of a page or article count as one page. Text blocks inside an article or main element stay, as an article may repeat a passage;
 there only whole containers that recur go.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,6 +162,19 @@ def hash_subtrees(node: Node, within: bool = False, found: list | None = None) -
     return found
 
 
+def content_hash(root: Node) -> int:
+    """Hash of a hashed page's article and main elements, else of the whole page; copies share it."""
+    h, found, work = xxhash.xxh64(), False, [root]
+    while work:
+        n = work.pop()
+        if n.main:
+            h.update(n.hash.to_bytes(8, "little"))
+            found = True
+        else:
+            work.extend(k for k in reversed(n.kids) if isinstance(k, Node) and not k.out)
+    return h.intdigest() if found else root.hash
+
+
 def blocks(root: Node, template: frozenset[int] | set[int]) -> list[str]:
     """Texts of blocks in page order, without what is ruled out or a template."""
     article = _has_main(root)
@@ -218,9 +230,10 @@ def extract_text(
     """One row per page: page_id, url, text, n_chars.
 
     A subtree is a template if it recurs on at least `min_pages` pages and the share `min_share` of
-    the pages of its host; pages whose URL has no host share one. If a page has an article or main
-    element, only its text is taken. Null and empty pages have an empty text. Repeated rows are
-    extracted one by one and count singly. Extra columns are not read.
+    the pages of its host; pages whose URL has no host share one. Rows of a host with the same
+    article and main elements, or the same page where there are none, count as one page. If a page
+    has an article or main element, only its text is taken. Null and empty pages have an empty text.
+    Repeated rows are extracted one by one. Extra columns are not read.
 
     The templates go to every task if they are at most `max_shared`; beyond that each page gets its
     own by joins on host and hash.
@@ -228,26 +241,26 @@ def extract_text(
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: set[tuple[str, int, int]] = set()
 
         def emit() -> pa.RecordBatch:
             keys = list(seen)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array(np.array([k[1] for k in keys], np.uint64).view(np.int64)), pa.array([seen[k] for k in keys], pa.int64())], ["host", "hash", "n"]
-            )
+            signed = lambda i: pa.array(np.array([k[i] for k in keys], np.uint64).view(np.int64))
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), signed(1), signed(2)], ["host", "content", "hash"])
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                seen[host, 0] += 1  # pages of the host
-                seen.update((host, h) for h in {h for h, _ in hash_subtrees(parse(page or ""))})
+                host, root = host_of(url), parse(page or "")
+                found = {h for h, _ in hash_subtrees(root)}
+                content = content_hash(root)
+                seen.add((host, content, 0))  # pages of the host
+                seen.update((host, content, h) for h in found)
                 if len(seen) > 200_000:
                     yield emit()
         yield emit()
 
-    counts = src.select("url", "html").mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
+    counts = src.select("url", "html").mapInArrow(count, "host string, content long, hash long").groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).filter(F.col("n") >= min_pages)
     from .common import Scratch
 
     counts = Scratch(pages.sparkSession, "templates").stage(counts, "counts")

@@ -191,6 +191,18 @@ def test_site_templates_go(spark, shared):
     assert got[101] == "About us\nImprint\nStory 1 tells this\nSame ending\nPart 1"
 
 
+@pytest.mark.parametrize("shared", [200_000, 0])
+def test_copies_are_no_template(spark, shared):
+    """Copies of a page or an article count once; what different pages share still goes."""
+    plain = "<body><div><div>About us</div></div><div><p>Story {i} tells this</p><ul><li>point {i}</ul></div></body>"
+    article = "<body><div>Part {j}</div><article><div><h1>Title {i}</h1><p>Text {i}</p></div><section><p>Share it</p></section></article></body>"
+    rows = [(i, f"http://a.org/{i}", plain.format(i=0)) for i in range(30)] + [(100 + i, f"http://a.org/o{i}", plain.format(i=i)) for i in range(1, 20)]
+    rows += [(200 + i, f"http://b.org/{i}", article.format(i=0, j=i)) for i in range(30)] + [(300 + i, f"http://b.org/o{i}", article.format(i=i, j=i)) for i in range(1, 20)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages(spark, rows), max_shared=shared).collect()}
+    assert {got[i] for i in range(30)} == {"Story 0 tells this\npoint 0"} and got[107] == "Story 7 tells this\npoint 7"
+    assert {got[200 + i] for i in range(30)} == {"Title 0\nText 0"} and got[307] == "Title 7\nText 7"
+
+
 def test_pages_of_the_tables(spark, sf):
     import html
     import re
