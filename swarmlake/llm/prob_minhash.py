@@ -5,7 +5,8 @@ shingle sends points of a Poisson process, whose rate is its weight, to random r
 keeps the shingle of its first point, and a process stops once its next point comes later than the
 first points of all registers. Registers of two documents agree with the probability Jaccard
 similarity of their weights. Bands of registers find candidates, whose shingle sets are then
-compared exactly; links make classes by connected components.
+compared exactly; links make classes by connected components. Texts that repeat shingles have a
+second set of bands with weights of one, so that candidates also follow the similarity of the sets.
 """
 
 from __future__ import annotations
@@ -110,10 +111,14 @@ class Shingled:
 
 def signatures(s: Shingled, texts: int, registers: int) -> np.ndarray:
     """The shingle of the first point in each register, for every text with shingles."""
+    return first_shingles(s.doc, s.hash, s.times, texts, registers)
+
+
+def first_shingles(doc: np.ndarray, shingles: np.ndarray, weights: np.ndarray, texts: int, registers: int) -> np.ndarray:
     first = np.full(texts * registers, np.inf)
     winner = np.zeros(texts * registers, np.uint64)
-    doc, seed, rate, time = s.doc, s.hash, s.times.astype(np.float64), np.zeros(len(s.doc))
-    source, step = s.hash, 0
+    seed, rate, time = shingles, weights.astype(np.float64), np.zeros(len(doc))
+    source, step = shingles, 0
     while len(doc):
         step += 1
         draw = mix(seed + np.uint64(step * int(P) % (1 << 64)))
@@ -157,15 +162,29 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """A row (doc_id, k1, k2, n, bands) per document; k1, k2 stand for its words, n counts its shingles."""
+    """A row (doc_id, k1, k2, n, bands) per document; k1, k2 stand for its words, n counts its shingles.
+
+    A text that repeats shingles has its bands by weights and those by its set; in other texts both
+    are the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _pieces(batches):
             s, n = Shingled(texts, width), len(texts)
             keys = band_keys(signatures(s, n, bands * rows), bands)
             has = s.size > 0
+            repeats = np.bincount(s.doc, s.times > 1, n) > 0
+            if repeats.any():
+                own, at = repeats[s.doc], np.cumsum(repeats) - 1
+                plain = first_shingles(at[s.doc[own]], s.hash[own], np.ones(own.sum()), int(repeats.sum()), bands * rows)
+                both = np.concatenate((keys, keys), 1)
+                both[repeats, bands:] = band_keys(plain, bands)
+                there = np.arange(2 * bands) < np.where(has, np.where(repeats, 2, 1), 0)[:, None] * bands
+                flat, sizes = both[there], there.sum(1)
+            else:
+                flat, sizes = keys[has].ravel(), has * bands
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(s.keys[0]), pa.array(s.keys[1]), pa.array(s.size, pa.int32()), _lists(keys[has].ravel(), has * bands)], ["doc_id", "k1", "k2", "n", "bands"]
+                [ids, pa.array(s.keys[0]), pa.array(s.keys[1]), pa.array(s.size, pa.int32()), _lists(flat, sizes)], ["doc_id", "k1", "k2", "n", "bands"]
             )
 
     return docs.mapInArrow(run, SIGNATURES)
@@ -233,7 +252,7 @@ def near_duplicates(
     """One row per document: id, class_id (the largest id of its class), class_size, kept.
 
     Two texts are linked if the Jaccard similarity of their sets of `width`-word shingles is at
-    least `similarity`; the weights steer only which pairs are compared. Texts of equal word
+    least `similarity`; which pairs are compared follows both the weights and the sets. Texts of equal word
     sequences are one node. Null and empty texts, and others without words, have no shingles and
     are classes of their own. Rows that repeat an id count singly and share `kept`; null ids stand
     below all others. Extra columns are not read; an empty table gives an empty result.
@@ -248,7 +267,7 @@ def near_duplicates(
     found = scratch.stage(sketch(src, width, bands, rows), "sketch")
     nodes = found.filter("n > 0").groupBy("k1", "k2").agg(F.max("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
     nodes = scratch.stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bucketed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    bucketed = nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("bucket"))
     both = F.col("x.bucket") == F.col("y.bucket")
     fits = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n")
     pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]

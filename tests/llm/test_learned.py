@@ -83,6 +83,16 @@ def test_near_duplicates_pairs_in_large_buckets(spark):
     assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in prob_minhash.near_duplicates(documents(spark, rows), block=20).collect()} == want
 
 
+def test_near_duplicates_of_texts_with_repeats(spark):
+    """The same shingles, many times over in one text: equal as sets, far apart by weights."""
+    rows = []
+    for i in range(30):
+        text = [f"t{i}w{k}" for k in range(104)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text + text[10:34] * 50))]
+    got = sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in prob_minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == classes(rows) and all(n == 2 for _, _, n in got)
+
+
 def test_near_duplicates_edges(spark):
     got = sorted(((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in prob_minhash.near_duplicates(documents(spark)).collect()), key=str)
     want = [(1, 5, 4, False), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 1, True), (5, 5, 4, True), (5, 5, 4, True), (6, 7, 2, False), (7, 7, 2, True), (None, 5, 4, False)]
