@@ -32,3 +32,15 @@ def test_query(spark, sf, con, name):
         assert plain(got).equals(plain(want))
     else:
         assert len(got)
+
+
+def test_search_of_a_token_in_many_documents(spark, tmp_path):
+    """More documents than the catalog's cap of a token: the plain queries look at all."""
+    text = "SELECT i AS doc_id, 'this is one of tion' AS text, i AS n_chars FROM range(11000) t(i)"
+    duckdb.execute(f"COPY ({text}) TO '{tmp_path}/documents.parquet'")
+    c = duckdb.connect()
+    for name in ("orders", "part", "customer"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    for name in ("search_all_tokens", "search_page"):
+        assert plain(registry.QUERIES[name](spark, str(tmp_path)).toPandas()).equals(plain(c.execute(registry.ORACLE_SQL[name]).df())), name
