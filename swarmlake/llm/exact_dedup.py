@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_groups
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RANK_BITS = 22  # distinct items in one bucket; a bucket gets PER_BUCKET on average
@@ -21,7 +21,9 @@ PER_BUCKET = 48
 
 def normalised(text: Column) -> Column:
     """Null counts as empty; only A-Z are lower-cased. The result is UTF-8 bytes."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER).cast("binary")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    ascii_only = F.octet_length(text) == F.char_length(text)  # there both are the same, and lower() is faster
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)).cast("binary")
 
 
 def hashes(item: Column) -> list[Column]:
@@ -35,7 +37,7 @@ def named(items: DataFrame, column: str, expected: int) -> DataFrame:
     tells that two values of the bucket share both hashes of `hashes`.
     """
     buckets = max(64, expected // PER_BUCKET)
-    sets = items.groupBy(F.pmod(F.xxhash64(column), F.lit(buckets)).alias("_bucket")).agg(F.array_sort(F.collect_set(column)).alias("_all"))
+    sets = items.groupBy(F.pmod(F.xxhash64(column), F.lit(buckets)).alias("_bucket")).agg(F.sort_array(F.collect_set(column)).alias("_all"))
     keys = F.transform("_all", lambda x: F.struct(*hashes(x)))
     return sets.select(
         "_bucket", (F.size(F.array_distinct(keys)) < F.size("_all")).alias("unsure"), F.posexplode("_all").alias("_rank", column)
@@ -64,7 +66,7 @@ def named_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
     return level
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts are equal to each other. Of equal texts the row with
@@ -84,7 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while width * block_bytes < longest:
         # Documents of one name are finished; the second half of a pair is -1 past a text's end.
         over = F.col("_len") <= width * block_bytes
-        done.append(scratch.stage(level.filter(over).select("_id", "_sha", "name"), f"done{k}"))
+        done.append(level.filter(over).select("_id", "_sha", "name"))
         odd = F.col("_pos") % 2 == 1
         pairs = level.filter(~over).groupBy("_id", "_sha", "_len", F.floor(F.col("_pos") / 2).cast("int").alias("_pos")).agg(
             F.max(F.when(~odd, F.col("name"))).alias("_left"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(-1)).alias("_right")
@@ -93,7 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = scratch.stage(pairs.select("_id", "_sha", "_len", "_pos", joined.alias("_pair")), f"pairs{k}")
         names = named(pairs, "_pair", total // (2 * width * block_bytes)).drop("unsure")
         level = scratch.stage(pairs.join(names, "_pair").select("_id", "_sha", "_len", "_pos", "name"), f"level{k + 1}")
-        scratch.drop(f"pairs{k}", f"level{k}")
+        scratch.drop(f"pairs{k}")
         width, k = width * 2, k + 1
     done.append(level.select("_id", "_sha", "name"))
     # A name is unique within its level, and a text's length fixes the level where it finishes.
@@ -103,8 +105,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named_docs = named_docs.unionByName(part)
     match = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._sha") == F.col("b._sha"))
     full = scratch.stage(rows.alias("a").join(named_docs.alias("b"), match).select("a._id", "a._sha", "_rows", "_level", "name"), "full")
-    groups = full.groupBy("_level", "name").agg(F.max("_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
-    return full.join(groups, ["_level", "name"]).select(
+    groups = full.groupBy("_level", "name").agg(F.max("_id").alias("keep_id"), F.sum("_rows").alias("group_size"), F.count(F.lit(1)).alias("_members"))
+    groups = scratch.stage(groups, "groups")
+    scratch.drop("rows", *(f"level{i}" for i in range(k + 1)))
+    return join_groups(full, groups, ["_level", "name"], "_members", full.count()).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_copy"),
     ).drop("_copy")
