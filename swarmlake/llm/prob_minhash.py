@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, Scratch
+from .common import WORD_TABLE, Scratch, join_groups
 
 TABLE = np.frombuffer(WORD_TABLE, np.uint8)
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
@@ -255,7 +255,8 @@ def near_duplicates(
     least `similarity`; which pairs are compared follows both the weights and the sets. Texts of equal word
     sequences are one node. Null and empty texts, and others without words, have no shingles and
     are classes of their own. Rows that repeat an id count singly and share `kept`; null ids stand
-    below all others. Extra columns are not read; an empty table gives an empty result.
+    below all others. Texts of any length are read whole, in pieces. Extra columns are not read; an
+    empty table gives an empty result.
 
     A band's bucket of at most `all_pairs` nodes compares all its pairs; in a larger one all nodes
     are compared with the least. Links make classes. A large bucket whose nodes are then of one
@@ -265,14 +266,15 @@ def near_duplicates(
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = scratch.stage(sketch(src, width, bands, rows), "sketch")
-    nodes = found.filter("n > 0").groupBy("k1", "k2").agg(F.max("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    nodes = found.filter("n > 0").groupBy("k1", "k2").agg(F.max("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     nodes = scratch.stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    total, texts = found.count(), nodes.count()
     bucketed = nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("bucket"))
     both = F.col("x.bucket") == F.col("y.bucket")
     fits = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n")
     pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
     sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
-    members = scratch.stage(bucketed.join(sizes, "bucket"), "members0")
+    members = scratch.stage(join_groups(bucketed, scratch.stage(sizes, "sizes"), ["bucket"], "size", 2 * bands * texts), "members0")
     sets = _sets(src, nodes, members.select("node").distinct(), width, max_shared, scratch)
     few, many = members.filter(F.col("size") <= all_pairs), members.filter(F.col("size") > all_pairs)
     pairs = few.alias("x").join(few.alias("y"), both & (F.col("x.node") < F.col("y.node")) & fits).select(*pair)
@@ -280,14 +282,17 @@ def near_duplicates(
     roots = scratch.stage(components(_linked(sets, pairs, similarity), scratch, "c0"), "roots0")
     # Only buckets of more than one class hold pairs that can still matter.
     many = many.select("node", "n", "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    new = scratch.stage(_across(sets, scratch.stage(many, "members1"), similarity, block).distinct(), "links1")
+    new = scratch.stage(_across(sets, scratch.stage(many, "members1"), similarity, block, scratch).distinct(), "links1")
     if not new.isEmpty():
         roots = scratch.stage(_joined(roots, new, scratch, "c1"), "roots1")
-    owner = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    # A class is summed up over its distinct texts, a text over its copies; neither may be a hot key.
+    owner = scratch.stage(nodes.join(roots, "node", "left").select("k1", "k2", "rep", "copies", F.coalesce("root", "node").alias("root")), "owner")
+    classes = owner.groupBy("root").agg(F.max("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("_texts"))
+    owner = join_groups(owner, scratch.stage(classes, "classes"), ["root"], "_texts", texts).select("k1", "k2", "class_id", "class_size", "copies")
+    owner = scratch.stage(owner, "owned")
+    scratch.drop("members0", "members1", "sizes", "sets", "chosen", "links1", "roots0", "owner", "classes", "met")
     alone = found.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    rows_of = scratch.stage(found.filter("n > 0").join(owner, ["k1", "k2"]).select("doc_id", "root"), "rooted")
-    classes = rows_of.groupBy("root").agg(F.max("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    every = rows_of.join(classes, "root").select("doc_id", "class_id", "class_size").unionByName(alone)
+    every = join_groups(found.filter("n > 0").select("doc_id", "k1", "k2"), owner, ["k1", "k2"], "copies", total).select("doc_id", "class_id", "class_size").unionByName(alone)
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))).withColumnRenamed("doc_id", id_col)
 
 
@@ -309,7 +314,7 @@ def _linked(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _across(sets: DataFrame, members: DataFrame, similarity: float, block: int) -> DataFrame:
+def _across(sets: DataFrame, members: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
     """Links between the classes of each bucket, as pairs of roots, from all its pairs of nodes of different classes.
 
     Members are (node, n, bucket, root). A bucket's largest class and the rest are cut into parts of
@@ -319,9 +324,10 @@ def _across(sets: DataFrame, members: DataFrame, similarity: float, block: int)
     by_class = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("v"))
     sizes = by_class.groupBy("bucket").agg(F.max(F.struct("c", "v", "root")).alias("major"), F.sum("c").alias("c"), F.sum("v").alias("v"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     parts = lambda c, v: F.ceil(F.greatest(c / F.lit(block), v / F.lit(VOLUME)))
-    sizes = sizes.select("bucket", F.col("major.root").alias("major"), parts(F.col("major.c"), F.col("major.v")).alias("m"), parts(F.col("c") - F.col("major.c"), F.col("v") - F.col("major.v")).alias("r"))
+    sizes = sizes.select("bucket", "c", F.col("major.root").alias("major"), parts(F.col("major.c"), F.col("major.v")).alias("m"), parts(F.col("c") - F.col("major.c"), F.col("v") - F.col("major.v")).alias("r"))
     m, r, own = F.col("m"), F.col("r"), F.col("part")
-    met = members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), m).otherwise(r)))
+    met = join_groups(members, scratch.stage(sizes, "met"), ["bucket"], "c", members.count())
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("major"), m).otherwise(r)))
     with_rest = F.transform(F.sequence(F.lit(0), r - 1), lambda j: own * r + j)
     with_major = F.transform(F.sequence(F.lit(0), m - 1), lambda i: i * r + own)
     in_rest = F.transform(F.sequence(F.lit(0), r - 1), lambda j: (m + F.least(own, j)) * r + F.greatest(own, j))
