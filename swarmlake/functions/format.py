@@ -67,3 +67,15 @@ def sampling_interval(value: Column, has_samples: Column) -> Column:
 
 def sync_state(code: Column) -> Column:
     return F.when(code == 2, "connected").when(code == 3, "disconnected").otherwise("connecting")
+
+
+def announce_port(implied: Column, port: Column, source_port: Column) -> Column:
+    """The port of an announcing peer: its packet's if that is implied or none is given."""
+    return F.when(F.coalesce(implied, F.lit(False)), source_port).otherwise(F.coalesce(port, source_port))
+
+
+def html_escape(text: Column) -> Column:
+    """Text as a page shows it."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u00a0", "&nbsp;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text

@@ -6,13 +6,17 @@ shuffle on the infohash only, and AQE splits skewed partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import format as fmt
 from ..functions.classify import label, with_category
 from ..functions.text import index_tokens
-from ..schema import CODE, RECENT_PAGE
+from ..schema import CODE, ENTRY, RECENT_PAGE
+
+FILES = ENTRY["files"].dataType
 
 
 def first_arrivals(incoming: DataFrame, order: Column, key: str = "infohash") -> DataFrame:
@@ -56,27 +60,50 @@ def category_filter(name: str | None) -> int | None:
 
 
 def listing(entries: DataFrame) -> DataFrame:
-    """Output columns of a result row."""
+    """Output columns of a result row; entries that are stored without files have none."""
+    files = F.col("files") if "files" in entries.columns else F.lit(None)
     return entries.select(
-        fmt.hex_lower(F.col("infohash")).alias("infohash"), "name", "size", label(F.coalesce(F.col("category").cast("int"), F.lit(0))).alias("category"), fmt.to_unix(F.col("discovered_at")).alias("discovered_at")
-    )
+        fmt.hex_lower(F.col("infohash")).alias("infohash"), "name", "size", label(F.coalesce(F.col("category").cast("int"), F.lit(0))).alias("category"), fmt.to_unix(F.col("discovered_at")).alias("discovered_at"),
+        F.coalesce(files.cast(FILES), F.array().cast(FILES)).alias("files"),
+    )
 
 
 def newest_first() -> list[Column]:
     return [F.desc("discovered_at"), F.desc("infohash")]
 
 
+def page(keys: DataFrame, entries: DataFrame, categories: DataFrame) -> DataFrame:
+    """Result rows, newest first, of a page's few keys: names, files and categories are read for them alone."""
+    few = F.broadcast(keys.select("infohash"))
+    rows = entries.join(few, "infohash", "left_semi").join(categories.join(few, "infohash", "left_semi"), "infohash", "left")
+    return listing(rows).orderBy(*newest_first())
+
+
 def recent(entries: DataFrame, categories: DataFrame, category: str | None = None, offset: int = 0, limit: int = RECENT_PAGE) -> DataFrame:
     """Newest entries. With a category, entries that are not classified count as `other`.
 
-    Without one, the page is cut on the two keys first and only its rows are joined.
+    The page is cut on keys, and only its rows are read whole.
     """
-    code = category_filter(category)
-    if code is None:
-        page = entries.orderBy(*newest_first()).offset(offset).limit(limit)
-        return listing(page.join(categories, "infohash", "left")).orderBy(F.desc("discovered_at"), F.desc("infohash"))
-    rows = entries.join(categories, "infohash", "left").filter(F.coalesce(F.col("category"), F.lit(0)) == code)
-    return listing(rows.orderBy(*newest_first()).offset(offset).limit(limit))
+    code, keys = category_filter(category), entries.select("infohash", "discovered_at")
+    if code is not None:
+        keys = keys.join(categories, "infohash", "left").filter(F.coalesce(F.col("category"), F.lit(0)) == code)
+    return page(keys.orderBy(*newest_first()).offset(offset).limit(limit), entries, categories)
+
+
+def all_pages(entries: DataFrame, categories: DataFrame, category: str | None = None, limit: int = RECENT_PAGE) -> Iterator[DataFrame]:
+    """Pages as a scrolling client asks for them: the next one until one has fewer rows than a page."""
+    offset = 0
+    while True:
+        one = recent(entries, categories, category, offset, limit)
+        yield one
+        if one.count() < limit:
+            return
+        offset += limit
+
+
+def unseen(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """Rows of a page that were not shown before, as pages shift while entries arrive."""
+    return rows.join(shown.select("infohash"), "infohash", "left_anti")
 
 
 def point_lookup(entries: DataFrame, categories: DataFrame, infohash: str) -> DataFrame:
@@ -119,8 +146,3 @@ def write_snapshot(entries: DataFrame, path: str, partitions: int) -> None:
     """A compacted snapshot in time order, so that recent pages and cursors prune by file statistics."""
     ordered = entries.repartitionByRange(partitions, "discovered_at", "infohash").sortWithinPartitions("discovered_at", "infohash")
     ordered.write.mode("overwrite").option("compression", "zstd").parquet(path)
-
-
-def first_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.filter("_n = 1").drop("_n")

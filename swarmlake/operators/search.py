@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, query_tokens
 from ..schema import POSTING_CAP, SEARCH_DEFAULT, SEARCH_MAX
-from .catalog import category_filter, listing, newest_first
+from .catalog import category_filter, newest_first, page
 
 
 def parse_query(spark: SparkSession, text: str) -> list[str]:
@@ -38,8 +38,8 @@ def search(
     An unclassified entry passes any category filter here, other than in `recent`.
     """
     tokens = parse_query(entries.sparkSession, text)
-    rows = entries.join(matches(postings, tokens, cap, strict_stopwords), "infohash").join(categories, "infohash", "left")
+    keys = entries.select("infohash", "discovered_at").join(matches(postings, tokens, cap, strict_stopwords), "infohash")
     code = category_filter(category)
     if code is not None:
-        rows = rows.filter(F.col("category").isNull() | (F.col("category") == code))
-    return listing(rows.orderBy(*newest_first()).offset(offset).limit(min(limit, SEARCH_MAX)))
+        keys = keys.join(categories, "infohash", "left").filter(F.col("category").isNull() | (F.col("category") == code))
+    return page(keys.orderBy(*newest_first()).offset(offset).limit(min(limit, SEARCH_MAX)), entries, categories)

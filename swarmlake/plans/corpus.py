@@ -2,7 +2,7 @@
 
 One torrent per order: the infohash is the SHA-1 of its key, the name a template around a part's
 name, the time the order's date shifted to begin at 0, the files the order's lines. A second
-catalog takes one torrent per document, with the text as its name.
+catalog takes one torrent per document, with the text as its name and the lines of its number as files.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ TEMPLATES = [
     ("", " discography vinyl"), ("", " keygen windows"), ("", " isbn pdf pack"), ("udemy ", " tutorial"),
 ]
 SHIFT = 788_918_400  # 1995-01-01 as time 0
-PARTS = 200
 FILE_EXT = [".mkv", ".mp3", ".pdf", ".exe", ".txt"]
 
 
@@ -34,10 +33,11 @@ def unix_seconds(ts: Column) -> Column:
 
 def torrents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """infohash, name, size, discovered_at, o_orderkey."""
-    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part").filter(F.col("p_partkey") < PARTS).select("p_partkey", "p_name")
+    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    parts = max(1, p.count())
     k = (F.col("o_orderkey") % len(TEMPLATES)).cast("int")
     prefix, suffix = (F.get(F.array(*[F.lit(t[i]) for t in TEMPLATES]), k) for i in (0, 1))
-    return o.join(p, F.col("p_partkey") == F.col("o_orderkey") % PARTS).select(
+    return o.join(p, F.col("p_partkey") == F.col("o_orderkey") % parts).select(
         F.unhex(F.sha1(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))).alias("infohash"), F.concat(prefix, F.col("p_name"), suffix).alias("name"),
         fmt.u48(F.round(F.col("o_totalprice") * 100)).alias("size"), (unix_seconds(F.col("o_orderdate")) - SHIFT).alias("discovered_at"), "o_orderkey",
     )
@@ -60,7 +60,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.unhex(F.sha1(F.concat(F.lit("d"), F.col("doc_id").cast("string")))).alias("infohash"), F.col("text").alias("name"), fmt.u48(F.col("n_chars")).alias("size"), (F.col("doc_id") * 97 % 5000).alias("discovered_at"))
+    none = F.array().cast("array<struct<path:string,size:long>>")
+    return d.join(files(spark, sf_dir).withColumnRenamed("o_orderkey", "doc_id"), "doc_id", "left").select(
+        F.unhex(F.sha1(F.concat(F.lit("d"), F.col("doc_id").cast("string")))).alias("infohash"), F.col("text").alias("name"), fmt.u48(F.col("n_chars")).alias("size"), (F.col("doc_id") * 97 % 5000).alias("discovered_at"),
+        F.coalesce("files", none).alias("files"), "doc_id",
+    )
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,9 @@ def _sql_templates() -> str:
 SQL = f"""templates(k, prefix, suffix) AS (VALUES {_sql_templates()}),
 torrents AS (SELECT sha1('o' || o_orderkey) AS infohash, prefix || p_name || suffix AS name, CAST(round(o_totalprice * 100) AS BIGINT) & 281474976710655 AS size,
     CAST(epoch(o_orderdate) AS BIGINT) - {SHIFT} AS discovered_at, o_orderkey
-    FROM orders JOIN part ON p_partkey = o_orderkey % {PARTS} JOIN templates ON k = o_orderkey % {len(TEMPLATES)}),
-docs AS (SELECT sha1('d' || doc_id) AS infohash, text AS name, n_chars & 281474976710655 AS size, doc_id * 97 % 5000 AS discovered_at FROM documents),
+    FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT greatest(1, count(*)) FROM part) JOIN templates ON k = o_orderkey % {len(TEMPLATES)}),
+docs AS (SELECT sha1('d' || doc_id) AS infohash, text AS name, n_chars & 281474976710655 AS size, doc_id * 97 % 5000 AS discovered_at, doc_id FROM documents),
+listed AS (SELECT l_orderkey, '[' || string_agg('{{"path":"' || path || '","size":' || size || '}}', ',' ORDER BY l_linenumber, path, size) || ']' AS files FROM (SELECT l_orderkey, l_linenumber,
+    p_name || '/' || l_linenumber || ['.mkv', '.mp3', '.pdf', '.exe', '.txt'][l_partkey % 5 + 1] AS path, CAST(round(l_extendedprice * 100) AS BIGINT) AS size FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY l_orderkey),
 nodes AS (SELECT sha1('c' || c_custkey) AS id, '10.' || (c_custkey % 7) || '.' || (c_custkey % 251) || '.1' AS ip, CAST(1024 + c_custkey % 3 AS INTEGER) AS port, c_custkey * 7919 % 100000 AS last_responded,
     false AS dropped, c_nationkey % 3 = 0 AS bep51, c_custkey * 31 % 5000 AS next_at, c_custkey AS insert_seq FROM customer)"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,48 +13,62 @@ from ..functions.text import STOPWORDS, index_tokens
 from ..operators import catalog, routing, search
 from ..schema import CATEGORIES, DISPLAY_ORDER, ENTRY
 from ..sources import codecs, datasource
+from ..store import Store
 from ..streaming import ingest
 from . import corpus
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .base import ORACLE_SQL, QUERIES, query, scratch
 
 # Parts of the checking SQL.
 CLASSIFIED = f"cat AS ({cls.category_sql('torrents', 'infohash')}), known AS (SELECT * FROM cat JOIN (SELECT infohash, o_orderkey FROM torrents) USING (infohash) WHERE o_orderkey % 10 <> 3)"
 LABELS = "lab(code, label) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CATEGORIES)) + ")"
-ROW = "infohash, name, size, coalesce(label, 'other') AS category, discovered_at + 1577836800 AS discovered_at"
+ROW = "infohash, name, size, coalesce(label, 'other') AS category, discovered_at + 1577836800 AS discovered_at, coalesce(files, '[]') AS files"
+FROM = "FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category LEFT JOIN listed ON l_orderkey = torrents.o_orderkey"
 TOKENS = "tok AS (SELECT DISTINCT infohash, token FROM (SELECT infohash, unnest(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]')) AS token FROM docs) WHERE strlen(token) >= 2 AND token NOT IN (" + ", ".join(f"'{w}'" for w in STOPWORDS) + "))"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; `sql` follows the catalog's common table expressions."""
+_stores: dict[tuple[str, str, str], Store] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[Store], None]) -> Store:
+    """A stored catalog, made once for a session and a folder of tables; the listings read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _stores:
+        store = Store(spark, scratch(spark, kind))
+        build(store)
+        _stores[key] = store
+    return _stores[key]
 
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {corpus.SQL}{sql}"
-        return f
 
-    return add
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """The torrents; every tenth is not classified yet."""
 
+    def build(store: Store) -> None:
+        entries, known = corpus.entries(spark, sf_dir), corpus.torrents(spark, sf_dir).filter("o_orderkey % 10 <> 3")
+        store.replace(entries=entries, categories=catalog.classify(known))
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; on one machine without a setting, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="swarmlake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return _stored(spark, sf_dir, "torrents", build)
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entries and categories; every tenth entry is not classified yet."""
-    t = corpus.torrents(spark, sf_dir)
-    return t, catalog.classify(t.filter("o_orderkey % 10 <> 3"))
+    store = _store(spark, sf_dir)
+    return store.read("entries"), store.read("categories")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = corpus.document_entries(spark, sf_dir)
-    codes = d.filter("size % 4 <> 1").select("infohash", (F.col("size") % 11).cast("tinyint").alias("category"))
-    return d, codes, catalog.postings(d)
+    """Documents as entries, with codes for most of them and postings of all their tokens."""
+
+    def build(store: Store) -> None:
+        d = corpus.document_entries(spark, sf_dir)
+        codes = d.filter("size % 4 <> 1").select("infohash", (F.col("size") % 11).cast("tinyint").alias("category"))
+        store.replace(entries=d.drop("doc_id"), categories=codes, postings=catalog.postings(d))
+
+    store = _stored(spark, sf_dir, "documents", build)
+    return store.read("entries"), store.read("categories"), store.read("postings")
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Result rows with their files as JSON."""
+    return rows.withColumn("files", F.to_json("files"))
 
 
 DOC_CODES = "dcat AS (SELECT infohash, size % 11 AS category FROM docs WHERE size % 4 <> 1)"
@@ -65,7 +77,7 @@ DOC_CODES = "dcat AS (SELECT infohash, size % 11 AS category FROM docs WHERE siz
 def _search_sql(tokens: list[str], where: str = "true", limit: int = 20, offset: int = 0, cap: int | None = None) -> str:
     source = "tok" if cap is None else f"(SELECT * FROM tok WHERE token IN ({', '.join(map(repr, tokens))}) QUALIFY row_number() OVER (PARTITION BY token ORDER BY infohash) <= {cap})"
     return f""", {TOKENS}, {LABELS}, {DOC_CODES}, hit AS (SELECT infohash FROM {source} WHERE token IN ({", ".join(map(repr, tokens))}) GROUP BY infohash HAVING count(DISTINCT token) = {len(tokens)})
-        SELECT {ROW} FROM docs JOIN hit USING (infohash) LEFT JOIN dcat USING (infohash) LEFT JOIN lab ON code = category WHERE {where}
+        SELECT {ROW} FROM docs JOIN hit USING (infohash) LEFT JOIN dcat USING (infohash) LEFT JOIN lab ON code = category LEFT JOIN listed ON l_orderkey = doc_id WHERE {where}
         ORDER BY docs.discovered_at DESC, infohash DESC LIMIT {limit} OFFSET {offset}"""
 
 
@@ -124,24 +136,24 @@ def ext_weights(spark, sf_dir):
 # --- listings and statistics
 
 
-@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} {FROM} ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
 def recent(spark, sf_dir):
-    return catalog.recent(*_catalog(spark, sf_dir))
+    return _shown(catalog.recent(*_catalog(spark, sf_dir)))
 
 
-@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50 OFFSET 50")
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} {FROM} ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50 OFFSET 50")
 def recent_page2(spark, sf_dir):
-    return catalog.recent(*_catalog(spark, sf_dir), offset=50)
+    return _shown(catalog.recent(*_catalog(spark, sf_dir), offset=50))
 
 
-@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category WHERE coalesce(category, 0) = 0 ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} {FROM} WHERE coalesce(category, 0) = 0 ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
 def recent_by_category(spark, sf_dir):
-    return catalog.recent(*_catalog(spark, sf_dir), category="other")
+    return _shown(catalog.recent(*_catalog(spark, sf_dir), category="other"))
 
 
 @query(" SELECT count(*)::BIGINT AS total FROM torrents")
 def stats_total(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("total"))
+    return _store(spark, sf_dir).read("entries").agg(F.count(F.lit(1)).alias("total"))
 
 
 @query(f", {CLASSIFIED}, {LABELS} SELECT label AS category, count(*)::BIGINT AS n, list_position([{', '.join(map(repr, DISPLAY_ORDER))}], label) AS position FROM known JOIN lab ON code = category GROUP BY label")
@@ -151,11 +163,13 @@ def stats_by_category(spark, sf_dir):
     return counts.select(cls.label(F.col("category").cast("int")).alias("category"), "n").withColumn("position", rank).orderBy("position")
 
 
-@query(f", {CLASSIFIED}, {LABELS} SELECT (SELECT count(*) FROM torrents)::BIGINT AS total, count(*)::BIGINT AS classified, count(DISTINCT category)::BIGINT AS categories FROM known")
+@query(
+    f", {CLASSIFIED}, {LABELS}, counts AS (SELECT label, count(*) AS n, list_position([{', '.join(map(repr, DISPLAY_ORDER))}], label) AS position FROM known JOIN lab ON code = category GROUP BY label)"
+    " SELECT (SELECT count(*) FROM torrents)::BIGINT AS total, true AS has_size, '{' || (SELECT string_agg('\"' || label || '\":' || n, ',' ORDER BY position) FROM counts) || '}' AS categories, 'connected' AS sync"
+)
 def stats(spark, sf_dir):
-    t, known = _catalog(spark, sf_dir)
-    counts = catalog.category_stats(known).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("classified"), F.count(F.lit(1)).alias("categories"))
-    return t.agg(F.count(F.lit(1)).alias("total")).join(counts)  # two single rows
+    """Total, whether bytes are stored, the counts of categories that have any, and the state of the replication."""
+    return _store(spark, sf_dir).stats(2).select("total", (F.col("db_size") > 0).alias("has_size"), F.to_json("categories").alias("categories"), "sync")
 
 
 @query(" SELECT coalesce(max(discovered_at), 0)::BIGINT AS latest FROM torrents")
@@ -163,11 +177,11 @@ def latest_ts(spark, sf_dir):
     return catalog.latest_timestamp(corpus.torrents(spark, sf_dir))
 
 
-@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} FROM torrents LEFT JOIN known USING (infohash) LEFT JOIN lab ON code = category WHERE infohash = sha1('o7')")
+@query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} {FROM} WHERE infohash = sha1('o7')")
 def point_lookup(spark, sf_dir):
     import hashlib
 
-    return catalog.point_lookup(*_catalog(spark, sf_dir), hashlib.sha1(b"o7").hexdigest())
+    return _shown(catalog.point_lookup(*_catalog(spark, sf_dir), hashlib.sha1(b"o7").hexdigest()))
 
 
 @query(" SELECT infohash, discovered_at FROM torrents ORDER BY discovered_at, infohash")
@@ -194,48 +208,42 @@ def late_unclassified(spark, sf_dir):
     return catalog.unclassified(*_catalog(spark, sf_dir)).agg(F.count(F.lit(1)).alias("late"))
 
 
-@query(" SELECT infohash, '{\"infohash\":\"' || infohash || '\",\"name\":\"' || name || '\",\"size\":' || size || '}' AS json FROM torrents")
-def json_result(spark, sf_dir):
-    h = fmt.hex_lower(F.col("infohash")).alias("infohash")
-    return corpus.torrents(spark, sf_dir).select(h, F.to_json(F.struct(h, F.col("name"), F.col("size"))).alias("json"))
-
-
 # --- search
 
 
 @query(_search_sql(["of", "is"]))
 def search_all_tokens(spark, sf_dir):
-    return search.search(*_documents(spark, sf_dir), "of is", cap=None)
+    return _shown(search.search(*_documents(spark, sf_dir), "of is", cap=None))
 
 
 @query(_search_sql(["tion"]))
 def search_one_token(spark, sf_dir):
-    return search.search(*_documents(spark, sf_dir), "Tion", cap=None)
+    return _shown(search.search(*_documents(spark, sf_dir), "Tion", cap=None))
 
 
 @query(_search_sql(["of", "is"], limit=100, offset=20))
 def search_page(spark, sf_dir):
-    return search.search(*_documents(spark, sf_dir), "is of", limit=500, offset=20, cap=None)
+    return _shown(search.search(*_documents(spark, sf_dir), "is of", limit=500, offset=20, cap=None))
 
 
 @query(_search_sql(["of", "is"], where="category IS NULL OR category = 1"))
 def search_category(spark, sf_dir):
-    return search.search(*_documents(spark, sf_dir), "of is", category="movie", cap=None)
+    return _shown(search.search(*_documents(spark, sf_dir), "of is", category="movie", cap=None))
 
 
 @query(_search_sql(["of", "is"]))
 def search_bad_category(spark, sf_dir):
-    return search.search(*_documents(spark, sf_dir), "of is", category="nonsense", cap=None)
+    return _shown(search.search(*_documents(spark, sf_dir), "of is", category="nonsense", cap=None))
 
 
 @query(_search_sql(["the", "of"]))
 def search_stopword(spark, sf_dir):
-    return search.search(*_documents(spark, sf_dir), "the of", cap=None)
+    return _shown(search.search(*_documents(spark, sf_dir), "the of", cap=None))
 
 
 @query(_search_sql(["of", "is"], cap=30))
 def search_capped(spark, sf_dir):
-    return search.search(*_documents(spark, sf_dir), "of is", cap=30)
+    return _shown(search.search(*_documents(spark, sf_dir), "of is", cap=30))
 
 
 # --- writes
@@ -272,13 +280,6 @@ def sync_apply(spark, sf_dir):
     return catalog.new_entries(local, catalog.entries_since(t, since), F.col("discovered_at")).agg(F.count(F.lit(1)).alias("applied"))
 
 
-@query()
-def compact(spark, sf_dir):
-    path = scratch(spark, "compact")
-    catalog.write_snapshot(corpus.torrents(spark, sf_dir), path, 4)
-    return spark.read.parquet(path).select(F.input_file_name().alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"))
-
-
 # --- formats
 
 
@@ -372,51 +373,6 @@ def sync_export(spark, sf_dir):
     return _hex_entries(raw.mapInPandas(decode, datasource.DUMP))
 
 
-@query(" SELECT doc_id, sha1(text) AS digest, true AS ok FROM documents")
-def verify_sha1(spark, sf_dir):
-    d = corpus.table(spark, sf_dir, "documents")
-    digest = F.sha1(F.col("text").cast("binary"))
-    return d.select("doc_id", digest.alias("digest"), (F.unhex(digest) == F.unhex(F.sha1("text"))).alias("ok"))
-
-
-@query(" SELECT o_orderkey, 2::BIGINT AS n_files, o_orderkey % 1000 + 10 AS size, 'dir/' || o_orderkey AS path FROM orders")
-def info_dict(spark, sf_dir):
-    """Metadata dictionaries built and parsed; the file without a path counts in the size only."""
-    import pandas as pd
-
-    def parse(batches):
-        for b in batches:
-            rows = []
-            for k in b["o_orderkey"]:
-                files = [{"length": int(k % 1000), "path": ["dir", str(k)]}, {"length": 3, "path": ["x"]}, {"length": 7, "path": []}]
-                e = codecs.info_dict(codecs.bencode({"name": f"n{k}", "files": files}))
-                rows.append((k, len(e["files"]), e["size"], e["files"][0][0]))
-            yield pd.DataFrame(rows, columns=["o_orderkey", "n_files", "size", "path"])
-
-    return corpus.table(spark, sf_dir, "orders").select("o_orderkey").mapInPandas(parse, "o_orderkey long, n_files long, size long, path string")
-
-
-@query(" SELECT c_custkey, 'q' AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'get_peers' ELSE 'find_node' END AS method, sha1('c' || c_custkey) AS id, 2::BIGINT AS n_nodes, 1::BIGINT AS n_peers FROM customer")
-def krpc_parse(spark, sf_dir):
-    """Messages built and parsed: a query for the method and a response for nodes and peers."""
-    import hashlib
-
-    import pandas as pd
-
-    def parse(batches):
-        for b in batches:
-            rows = []
-            for k in b["c_custkey"]:
-                me = hashlib.sha1(b"c%d" % k).digest()
-                ask = codecs.parse_message(codecs.query(b"aa", "get_peers" if k % 2 == 0 else "find_node", {"id": me, "target": me}))
-                near = b"".join(me + bytes((10, 0, 0, i)) + (0 if i == 2 else 80).to_bytes(2, "big") for i in range(3)) + b"rest"
-                got = codecs.parse_message(codecs.response(b"aa", {"id": me, "nodes": near, "values": [b"\x01\x02\x03\x04\x00\x50", b"short"]}))
-                rows.append((k, ask["kind"], ask["method"], ask["id"].hex(), len(got["nodes"]), len(got["peers"])))
-            yield pd.DataFrame(rows, columns=["c_custkey", "kind", "method", "id", "n_nodes", "n_peers"])
-
-    return corpus.table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(parse, "c_custkey long, kind string, method string, id string, n_nodes long, n_peers long")
-
-
 @query(" SELECT l_orderkey AS o_orderkey, string_agg(x, '' ORDER BY n, x) AS whole FROM (SELECT l_orderkey, l_linenumber AS n, 'p' || l_linenumber || ';' AS x FROM lineitem) GROUP BY l_orderkey")
 def pieces(spark, sf_dir):
     """Pieces put together by their numbers."""
@@ -424,19 +380,6 @@ def pieces(spark, sf_dir):
     return li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("p")).alias("p")).select("o_orderkey", F.array_join(F.transform("p", lambda p: p["x"]), "").alias("whole"))
 
 
-@query()
-def bloom_sim(spark, sf_dir):
-    """Repeats that the decaying filter reports in a stream of keys; its order is one sequence of steps."""
-    import pandas as pd
-
-    def run(pdf):
-        bloom = codecs.StableBloom(1000)
-        return pd.DataFrame({"seq": pdf.sort_values("seq")["seq"], "seen": [bloom.test_and_add(bytes(h)) for h in pdf.sort_values("seq")["h"]]})
-
-    ev = corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.unhex(F.sha1(F.col("user_id").cast("string"))).alias("h")).withColumn("shard", F.lit(0))
-    return ev.groupBy("shard").applyInPandas(run, "seq long, seen boolean")
-
-
 # --- routing
 
 LIMB = "xor(('0x' || substr(id, {a}, {n}))::BIGINT, ('0x' || substr(sha1('s1'), {a}, {n}))::BIGINT)"
@@ -518,34 +461,6 @@ def announce_last(spark, sf_dir):
     return routing.last_announced(_announces(spark, sf_dir)).select("infohash", F.col("peers")[0].alias("peer"))
 
 
-@query(f", {ANNOUNCES}, held AS (SELECT infohash, max_by(peer, seq) AS peer FROM ann GROUP BY infohash), asked AS (SELECT c_custkey, sha1('u' || c_custkey * 2) AS infohash FROM customer) SELECT c_custkey, CASE WHEN peer IS NULL THEN 'nodes' ELSE 'peers' END AS branch, peer FROM asked LEFT JOIN held USING (infohash)")
-def route_get_peers(spark, sf_dir):
-    asked = corpus.table(spark, sf_dir, "customer").select("c_custkey", F.sha1(F.concat(F.lit("u"), (F.col("c_custkey") * 2).cast("string"))).alias("infohash"))
-    found = asked.join(routing.last_announced(_announces(spark, sf_dir)), "infohash", "left")
-    return found.select("c_custkey", F.when(F.col("peers").isNull(), "nodes").otherwise("peers").alias("branch"), F.col("peers")[0].alias("peer"))
-
-
-@query()
-def route_sample(spark, sf_dir):
-    return corpus.nodes(spark, sf_dir).orderBy(F.rand(7), "id").limit(20).select(*NODE.split(", "))
-
-
-@query()
-def route_split(spark, sf_dir):
-    return corpus.nodes(spark, sf_dir).select("id", F.when(F.rand(7) < 0.5, "find").otherwise("sample").alias("way"))
-
-
-@query(
-    ", q AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 2 = 0), r AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 2 = 1)"
-    " SELECT q.event_id AS query_id, r.event_id AS reply_id FROM q JOIN r ON q.user_id = r.user_id AND r.t >= q.t AND r.t <= q.t + 3600000000"
-)
-def krpc_match(spark, sf_dir):
-    """Replies to queries of the same transaction within a bound."""
-    e = corpus.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("t"))
-    q, r = (e.filter(F.col("event_id") % 2 == i).alias(n) for i, n in ((0, "q"), (1, "r")))
-    return q.join(r, (F.col("q.user_id") == F.col("r.user_id")) & (F.col("r.t") >= F.col("q.t")) & (F.col("r.t") <= F.col("q.t") + F.expr("INTERVAL 1 HOUR"))).select(F.col("q.event_id").alias("query_id"), F.col("r.event_id").alias("reply_id"))
-
-
 # --- streaming and ingest
 
 
@@ -591,15 +506,4 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema("user_id long").parquet(f"{path}/rows")
 
 
-@query(" SELECT sha1('u' || user_id) AS infohash, 'name ' || min(event_id) AS name FROM events WHERE user_id % 10 <> 0 GROUP BY user_id")
-def ingest_stream(spark, sf_dir):
-    """Events as discovered entries: empty names dropped, first write wins, appended per micro-batch."""
-    e = _event_stream(spark, sf_dir)
-    rows = e.select(
-        F.unhex(F.sha1(F.concat(F.lit("u"), F.col("user_id").cast("string")))).alias("infohash"), F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit("name "), F.col("event_id").cast("string"))).alias("name"),
-        F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("discovered_at"), F.array().cast("array<struct<path:string,size:long>>").alias("files"), F.col("event_id").alias("seq"),
-    )
-    path = scratch(spark, "ingest")
-    store = ingest.Catalog(spark, f"{path}/catalog", ENTRY).create()
-    ingest.run_available(rows, f"{path}/state", lambda batch, n: store.append(batch, n, F.col("seq")))
-    return store.rows().select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "name")
+from . import jobs, protocol  # noqa: E402, F401  they register theirs

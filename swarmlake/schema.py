@@ -18,4 +18,5 @@ ENTRY = T.StructType([
     T.StructField("discovered_at", T.LongType()), T.StructField("files", T.ArrayType(FILE)),
 ])
 
+NEAR, MAX_HASHES, LOOKUP_PEERS = 8, 80, 10
 RECENT_PAGE, SEARCH_DEFAULT, SEARCH_MAX, POSTING_CAP, K_NEAREST, MAX_PEERS = 50, 20, 100, 10_000, 80, 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from io import BufferedIOBase
@@ -148,6 +149,25 @@ def read_header(raw: bytes) -> tuple[int, ...]:
     return struct.unpack(">5Q", raw[:40])
 
 
+def write_request(since: int) -> bytes:
+    """What a sync client sends: the second from which on it wants rows."""
+    return struct.pack(">I", since & 0xFFFFFFFF)
+
+
+def read_request(raw: bytes) -> int:
+    return struct.unpack(">I", raw[:4])[0]
+
+
+END_OF_FRAMES = b"\0\0"
+_DIGITS = re.compile(rb"0|-?[1-9][0-9]*")
+
+
+def _number(raw: bytes) -> int:
+    if not _DIGITS.fullmatch(raw):
+        raise ValueError("not a number of this notation")
+    return int(raw)
+
+
 def bdecode(raw: bytes, at: int = 0) -> tuple[Any, int]:
     """The value that begins at a place, and where it ends. Raises ValueError if malformed."""
     if at >= len(raw):
@@ -155,7 +175,7 @@ def bdecode(raw: bytes, at: int = 0) -> tuple[Any, int]:
     kind = raw[at : at + 1]
     if kind == b"i":
         end = raw.index(b"e", at)
-        return int(raw[at + 1 : end]), end + 1
+        return _number(raw[at + 1 : end]), end + 1
     if kind in b"ld":
         items, at = [], at + 1
         while raw[at : at + 1] != b"e":
@@ -167,7 +187,7 @@ def bdecode(raw: bytes, at: int = 0) -> tuple[Any, int]:
             raise ValueError("dictionary keys are strings")
         return dict(zip(items[::2], items[1::2], strict=True)), at + 1
     colon = raw.index(b":", at)
-    n = int(raw[at:colon])
+    n = _number(raw[at:colon])
     if n < 0 or colon + 1 + n > len(raw):
         raise ValueError("string past the end")
     return raw[colon + 1 : colon + 1 + n], colon + 1 + n
@@ -206,7 +226,7 @@ def parse_message(raw: bytes) -> dict[str, Any] | None:
         return None
     if not isinstance(msg, dict) or not isinstance(msg.get(b"y"), bytes) or not isinstance(msg.get(b"t"), bytes):
         return None
-    out: dict[str, Any] = {"kind": msg[b"y"].decode("utf-8", "replace"), "transaction": msg[b"t"], "method": None, "id": None, "target": None, "port": None, "nodes": [], "peers": [], "samples": [], "interval": None, "error": None}
+    out: dict[str, Any] = {"kind": msg[b"y"].decode("utf-8", "replace"), "transaction": msg[b"t"], "method": None, "id": None, "target": None, "port": None, "nodes": [], "peers": [], "samples": [], "num": None, "interval": None, "error": None}
     if isinstance(msg.get(b"q"), bytes):
         out["method"] = msg[b"q"].decode("utf-8", "replace")
     part = msg.get(b"a") if isinstance(msg.get(b"a"), dict) else msg.get(b"r")
@@ -223,6 +243,7 @@ def parse_message(raw: bytes) -> dict[str, Any] | None:
         if isinstance(part.get(b"values"), list):
             out["peers"] = [p for v in part[b"values"] if isinstance(v, bytes) and (p := compact_peer(v))]
         out["interval"] = part.get(b"interval") if isinstance(part.get(b"interval"), int) else None
+        out["num"] = part.get(b"num") if isinstance(part.get(b"num"), int) else None
     if isinstance(msg.get(b"e"), list) and msg[b"e"]:
         out["error"] = msg[b"e"][0] if isinstance(msg[b"e"][0], int) else None
     return out
@@ -240,6 +261,30 @@ def error(transaction: bytes, code: int, text: str) -> bytes:
     return bencode({"t": transaction, "y": "e", "e": [code, text]})
 
 
+# What each request must carry besides its id, and the code of an answer to a bad one.
+REQUESTS = {"ping": None, "find_node": b"target", "get_peers": b"info_hash", "announce_peer": b"info_hash", "sample_infohashes": None}
+SERVER_ERROR = 202
+
+
+def dispatched(raw: bytes, me: bytes) -> tuple[str | None, bytes | None]:
+    """The method of a request and the answer's beginning: a response with our id, or error 202 for what can't be served.
+
+    Packets that can't be read, and those that are no request, get no answer.
+    """
+    msg = parse_message(raw)
+    if msg is None or msg["kind"] != "q":
+        return None, None
+    need = REQUESTS.get(msg["method"], b"?")
+    if msg["id"] is None or need == b"?" or need is not None and msg["target"] is None:
+        return msg["method"], error(msg["transaction"], SERVER_ERROR, "Server Error")
+    return msg["method"], response(msg["transaction"], {"id": me})
+
+
+def sample_reply(msg: dict[str, Any]) -> dict[str, Any]:
+    """What a caller takes from the answer to sample_infohashes; a missing number or interval counts as 0."""
+    return {"id": msg["id"], "samples": msg["samples"], "nodes": msg["nodes"], "num": msg["num"] or 0, "interval": msg["interval"] or 0}
+
+
 def announce_port(implied: bool, port: int | None, source_port: int) -> int:
     return source_port if implied or port is None else port
 
@@ -266,21 +311,94 @@ def verified(metadata: bytes, infohash: bytes) -> bool:
     return hashlib.sha1(metadata).digest() == infohash
 
 
+# Fixed values of the peer protocol: its name, the size of a metadata piece, the largest metadata, message types.
+PROTOCOL = b"\x13BitTorrent protocol"
+PIECE, MAX_METADATA = 16_384, 10 << 20
+REQUEST, DATA, REJECT = 0, 1, 2
+
+
+def handshake(infohash: bytes, extended: bool = True, peer: bytes = b"-SL0000-000000000000") -> bytes:
+    return PROTOCOL + bytes((0, 0, 0, 0, 0, 0x10 if extended else 0, 0, 0)) + infohash + peer
+
+
+def handshake_error(raw: bytes, infohash: bytes) -> str | None:
+    """What is wrong with a peer's handshake, or None."""
+    if len(raw) < 68:
+        return "short"
+    if raw[:20] != PROTOCOL:
+        return "protocol"
+    if not raw[25] & 0x10:
+        return "extension"
+    return None if raw[28:48] == infohash else "infohash"
+
+
+def extension_error(raw: bytes) -> str | None:
+    """What is wrong with an extension handshake (type, number, dictionary), or None."""
+    if len(raw) < 2:
+        return "short"
+    try:
+        got, _ = bdecode(raw, 2)
+    except (ValueError, RecursionError):
+        return "bencode"
+    number = got.get(b"m", {}).get(b"ut_metadata") if isinstance(got, dict) and isinstance(got.get(b"m"), dict) else None
+    if not isinstance(number, int) or not 1 <= number <= 254:
+        return "ut_metadata"
+    size = got.get(b"metadata_size")
+    return None if isinstance(size, int) and 0 < size <= MAX_METADATA else "size"
+
+
+def piece_message(kind: int, piece: int, data: bytes = b"") -> bytes:
+    return bencode({"msg_type": kind, "piece": piece}) + data
+
+
+def assembled(messages: list[bytes], size: int) -> bytes | None:
+    """Metadata put together from piece messages: a piece's bytes go to its number times PIECE.
+
+    Messages that are no data are left out, a reject ends it, and it is whole once as many bytes as
+    stated have come.
+    """
+    out, got = bytearray(size), 0
+    for raw in messages:
+        if got >= size:
+            break
+        try:
+            head, end = bdecode(raw)
+        except (ValueError, RecursionError):
+            continue
+        kind, piece = (head.get(b"msg_type"), head.get(b"piece")) if isinstance(head, dict) else (None, None)
+        if kind == REJECT:
+            return None
+        at = piece * PIECE if isinstance(piece, int) and piece >= 0 else size
+        if kind != DATA or at >= size:
+            continue
+        data = raw[end : end + size - at]
+        out[at : at + len(data)] = data
+        got += len(data)
+    return bytes(out) if got >= size else None
+
+
 class StableBloom:
     """The decaying filter of the ingest path, cell by cell; a test tool, as exact state replaces it."""
 
+    # Cells per item, hashes, what a cell is set to, and the multiplier that spreads the decay.
     CELLS_PER_ITEM, HASHES, TOP, SPREAD = 2, 3, 3, 0x517CC1B727220A95
 
     def __init__(self, capacity: int):
         self.cells = bytearray(max(1024, capacity * self.CELLS_PER_ITEM))
 
+    @classmethod
+    def indices(cls, key: bytes, n: int) -> list[int]:
+        """The cells of a key: its first two little-endian 64-bit numbers, the second added again and again."""
+        h1, h2 = (int.from_bytes(key[i : i + 8], "little") for i in (0, 8))
+        return [(h1 + i * h2 & (1 << 64) - 1) % n for i in range(cls.HASHES)]
+
     def test_and_add(self, key: bytes) -> bool:
         mask, n = (1 << 64) - 1, len(self.cells)
-        h1, h2 = (int.from_bytes(key[i : i + 8], "little") for i in (0, 8))
+        h1 = int.from_bytes(key[:8], "little")
         for i in range(self.HASHES):
             cell = ((h1 + i & mask) * self.SPREAD & mask) % n
             self.cells[cell] = max(0, self.cells[cell] - 1)
-        own = [(h1 + i * h2 & mask) % n for i in range(self.HASHES)]
+        own = self.indices(key, n)
         seen = all(self.cells[c] for c in own)
         for c in own:
             self.cells[c] = self.TOP

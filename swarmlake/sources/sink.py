@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import codecs
 from .datasource import encoded
@@ -17,6 +18,21 @@ def write_dump(entries: DataFrame, path: str) -> None:
     """Dump files of about FILE_BYTES. The records of a file are one row of the text writer; the line
     end behind it is shorter than a hash, so a reader ends there cleanly."""
 
+    _write_joined(encoded(entries, codecs.write_dump).select("raw"), path, "\n")
+
+
+def write_frames(entries: DataFrame, path: str) -> None:
+    """Files of sync frames, about FILE_BYTES each. The writer's two zero bytes behind a file's frames end its stream."""
+    _write_joined(encoded(entries.filter(F.length("name") > 0), codecs.write_frame).select("raw"), path, "\0\0")
+
+
+def write_capture(packets: DataFrame, path: str) -> None:
+    """Capture files of packets (a binary column `packet`), each behind its length of two bytes."""
+    length = F.unhex(F.lpad(F.hex(F.octet_length("packet").cast("long")), 4, "0"))
+    _write_joined(packets.select(F.concat(length, F.col("packet")).alias("raw")), path, "\0")
+
+
+def _write_joined(rows: DataFrame, path: str, end: str) -> None:
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
@@ -29,5 +45,5 @@ def write_dump(entries: DataFrame, path: str) -> None:
         if held:
             yield pd.DataFrame({"value": [b"".join(held)]})
 
-    rows = encoded(entries, codecs.write_dump).select("raw").mapInPandas(joined, "value binary")
-    rows.selectExpr("CAST(value AS STRING) AS value").write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+    files = rows.mapInPandas(joined, "value binary").selectExpr("CAST(value AS STRING) AS value")
+    files.write.option("maxRecordsPerFile", 1).option("lineSep", end).mode("overwrite").text(path)

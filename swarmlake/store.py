@@ -1,69 +1,162 @@
-"""A stored catalog: entries, categories and postings as snapshots under one path.
+"""A stored catalog: entries, categories and postings under one path.
 
-A derived table is rewritten beside the current one and then named in a one-line pointer, so a reader
-sees one whole snapshot. Missing tables read as empty.
+A table is a set of folders. A commit writes new folders and then a manifest, one small JSON file with
+the next version number that names the folders of all tables; the highest number is the current state.
+So a reader sees one state of all tables, while a commit runs or after it failed, and increments only
+append. One writer at a time commits; a second one that took the same number fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.classify import label
+from .functions.format import sync_state
 from .operators import catalog
-from .schema import ENTRY
+from .schema import DISPLAY_ORDER, ENTRY
 
 TABLES = {"entries": ENTRY, "categories": "infohash binary, category tinyint", "postings": "token string, infohash binary"}
+ORDER = {"entries": ("discovered_at", "infohash"), "categories": ("infohash",), "postings": ("token", "infohash")}
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self, table: str) -> str | None:
+    def _file(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _names(self) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._at)] if self._fs.exists(self._at) else []
+
+    def state(self) -> dict:
+        """The current manifest: version, tables (folders by name), meta (numbers by name)."""
+        versions = sorted(n for n in self._names() if n.startswith("manifest-"))
+        if not versions:
+            return {"version": 0, "tables": {t: [] for t in TABLES}, "meta": {}}
+        stream = self._fs.open(self._file(versions[-1]))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, state: dict, **changes) -> None:
+        new = state | changes | {"version": state["version"] + 1}
+        name, draft = f"manifest-{new['version']:012d}", self._file(f"_draft-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, True)
         try:
-            rows = self.spark.read.text(f"{self.path}/{table}.current").collect()
-        except AnalysisException:
-            return None
-        return rows[0]["value"] if rows else None
+            stream.write(json.dumps(new).encode())
+        finally:
+            stream.close()
+        if self._fs.exists(self._file(name)) or not self._fs.rename(draft, self._file(name)):
+            raise RuntimeError(f"version {new['version']} was committed by another writer")
 
     def read(self, table: str) -> DataFrame:
-        at = self._current(table)
-        return self.spark.createDataFrame([], TABLES[table]) if at is None else self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{at}")
-
-    def _replace(self, table: str, rows: DataFrame, *order: str) -> None:
-        name = f"{table}-{uuid.uuid4().hex}"
-        ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
-        ordered.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        self.spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/{table}.current")
-
-    def add(self, incoming: DataFrame, order=None) -> None:
-        """First write wins."""
-        order = F.col("discovered_at") if order is None else order
-        self._replace("entries", catalog.upsert_first_wins(self.read("entries"), incoming, order), "discovered_at", "infohash")
-
-    def classify(self, full: bool = False) -> None:
-        """Categories and postings of entries that have none yet, or of all."""
+        """A table's rows; one that was never written is empty."""
+        folders = self.state()["tables"][table]
+        return self.spark.read.schema(TABLES[table]).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], TABLES[table])
+
+    def _write(self, table: str, rows: DataFrame, partitions: int | None = None) -> str:
+        name, order = f"{table}-{uuid.uuid4().hex}", ORDER[table]
+        dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+        dealt.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name
+
+    def replace(self, **tables: DataFrame) -> None:
+        """Takes whole tables as they are, all in one commit."""
+        state = self.state()
+        self._commit(state, tables=state["tables"] | {t: [self._write(t, rows)] for t, rows in tables.items()})
+
+    def add(self, incoming: DataFrame, order=None) -> int:
+        """First write wins; the number of rows that were new."""
+        state = self.state()
+        new = catalog.new_entries(self.read("entries"), incoming, F.col("discovered_at") if order is None else order)
+        folder = self._write("entries", new.select(*ENTRY.fieldNames()))
+        n = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{folder}").count()
+        if n or not state["tables"]["entries"]:
+            self._commit(state, tables=state["tables"] | {"entries": [*state["tables"]["entries"], folder]})
+        return n
+
+    def classify(self, full: bool = False) -> int:
+        """Categories and postings of entries that have none yet, or of all; both appear in one commit with the watermark."""
+        state = self.state()
         entries = self.read("entries")
         todo = entries if full else catalog.unclassified(entries, self.read("categories"))
-        codes, index = catalog.classify(todo), catalog.postings(todo)
-        if not full:
-            codes, index = self.read("categories").unionByName(codes), self.read("postings").unionByName(index)
-        self._replace("postings", index, "token", "infohash")
-        self._replace("categories", codes, "infohash")
-
-    def compact(self) -> None:
-        for table, order in (("entries", ("discovered_at", "infohash")), ("categories", ("infohash",)), ("postings", ("token", "infohash"))):
-            self._replace(table, self.read(table), *order)
-
-    def stats(self) -> DataFrame:
-        """total, db_size (bytes of the entries read from file metadata) and a map of the counts of categories that have any."""
-        entries = self.read("entries")
-        counts = catalog.category_stats(self.read("categories"))
-        from .functions.classify import label
-
-        named = counts.agg(F.map_from_entries(F.collect_list(F.struct(label(F.col("category").cast("int")), F.col("n")))).alias("categories"))
-        files = self.spark.read.format("binaryFile").load(f"{self.path}/{at}").agg(F.sum("length")).first()[0] if (at := self._current("entries")) else 0
-        return named.select(F.lit(entries.count()).alias("total"), F.lit(files).cast("long").alias("db_size"), "categories")
+        codes = self._write("categories", catalog.classify(todo))
+        done = self.spark.read.schema(TABLES["categories"]).parquet(f"{self.path}/{codes}")
+        named = todo if full else entries.join(done.select("infohash"), "infohash", "left_semi")
+        index = self._write("postings", catalog.postings(named))
+        old = {"categories": [], "postings": []} if full else state["tables"]
+        latest = named.agg(F.max("discovered_at")).first()[0]
+        meta = state["meta"] | ({"classifier_ts": max(latest, 0 if full else state["meta"].get("classifier_ts", 0))} if latest is not None else {})
+        self._commit(state, tables=state["tables"] | {"categories": [*old["categories"], codes], "postings": [*old["postings"], index]}, meta=meta)
+        return done.count()
+
+    def drop_classification(self) -> None:
+        """Forgets categories, postings and the watermark; entries stay."""
+        state = self.state()
+        self._commit(state, tables=state["tables"] | {"categories": [], "postings": []}, meta={k: v for k, v in state["meta"].items() if k != "classifier_ts"})
+
+    def compact(self, partitions: int | None = None, reclaim: bool = True) -> int:
+        """Rewrites each table as one folder in its order; the bytes saved.
+
+        `reclaim` then deletes all folders and manifests that are no longer current, so no reader of an
+        older state may be at work.
+        """
+        state, before = self.state(), self.size()
+        tables = {t: [self._write(t, self.read(t), partitions)] if state["tables"][t] else [] for t in TABLES}
+        self._commit(state, tables=tables)
+        if reclaim:
+            self.reclaim()
+        return before - self.size()
+
+    def reclaim(self) -> None:
+        state = self.state()
+        live = {f for folders in state["tables"].values() for f in folders} | {f"manifest-{state['version']:012d}"}
+        for name in self._names():
+            if name not in live and name.startswith(("manifest-", "_draft-", *(f"{t}-" for t in TABLES))):
+                self._fs.delete(self._file(name), True)
+
+    def size(self) -> int:
+        """Bytes of everything that is stored."""
+        return self._fs.getContentSummary(self._at).getLength() if self._fs.exists(self._at) else 0
+
+    def meta(self, key: str) -> int:
+        """A stored 32-bit number; 0 if there is none."""
+        return int(self.state()["meta"].get(key, 0))
+
+    def set_meta(self, key: str, value: int) -> None:
+        state = self.state()
+        self._commit(state, meta=state["meta"] | {key: value & 0xFFFFFFFF})
+
+    def stats(self, sync_code: int = 0) -> DataFrame:
+        """total, db_size (bytes stored), categories (a map of the counts of those that have any, in display order) and sync."""
+        named = catalog.category_stats(self.read("categories")).select(label(F.col("category").cast("int")).alias("label"), "n")
+        rank = F.array_position(F.array(*map(F.lit, DISPLAY_ORDER)), F.col("label"))
+        ordered = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "label", "n")))
+        counts = named.agg(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["label"], x["n"]))).alias("categories"))
+        return counts.select(F.lit(self.read("entries").count()).alias("total"), F.lit(self.size()).alias("db_size"), "categories", sync_state(F.lit(sync_code)).alias("sync"))
+
+    def stream(self, table: str, files_per_batch: int, path: str | None = None) -> DataFrame:
+        """A table's files as a stream, a bounded number in each micro-batch, as they are committed."""
+        return self.spark.readStream.schema(TABLES[table]).option("maxFilesPerTrigger", files_per_batch).parquet(f"{self.path}/{table}-*" if path is None else path)
+
+
+Sink = Callable[[DataFrame, int], None]
+
+
+def classifier(store: Store) -> Sink:
+    """For foreachBatch over new entries: classifies what has no category yet. The stream's checkpoint is the cursor, and a replayed batch adds nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            store.classify()
+
+    return run

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import first_arrivals
+from ..operators.catalog import entries_after, first_arrivals, latest_timestamp
 
 
 def run_available(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None]) -> None:
@@ -16,15 +16,60 @@ def run_available(stream: DataFrame, checkpoint: str, each_batch: Callable[[Data
     stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_timed(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], flush_seconds: int):
+    """A query that flushes every `flush_seconds`, or as soon as the source's batch limit is full; it runs until it is stopped."""
+    return stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{flush_seconds} seconds").start()
+
+
+def with_retry(step: Callable[[], int], tries: int, pause: Callable[[], None]) -> int:
+    """The step's result; after an error it is tried again, at most `tries` times in all."""
+    for left in reversed(range(tries)):
+        try:
+            return step()
+        except Exception:
+            if not left:
+                raise
+            pause()
+    raise ValueError("no tries")
+
+
+def replicate(source: DataFrame, target, chunk: int) -> Iterator[int]:
+    """Copies what a target lacks, in chunks by the full key (discovered_at, infohash); yields the rows added by each.
+
+    The cursor begins at the target's latest second, inclusive, so a run that was cut off resumes; rows
+    that are there already add nothing. It never sticks in a second with more rows than a chunk.
+    """
+    since = latest_timestamp(target.read("entries")).first()["latest"]
+    at, key = since, b""
+    while True:
+        page = entries_after(source, at, key, chunk) if key else source.filter(F.col("discovered_at") >= at).orderBy("discovered_at", "infohash").limit(chunk)
+        last = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("discovered_at", "infohash")).alias("k")).first()
+        if not last["n"]:
+            return
+        yield target.add(page)
+        at, key = last["k"]["discovered_at"], bytes(last["k"]["infohash"])
+        if last["n"] < chunk:
+            return
+
+
 def distinct_arrivals(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """The first arrival of each key within the watermark; exact where the old filter was approximate."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def cool_down(stream: DataFrame, key: str, seconds_col: str, gap: int, streaming: bool = True) -> DataFrame:
+def matched(sent: DataFrame, came: DataFrame, same, sent_at: str, came_at: str, seconds: int) -> DataFrame:
+    """Answers that came at most `seconds` after their request: a join of two streams, whose state is bounded by the time."""
+    sent, came = sent.withWatermark(sent_at, f"{seconds} seconds"), came.withWatermark(came_at, f"{seconds} seconds")
+    return sent.join(came, same & (F.col(came_at) >= F.col(sent_at)) & (F.col(came_at) <= F.col(sent_at) + F.expr(f"INTERVAL {seconds} SECONDS")))
+
+
+def cool_down(stream: DataFrame, key: str, seconds_col: str, gap: int, streaming: bool = True, idle: int | None = None) -> DataFrame:
     """Rows of a key that come at least `gap` seconds after the key's last accepted row.
 
-    The state of a key is one number. Within a micro-batch rows are taken in time order.
+    The state of a key is one number. Within a micro-batch rows are taken in time order. With `idle`
+    milliseconds the state of a key is dropped when no row of it has come for that long, so the state
+    holds the keys of that time only; choose it above the gap and the source's delay. A query with it
+    runs until it is stopped, as in `run_timed`: one that ends with its input would wait for timeouts.
     """
     schema = f"{key} long, {seconds_col} long"
 
@@ -44,17 +89,22 @@ def cool_down(stream: DataFrame, key: str, seconds_col: str, gap: int, streaming
         return stream.groupBy(key).applyInPandas(whole, schema)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         kept, last = accept(last, [t for b in batches for t in b[seconds_col].tolist()])
         if last is not None:
             state.update((last,))
+            if idle is not None:
+                state.setTimeoutDuration(idle)
         yield pd.DataFrame({key: [k[0]] * len(kept), seconds_col: kept})
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
 
 
 class Catalog:
-    """A stored catalog that micro-batches append to; batches replayed after a failure add nothing."""
+    """A stored catalog that micro-batches append to; a batch replayed after a failure writes the same rows again."""
 
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path, self.schema = spark, path, schema
@@ -66,7 +116,22 @@ class Catalog:
         self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{self.path}/start")
         return self
 
-    def append(self, batch: DataFrame, number: int, order) -> None:
-        """First write wins; rows without a name are dropped."""
-        new = first_arrivals(batch.filter(F.length("name") > 0), order).join(self.rows().select("infohash"), "infohash", "left_anti")
-        new.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
+    def append(self, batch: DataFrame, number: int, order, arrived: int | None = None) -> None:
+        """First write wins; rows without a name are dropped. `arrived` is the time that all rows of the batch share.
+
+        What other batches hold is left out. This batch's own earlier output counts as not there, as
+        it is written anew.
+        """
+        own = f"batch-{number}"
+        others = self.rows().select("infohash", F.col("_metadata.file_path").alias("_file")).filter(~F.col("_file").contains(f"/{own}/"))
+        new = first_arrivals(batch.filter(F.length("name") > 0), order).join(others.select("infohash"), "infohash", "left_anti")
+        if arrived is not None:
+            new = new.withColumn("discovered_at", F.lit(arrived).cast("long"))
+        draft = f"{self.path}/_draft-{number}"
+        new.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(draft)
+        # The draft is hidden from readers; it takes the place of the batch once it is whole.
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(draft).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(path(f"{self.path}/{own}"), True)
+        if not fs.rename(path(draft), path(f"{self.path}/{own}")):
+            raise RuntimeError(f"{own} could not be stored")

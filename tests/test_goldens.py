@@ -147,15 +147,46 @@ def test_cool_down_batch_and_stream_agree(spark, sf):
     assert batch == {tuple(r) for r in registry.QUERIES["cooldown_dedup"](spark, sf).collect()}
 
 
-def test_replayed_batches_add_nothing(spark, tmp_path):
+def test_replayed_batches_keep_their_rows(spark, tmp_path):
     store = ingest.Catalog(spark, f"file://{tmp_path}/c", ENTRY).create()
-    rows = entries(spark, [(1, "a", 1, 5), (2, "", 1, 6)])
-    for n in (0, 0, 1):
-        store.append(rows, n, F.col("discovered_at"))
-    assert [r["name"] for r in store.rows().collect()] == ["a"]
+    names = lambda: sorted((r["name"], r["discovered_at"]) for r in store.rows().collect())
+    first, second = entries(spark, [(1, "a", 1, 5), (2, "", 1, 6), (3, "b", 1, 7)]), entries(spark, [(3, "late", 1, 5), (4, "c", 1, 7)])
+    for _ in range(2):
+        store.append(first, 0, F.col("discovered_at"), arrived=100)
+        assert names() == [("a", 100), ("b", 100)]
+    for _ in range(2):
+        store.append(second, 1, F.col("discovered_at"), arrived=200)
+        assert names() == [("a", 100), ("b", 100), ("c", 200)]
+    store.append(first, 0, F.col("discovered_at"), arrived=100)
+    assert names() == [("a", 100), ("b", 100), ("c", 200)]
 
 
 def test_stable_bloom():
     bloom = codecs.StableBloom(1000)
     keys = [i.to_bytes(20, "little") for i in range(1, 50)]
     assert not bloom.test_and_add(keys[0]) and bloom.test_and_add(keys[0])
+
+
+def test_bencode_numbers_are_strict():
+    for bad in (b"i1_0e", b"i+5e", b"i 5e", b"i05e", b"i-0e", b"+2:ab", b"0_2:ab", b"02:ab"):
+        with pytest.raises(ValueError):
+            codecs.bdecode(bad)
+    assert codecs.bdecode(b"i-12e") == (-12, 5) and codecs.bdecode(b"0:") == (b"", 2)
+
+
+def test_pieces_and_handshakes():
+    data = bytes(range(256)) * 100
+    cut = [codecs.piece_message(codecs.DATA, i // codecs.PIECE, data[i : i + codecs.PIECE]) for i in range(0, len(data), codecs.PIECE)]
+    assert codecs.assembled([*reversed(cut), b"junk"], len(data)) == data
+    assert codecs.assembled(cut[:1], len(data)) is None and codecs.assembled([codecs.piece_message(codecs.REJECT, 0), *cut], len(data)) is None
+    h = b"\x07" * 20
+    assert codecs.handshake_error(codecs.handshake(h), h) is None and codecs.handshake_error(codecs.handshake(h), bytes(20)) == "infohash"
+    assert codecs.extension_error(b"\x14\x00" + codecs.bencode({"m": {"ut_metadata": 1}, "metadata_size": 1})) is None
+
+
+def test_nodes_match_by_id_or_address(spark):
+    from swarmlake.operators import routing
+
+    table = spark.createDataFrame([("aa", "1.1.1.1", 1, 0), ("aa", "2.2.2.2", 1, 1), ("bb", "3.3.3.3", 1, 2)], "id string, ip string, port int, insert_seq long")
+    seen = spark.createDataFrame([("aa", "9.9.9.9", 1), ("cc", "3.3.3.3", 1), ("dd", "4.4.4.4", 1)], "id string, ip string, port int")
+    assert sorted((r["id"], r["matched"]) for r in routing.upserted(table, seen).collect()) == [("aa", 0), ("cc", 2), ("dd", None)]

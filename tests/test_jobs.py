@@ -23,6 +23,10 @@ def test_jobs(spark, tmp_path):
     before = run("search", "epub")
     run("reclassify"), run("compact")
     assert run("search", "epub") == before
+    assert run("recent")[0]["files"] == [] and stats["sync"] == "connecting"
+    (tmp_path / "requests").write_text(json.dumps({"job": "recent", "category": "book"}) + "\n" + json.dumps({"job": "stats"}))
+    answers = run("web", f"file://{tmp_path}/requests")
+    assert answers[0]["name"] == "Novel epub" and answers[1]["total"] == 2
     assert [r["size"] for r in run("show", "01" * 20)] == [5]
 
 
@@ -45,3 +49,32 @@ def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("SELECT swarm_tokens('The Matrix (1999)') AS t, swarm_label(200) AS a, swarm_label(2) AS b, swarm_unix(1) AS u, swarm_u48(281474976710661) AS s").first()
     assert tuple(row) == (["matrix", "1999"], "other", "tv", 1577836801, 5)
+
+
+def test_readers_see_one_state(spark, tmp_path):
+    """A commit that fails, or is under way, leaves the old state; two writers of one version can't both win."""
+    from swarmlake.store import Store
+
+    rows = lambda n: entries(spark, [(i, f"name {i}", 1, i) for i in range(1, n + 1)])
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.read("entries").count() == 0 and store.size() == 0
+    assert store.add(rows(2)) == 2 and store.classify() == 2
+    old, seen = store.state(), store.read("entries")
+    store._write("entries", rows(9))  # a commit that never came
+    assert store.state() == old and store.read("entries").count() == 2
+    assert store.add(rows(3)) == 1 and store.classify() == 1
+    assert seen.count() == 2 and len(store.state()["tables"]["entries"]) == 2
+    with pytest.raises(RuntimeError):
+        store._commit(old)
+    store.compact()
+    assert [store.read(t).count() for t in ("entries", "categories")] == [3, 3] and store.meta("classifier_ts") == 3
+
+
+def test_a_table_that_is_cut_off_goes_on(spark, tmp_path):
+    """More rows in one second than a chunk holds: the full key still moves on."""
+    from swarmlake.store import Store
+    from swarmlake.streaming import ingest
+
+    source, target = entries(spark, [(i, f"n{i}", 1, 7) for i in range(1, 8)]), Store(spark, f"file://{tmp_path}/t")
+    assert next(ingest.replicate(source, target, 3)) == 3
+    assert sum(ingest.replicate(source, target, 3)) == 4 and target.read("entries").count() == 7
