@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, decontamination, packing.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. `docs` is what the stage before kept,
-written as Parquet and read again; all stages but the last return the columns of documents.
+written as Parquet and read again; all stages but the last return the columns of documents, extra
+ones included, whatever their names. Null ids are one id, below all others. Null and empty texts are
+equal texts, neither toxic nor near to others nor contaminated. Very long texts are read whole. An empty table gives an empty
+table. Rows that repeat an id share its verdict, unless a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from swarmlake.llm.toxicity import score_toxicity
 
 def _kept(docs: DataFrame, verdict: DataFrame, condition: str) -> DataFrame:
     """Documents whose verdict row meets the condition; rows that repeat an id share its best verdict."""
-    keep = verdict.filter(condition).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    keep = verdict.filter(condition).select("doc_id").distinct().alias("keep")
+    return docs.alias("docs").join(keep, F.col("docs.doc_id").eqNullSafe(F.col("keep.doc_id")), "left_semi")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the documents of `sf_dir`."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = scratch.stage(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
