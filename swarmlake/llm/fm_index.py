@@ -10,19 +10,21 @@ phrases are merged per document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words
+from .common import WORD_TABLE, Scratch, words
 
 WINDOW = 10
 SPAN_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     T.StructField("items", T.ArrayType(T.LongType())),
 ])
@@ -219,87 +221,160 @@ def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.nd
 
 def find_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-    shard_words: int = 600_000, max_item_words: int = 2_000_000, carry: tuple[str, ...] = (),
+    shard_words: int = 600_000, max_item_words: int = 500_000, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, spans (word offsets, merged, half open), items, and the columns of `carry`.
 
     Words are those of `common.words`. Null and empty texts have no words and no hits; items without
-    words or without an id are never found; items that repeat an id count as one. The benchmark is a
-    stated query set: it goes to every task, if it has at most `max_item_words` words, and otherwise
-    in parts of that size, a pass each, whose spans and items are merged by document row.
+    words or without an id are never found; items that repeat an id count as one; rows that repeat an
+    id are searched one by one. A very long text is a shard of its own. Extra columns are not read,
+    whatever their names; an empty table, or an empty benchmark, gives no rows or no hits.
+
+    The benchmark is dealt by a hash of the item to parts of about `max_item_words` words (a longer
+    item is read whole). Only one part at a time is on the driver, in a broadcast and in a worker:
+    a benchmark of one part takes one pass over the documents, a larger one a pass for each part,
+    whose spans and items are merged by row.
     """
-    query = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
-    parts, part, held = [], [], 0
-    for item, text in query.toLocalIterator():
-        n = len(text or "") // 2 + 1
-        if part and held + n > max_item_words:
-            parts, part, held = [*parts, part], [], 0
-        part.append((item, text))
-        held += n
-    parts.append(part)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    schema = T.StructType([*SPAN_SCHEMA.fields, *(src.schema[c] for c in carry)])
+    item = F.coalesce(F.col(item_col).cast("string"), F.lit(""))
+    query = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"), item.alias("key"))
+    size = query.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0  # a word and its end have two bytes at least
+    parts = max(1, -(-int(size) // max_item_words))
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    if parts == 1:
+        carried = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+        found = _pass(docs.select(*own, *carried), _phrases(query, window), shard_words)
+        return found.select("doc_id", "n_words", "n_hit", "spans", "items", *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)))
+    scratch = Scratch(docs.sparkSession, "spans")
+    carried = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    rows = scratch.stage(docs.select(*own, *carried).withColumn("_row", F.monotonically_increasing_id()), "documents")
+    hits = None
+    for part in range(parts):
+        phrases = _phrases(query.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part), window)
+        one = _pass(rows.select("doc_id", "text", F.col("_row").alias("_carry0")), phrases, shard_words).filter("n_hit > 0").select(F.col("_carry0").alias("_row"), "spans", "items")
+        one = scratch.stage(one, f"hits{part}")
+        hits = one if hits is None else hits.unionByName(one)
+    merged = hits.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.mapInArrow(_merged, "_row long, n_hit long, spans array<struct<start:int,end:int>>, items array<long>")
+    none = SPAN_SCHEMA["spans"].dataType
+    return _counted(rows).join(merged, "_row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(none)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<long>")).alias("items"), *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)),
+    )
+
+
+def _phrases(query: DataFrame, window: int) -> Phrases:
+    """The windows of one part of the benchmark, whose size `find_spans` bounds."""
+    return Phrases([(r["item"], r["text"]) for r in query.toLocalIterator()], window)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Adds n_words and drops the text."""
+
+    @F.pandas_udf("long")
+    def n_words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(words(t))).astype("int64")
+
+    return rows.withColumn("n_words", n_words("text")).drop("text")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and adjacent spans of a row become one."""
+    for batch in batches:
+        spans = []
+        for listed in batch.column(1).to_pylist():
+            out: list[dict[str, int]] = []
+            for span in listed:
+                if out and span["start"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], span["end"])
+                else:
+                    out.append(span)
+            spans.append(out)
+        hit = pa.array([sum(s["end"] - s["start"] for s in x) for x in spans], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), hit, pa.array(spans, batch.schema.field(1).type), batch.column(2)], ["_row", "n_hit", "spans", "items"])
+
+
+def _pass(src: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
+    """Spans and items of (doc_id, text, carried columns) by one part of the benchmark, in a pass without a shuffle."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    schema = T.StructType([*SPAN_SCHEMA.fields, *src.schema.fields[2:]])
     arrow = to_arrow_schema(schema)
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(Phrases(p, window)) for p in parts]
+    shared, width = src.sparkSession.sparkContext.broadcast(phrases), len(src.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, n, row = [], [], 0, 0
-        symbols = [[] for _ in shared]
+        phrases = shared.value
+        held, counts, symbols, n = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            found = [([], set()) for _ in counts]
-            for phrases, docs in zip(shared, symbols, strict=True):
-                for (spans, items), more, new in zip(found, *search_shard(docs, phrases.value), strict=True):
-                    spans.extend(more.tolist())
-                    items |= new
-            spans = [_merge(s) if len(shared) > 1 else s for s, _ in found]
+            nonlocal n
+            spans, items = search_shard(symbols, phrases)
             cols = [
-                pa.concat_arrays([x.column(0) for x in held]), pa.array(range(row - len(counts), row), pa.int64()), pa.array(counts, pa.int64()),
-                pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], arrow.field(4).type),
-                pa.array([sorted(i) for _, i in found], arrow.field(5).type), *(pa.concat_arrays([x.column(2 + i) for x in held]) for i in range(len(carry))),
+                pa.concat_arrays([x.column(0) for x in held]), pa.array(counts, pa.int64()), pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in spans], arrow.field(3).type), pa.array([sorted(i) for i in items], arrow.field(4).type),
+                *(pa.concat_arrays([x.column(i) for x in held]) for i in range(2, width)),
             ]
+            held.clear(), counts.clear(), symbols.clear()
+            n = 0
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                held.append(piece)
-                for t in piece.column(1).to_pylist():
-                    found = words(t)
-                    counts.append(len(found))
-                    for phrases, docs in zip(shared, symbols, strict=True):
-                        docs.append(phrases.value.symbols_of(found))
-                    n += len(found)
-                row += piece.num_rows
+            first = 0
+            for i, text in enumerate(batch.column(1)):
+                found = words(text.as_py())
+                counts.append(len(found))
+                symbols.append(phrases.symbols_of(found))
+                n += len(found)
                 if n >= shard_words:
+                    held.append(batch.slice(first, i + 1 - first))
+                    first = i + 1
                     yield flush()
-                    held, counts, n = [], [], 0
-                    for docs in symbols:
-                        docs.clear()
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
         if held:
             yield flush()
 
-    return src.mapInArrow(run, schema).drop("row")
+    return src.mapInArrow(run, schema)
 
 
-def _merge(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with their own columns, the hit words cut out of the text with what stands between them.
+
+    A text without hits stays as it is; a null text stays null. Cuts leave one space.
+    """
+    own = docs.columns
+    names = {c: f"_c{i}" for i, c in enumerate(own)}
+    found = find_spans(docs.withColumnsRenamed(names), benchmark, names[id_col], names[text_col], carry=tuple(names.values()), **options)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, s) if s is not None and len(s) else t for t, s in zip(text, spans, strict=True)], dtype=object)
+
+    hit = F.col("n_hit") > 0
+    return found.select(*(F.when(hit, cut(F.col(names[c]).cast("string"), F.col("spans"))).otherwise(F.col(names[c])).alias(c) if c == text_col else F.col(names[c]).alias(c) for c in own))
+
+
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _cut(text: str, spans: list) -> str:
+    raw = text.encode("utf-8", "surrogatepass")
+    # A word's bytes keep their places when letters are lower-cased one by one.
+    places = [m.span() for m in _WORD.finditer(raw.translate(WORD_TABLE))]
+    out, at = [], 0
+    for span in spans:
+        out.append(raw[at : places[span["start"]][0]])
+        at = places[span["end"] - 1][1]
+    out.append(raw[at:])
+    return b" ".join(x.strip() for x in out if x.strip()).decode("utf-8", "surrogatepass")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose share of hit words is at most `max_share`, with their own columns."""
+    """The documents whose share of hit words is at most `max_share`, with their own columns.
+
+    Null and empty texts stay. `without_spans` cuts the passages out instead.
+    """
     own = docs.columns
-    carried = docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(own)})
     names = {c: f"_c{i}" for i, c in enumerate(own)}
-    found = find_spans(carried, benchmark, names[id_col], names[text_col], carry=tuple(names.values()), **options)
+    found = find_spans(docs.withColumnsRenamed(names), benchmark, names[id_col], names[text_col], carry=tuple(names.values()), **options)
     clean = found.filter(F.col("n_hit") <= F.lit(max_share) * F.col("n_words"))
     return clean.select(*(F.col(names[c]).alias(c) for c in own))
