@@ -1,10 +1,15 @@
 """Main-text extraction with site template removal.
 
-Pages are parsed into element subtrees. What the markup itself names as no part of the article
-(menus, adverts, forms, comments and so on) goes first. Then subtrees are hashed and counted per
-host in Spark; those that recur on many pages of their host are a template of the site and are
-deleted. Copies of a page or article count as one page. Text blocks inside an article or main element stay, as an article may repeat a passage;
-there only whole containers that recur go.
+Pages are parsed into element subtrees, which are hashed and counted per host in Spark; those that
+recur on many pages of their host are a template of the site and are deleted. Copies of a page or
+article count as one page. Text blocks inside an article or main element stay, as an article may
+repeat a passage; there only whole containers that recur go.
+
+The markup decides where a count can't, as menus, adverts and comments differ from page to page:
+elements that are never text of an article go (script, nav, form, aside and so on), and so do those
+whose class, id or role says so in whole names ("ad", "comment-list"). A name that only holds such a
+word ("search-results", "form-factor") is a hint: inside an article its subtree goes only if it
+recurs on a second page of the host.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 # Fixed values of HTML: elements without an end tag, with raw text, and that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -37,48 +44,64 @@ MARKS = frozenset(
     "header masthead footer contentinfo cookie cookies consent notice notices notification alert disclaimer gdpr popup modal overlay form login signup subscribe subscription newsletter search comment comments "
     "respond reply replies disqus discussion related recommended recommendations share sharing social pagination pager toolbar widget widgets skip".split()
 )
+# Words that may stand beside a mark in a name without making it another thing.
+BESIDE = frozenset(
+    "area bar bars block blocks body bottom box buttons column container content cta inline inner items left links list main module outer page panel post posts primary reader right section site slot stories text thread "
+    "this title tools top unit user wrap wrapper".split()
+)
+# Elements that hold an article's own text, whatever their names say.
+TEXT = frozenset("p blockquote pre table figure h1 h2 h3 h4 h5 h6 li dl dd dt td th tr tbody hr img a b i em strong span code q cite sub sup small br".split())
 # Marks that an article element itself can have; and names that tell what stands beside an element.
 OTHER_ARTICLES = frozenset("ad ads advert advertisement promo sponsored comment comments reply replies related recommended".split())
 LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][\w-]+|\bsidebar[-_](?:left|right|none|layout)\b")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# An attribute's value is quoted or runs to the next space or >; quotes elsewhere are plain characters.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-WORDS = re.compile(r"[a-z]+")
+WORDS, NAMES = re.compile(r"[a-z]+"), re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HOST = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 CONTAINERS = frozenset("div section ul ol dl table figure blockquote details center address header hgroup fieldset".split())
 
 
 class Node:
-    """An element: its name, children (nodes and texts), and whether the markup rules it out."""
+    """An element: its name, children (nodes and texts), and whether the markup rules it out or hints so."""
 
-    __slots__ = ("name", "kids", "out", "hash", "main")
+    __slots__ = ("name", "kids", "out", "hint", "hash", "main")
 
-    def __init__(self, name: str, out: bool = False, main: bool = False):
-        self.name, self.kids, self.out, self.hash, self.main = name, [], out, 0, main
+    def __init__(self, name: str, out: bool = False, main: bool = False, hint: bool = False):
+        self.name, self.kids, self.out, self.hash, self.main, self.hint = name, [], out, 0, main, hint
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
-def _ruled_out(name: str, attributes: str, in_article: bool) -> bool:
-    if name in OUT:
-        return True
-    if name == "header" and not in_article:
-        return True
+def _judged(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is ruled out, and whether its names hint at it."""
+    if name in OUT or name == "header" and not in_article:
+        return True, False
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return False, False
     got = _attributes(attributes)
     if "hidden" in got or got.get("aria-hidden") == "true" or HIDDEN.search(got.get("style", "")):
-        return True
-    given = " ".join((got.get("class", ""), got.get("id", ""), got.get("role", ""))).lower()
-    marks = set(WORDS.findall(LAYOUT.sub(" ", given))) & MARKS
+        return True, False
+    given = LAYOUT.sub(" ", " ".join((got.get("class", ""), got.get("id", ""), got.get("role", ""))).lower())
+    marks = MARKS - {"header", "masthead"} if in_article else MARKS
+    if not in_article and name not in ("article", "main"):
+        return bool(set(WORDS.findall(given)) & marks), False
+    if name in TEXT:
+        return False, False
     if name in ("article", "main"):
-        return bool(marks & OTHER_ARTICLES)
-    if in_article:
-        marks -= {"header", "masthead"}
-    return bool(marks)
+        marks = OTHER_ARTICLES
+    hint = False
+    for one in given.split():
+        parts = [w for w in (x.rstrip("0123456789") for x in NAMES.findall(one)) if w.isalpha()]
+        if marks.intersection(parts):
+            if marks.union(BESIDE).issuperset(parts):
+                return True, False
+            hint = name not in ("article", "main")
+    return False, hint
 
 
 def parse(page: str) -> Node:
@@ -126,7 +149,8 @@ def parse(page: str) -> Node:
                     cut = i
             if cut:
                 pop_to(cut)
-        node = Node(name, _ruled_out(name, m[3], articles > 0), name in ("article", "main"))
+        out, hint = _judged(name, m[3], articles > 0)
+        node = Node(name, out, name in ("article", "main"), hint)
         stack[-1].kids.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
@@ -140,7 +164,7 @@ def parse(page: str) -> Node:
 
 
 def hash_subtrees(node: Node, within: bool = False, found: list | None = None) -> list[tuple[int, bool]]:
-    """Hashes of all block subtrees that are not ruled out, with whether they lie in an article."""
+    """Hashes of all block subtrees that are not ruled out, with whether a name hints that they are no text."""
     found = [] if found is None else found
     work = [(node, within, False)]
     while work:  # no recursion: pages can nest deeply
@@ -149,7 +173,7 @@ def hash_subtrees(node: Node, within: bool = False, found: list | None = None) -
             work.append((n, inside, True))
             work.extend((k, inside or k.main, False) for k in n.kids if isinstance(k, Node) and not k.out)
             continue
-        h = xxhash.xxh64(n.name)
+        h = xxhash.xxh64(n.name + "?" * n.hint)
         for k in n.kids:
             if isinstance(k, str):
                 if text := SPACE.sub(" ", k).strip(" "):
@@ -158,7 +182,7 @@ def hash_subtrees(node: Node, within: bool = False, found: list | None = None) -
                 h.update(b"n" + k.hash.to_bytes(8, "little"))
         n.hash = h.intdigest()
         if n.name in BLOCKS and n.name not in ("html", "body") and not n.main:
-            found.append((n.hash, inside))
+            found.append((n.hash, n.hint))
     return found
 
 
@@ -225,47 +249,52 @@ def host_of(url: str | None) -> str:
 
 
 def extract_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8, min_share: float = 0.1, max_shared: int = 200_000,
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8, min_share: float = 0.1, min_many: int = 100,
+    max_shared: int = 200_000,
 ) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    A subtree is a template if it recurs on at least `min_pages` pages and the share `min_share` of
-    the pages of its host; pages whose URL has no host share one. Rows of a host with the same
+    A subtree is a template if it recurs on at least `min_pages` pages of its host that are the share
+    `min_share` of them or `min_many` by number, and if a name hints at it on two pages; pages whose
+    URL has no host share one. So a host of fewer than `min_pages` pages has no templates but those
+    that names hint at. Rows of a host with the same
     article and main elements, or the same page where there are none, count as one page. If a page
-    has an article or main element, only its text is taken. Null and empty pages have an empty text.
-    Repeated rows are extracted one by one. Extra columns are not read.
+    has an article or main element, only its text is taken. Null and empty pages have an empty text,
+    null ids and URLs stay null. Very long and deep pages are parsed whole, without recursion.
+    Repeated rows are extracted one by one. Extra columns are not read; an empty table gives none.
 
     The templates go to every task if they are at most `max_shared`; beyond that each page gets its
     own by joins on host and hash.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
+    scratch = Scratch(pages.sparkSession, "templates")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int, int]] = set()
+        seen: set[tuple[str, int, int, bool]] = set()
 
         def emit() -> pa.RecordBatch:
             keys = list(seen)
             signed = lambda i: pa.array(np.array([k[i] for k in keys], np.uint64).view(np.int64))
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), signed(1), signed(2)], ["host", "content", "hash"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), signed(1), signed(2), pa.array([k[3] for k in keys], pa.bool_())], ["host", "content", "hash", "hint"])
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host, root = host_of(url), parse(page or "")
-                found = {h for h, _ in hash_subtrees(root)}
+                found = hash_subtrees(root)
                 content = content_hash(root)
-                seen.add((host, content, 0))  # pages of the host
-                seen.update((host, content, h) for h in found)
+                seen.add((host, content, 0, False))  # pages of the host
+                seen.update((host, content, *f) for f in found)
                 if len(seen) > 200_000:
                     yield emit()
         yield emit()
 
-    counts = src.select("url", "html").mapInArrow(count, "host string, content long, hash long").groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).filter(F.col("n") >= min_pages)
-    from .common import Scratch
-
-    counts = Scratch(pages.sparkSession, "templates").stage(counts, "counts")
+    counts = src.select("url", "html").mapInArrow(count, "host string, content long, hash long, hint boolean").groupBy("host", "hash", "hint").agg(F.count_distinct("content").alias("n"))
+    counts = scratch.stage(counts.filter((F.col("hash") == 0) | (F.col("n") >= F.when(F.col("hint"), 2).otherwise(min_pages))), "counts")
     size = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    template = counts.filter("hash <> 0").join(size, "host").filter(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "hash")
+    recurs = F.col("hint") | (F.col("n") >= F.least(F.lit(min_share) * F.col("pages"), F.lit(min_many)))
+    template = counts.filter("hash <> 0").join(size, "host").filter(recurs).select("host", "hash")
     wanted = template.limit(max_shared + 1).collect()
     known: dict[str, set[int]] | None = None
     if len(wanted) <= max_shared:
