@@ -4,7 +4,8 @@ Terms (words and word beginnings) that mark toxic texts are mined from a bounded
 rows. They are dealt to several lexicon voters; a fixed lexicon and text patterns vote as well. A
 generative label model, fitted by expectation maximisation to the vote patterns of all documents,
 estimates each voter's accuracy and finds pairs of voters that agree more than the classes explain;
-such a pair votes as one. A linear classifier is trained on the model's posterior labels.
+such a pair votes as one. A linear classifier is trained on the model's posterior labels of all
+documents, labelled or not.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,6 @@ LEXICONS = 8
 PATTERNS = 8
 REPEATS = (2, 3)  # distinct words of one beginning that make a further term
 VOTERS = LEXICONS + PATTERNS
-TRUST = 4.0
 SHOUT = re.compile(r"[A-Z]{2,}[^a-z]{12,}[A-Z]{2,}")
 MARKS = re.compile(r"[!?]{2,}")
 
@@ -96,12 +97,12 @@ class Lexicon:
         return sorted(hits), votes
 
 
-def mine_terms(rows: DataFrame, max_terms: int) -> list[tuple[bytes, float]]:
+def mine_terms(rows: DataFrame) -> list[tuple[bytes, float]]:
     """Terms of `rows` (text, toxic) whose link to the label can't be chance, with their precision.
 
-    The clearest `max_terms` candidates are thinned out one by one: each choice must be significant
-    on the rows that no earlier choice hits, so words that merely stand beside others are left out.
-    Terms of ten toxic rows and no other stay besides.
+    All significant candidates are thinned out one by one: each choice must be significant on the
+    rows that no earlier choice hits, so words that merely stand beside others are left out. Terms of
+    ten toxic rows and no other stay besides. Candidates grow with the words of the rows only.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def mine_terms(rows: DataFrame, max_terms: int) -> list[tuple[bytes, float]]:
     g2 = 2 * (gain(F.col("pos"), rate) + gain(F.col("neg"), 1 - rate))
     bound = 2 * np.log(60.0 * n)  # about the number of terms that were tried
     best = seen.filter(F.col("pos") > 3 * rate * df).withColumn("g2", g2).filter(F.col("g2") > F.lit(float(bound)))
-    got = [(bytes(r["term"]), r["pos"], r["neg"]) for r in best.orderBy(F.desc("g2"), F.length("term"), "term").limit(max_terms).collect()]
+    got = [(bytes(r["term"]), r["pos"], r["neg"]) for r in best.orderBy(F.desc("g2"), F.length("term"), "term").collect()]
     if not got:
         return []
     candidates = Lexicon([(term, pos / (pos + neg)) for term, pos, neg in got])
@@ -203,8 +204,6 @@ class LabelModel:
             if done:
                 break
         self.posterior, self.balance = post, share[1]
-        # The labelled rows of a pattern speak for it too, against a weight of TRUST rows for the model.
-        self.blended = (labelled[1] + TRUST * post) / (labelled.sum(0) + TRUST)
         # of a voter that fires: how much likelier under the toxic class
         self.accuracy = {f: t[1] / t[0] for f, t in zip(self.factors, self.tables, strict=True)}
 
@@ -225,15 +224,15 @@ class LabelModel:
         return best
 
 
-def fit_linear(row: np.ndarray, col: np.ndarray, target: np.ndarray, width: int, l2: float = 1e-4, steps: int = 600) -> np.ndarray:
-    """Logistic regression on sparse binary features (last weight: bias), by accelerated gradient steps."""
-    n = len(target)
+def fit_linear(row: np.ndarray, col: np.ndarray, target: np.ndarray, weight: np.ndarray, width: int, l2: float = 1e-4, steps: int = 600) -> np.ndarray:
+    """Logistic regression on weighted rows of sparse binary features (last weight: bias), by accelerated gradient steps."""
+    n, share = len(target), weight / weight.sum()
     most = np.bincount(row, minlength=n).max() + 1
     rate = 4.0 / most
     w = ahead = np.zeros(width + 1)
     for step in range(steps):
         logit = np.bincount(row, ahead[col], n) + ahead[-1]
-        slope = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target) / n
+        slope = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - target) * share
         grad = np.append(np.bincount(col, slope[row], width)[:width], slope.sum()) + l2 * np.append(ahead[:-1], 0)
         new = ahead - rate * grad
         w, ahead = new, new + step / (step + 3) * (new - w)
@@ -241,16 +240,19 @@ def fit_linear(row: np.ndarray, col: np.ndarray, target: np.ndarray, width: int,
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_terms: int = 2000, threshold: float = 0.7,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_examples: int = 50_000, threshold: float = 0.7,
 ) -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
     Labels are read only for rows whose crc32 of the id mod 3 is not 1, and of those for at most
-    `max_labelled`, the first by a hash of the id; they serve to mine terms, to start and orient the
-    label model and to name the rows whose posteriors train the classifier. All texts vote and are
-    scored whole. Null and empty texts have no terms and get a low score; null ids have no label.
-    Labels of null, or an id labelled both ways, are left out. Without labels of both classes only
-    the fixed voters score. Rows that repeat an id are scored one by one; extra columns are not read.
+    `max_labelled`, the first by a hash of the id; they serve to mine terms and to start and orient
+    the label model, which takes the votes of all documents. Its posteriors label all documents; of
+    those more likely toxic and of the others the classifier learns from about `max_examples` each,
+    drawn by a hash and weighted for the rest. All texts vote and are scored whole, whatever their
+    length. Null and empty texts have no terms and get a low score; null ids have no label. Labels of
+    null, or an id labelled both ways, are left out. Without labels of both classes only the fixed
+    voters score. Rows that repeat an id are scored one by one; an empty table gives an empty result;
+    extra columns are not read, whatever their names.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -259,7 +261,7 @@ def score_toxicity(
     sample = scratch.stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
     sample = F.broadcast(sample)  # at most max_labelled rows of two numbers
     taught_texts = scratch.stage(src.join(sample, "doc_id").select("text", "toxic").dropDuplicates(), "texts")
-    lexicon = Lexicon(mine_terms(taught_texts, max_terms))
+    lexicon = Lexicon(mine_terms(taught_texts))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +274,21 @@ def score_toxicity(
 
     id_type = src.schema["doc_id"].dataType.simpleString()
     read = scratch.stage(src.mapInArrow(vote, f"doc_id {id_type}, hits array<int>, votes int"), "votes")
-    taught = read.join(sample, "doc_id").select("hits", "votes", "toxic")
-    taught = taught.toPandas()  # bounded like the sample, but for ids that documents repeat
     counted = {r["votes"]: r["n"] for r in read.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2**VOTERS rows
-    weights = _train(counted, taught, len(lexicon.terms))
+    taught = {(r["votes"], r["toxic"]): r["n"] for r in read.join(sample, "doc_id").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len({y for _, y in taught}) < 2:
+        weights = fixed_weights(len(lexicon.terms))
+    else:
+        patterns = np.array(sorted(counted), np.int64)
+        counts = np.array([counted[p] for p in patterns.tolist()], np.float64)
+        labelled = np.array([[taught.get((p, y), 0) for p in patterns.tolist()] for y in (0, 1)], np.float64)
+        posterior = LabelModel(patterns, counts, labelled).posterior
+        likely = posterior >= 0.5
+        share = [min(1.0, max_examples / max(1.0, counts[likely == side].sum())) for side in (False, True)]
+        known = spark.createDataFrame(list(zip(patterns.tolist(), np.where(likely, share[1], share[0]).tolist(), strict=True)), "votes int, share double")
+        drawn = F.pmod(F.xxhash64("doc_id", "hits", "votes"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        examples = read.join(F.broadcast(known), "votes").filter(drawn).groupBy("hits", "votes").agg(F.count(F.lit(1)).alias("n"), F.first("share").alias("share")).orderBy("votes", "hits").toPandas()
+        weights = _train(examples, dict(zip(patterns.tolist(), posterior.tolist(), strict=True)), len(lexicon.terms))
     model = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,22 +307,19 @@ def score_toxicity(
     return scored.select(F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _train(counted: dict[int, int], taught, terms: int) -> np.ndarray:
+def fixed_weights(terms: int) -> np.ndarray:
+    """Nothing to learn from: the fixed lexicon alone decides."""
+    w = np.zeros(terms + VOTERS + 1)
+    w[terms + LEXICONS : terms + LEXICONS + 2], w[-1] = (4.0, 2.0), -3.0
+    return w
+
+
+def _train(examples: pd.DataFrame, posterior: dict[int, float], terms: int) -> np.ndarray:
     """Weights of terms, voters and bias, learned from the label model's posteriors."""
-    patterns = np.array(sorted(counted), np.int64)
-    counts = np.array([counted[p] for p in patterns.tolist()], np.float64)
-    if not len(taught) or taught["toxic"].nunique() < 2:
-        # Nothing to learn from: the fixed lexicon alone decides.
-        w = np.zeros(terms + VOTERS + 1)
-        w[terms + LEXICONS : terms + LEXICONS + 2], w[-1] = (4.0, 2.0), -3.0
-        return w
-    where = np.searchsorted(patterns, taught["votes"].to_numpy())
-    labelled = np.stack([np.bincount(where[taught["toxic"].to_numpy() == y], minlength=len(patterns)) for y in (0, 1)]).astype(np.float64)
-    model = LabelModel(patterns, counts, labelled)
-    target = model.blended[where]
     rows, cols = [], []
-    for i, (hits, votes) in enumerate(zip(taught["hits"], taught["votes"], strict=True)):
+    for i, (hits, votes) in enumerate(zip(examples["hits"], examples["votes"], strict=True)):
         own = [*hits, *(terms + v for v in range(VOTERS) if votes >> v & 1)]
         cols.extend(own)
         rows.extend([i] * len(own))
-    return fit_linear(np.array(rows, np.int64), np.array(cols, np.int64), target, terms + VOTERS)
+    target = np.array([posterior[v] for v in examples["votes"]])
+    return fit_linear(np.array(rows, np.int64), np.array(cols, np.int64), target, (examples["n"] / examples["share"]).to_numpy(float), terms + VOTERS)
