@@ -1,12 +1,16 @@
 """Category of a name from weighted patterns, as one DataFrame expression.
 
 Java's regex engine needs the flags U (Unicode classes and case folding) and d (only a line feed
-ends a line for the dot). All pattern scores are bound once, in an array column; the rules and the
-choice of the best then read that array, so no pattern is evaluated twice.
+ends a line for the dot). Most patterns begin with a word, so an ASCII name is cut into tokens once,
+and a pattern runs only if one of them is a word it can begin with. All pattern scores are bound once,
+in an array column; the rules and the choice of the best then read that array, so no pattern is
+evaluated twice.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,11 +124,72 @@ def _matches(name: Column, pattern: str, fold: bool = True) -> Column:
     return name.rlike(("(?iUd)" if fold else "(?Ud)") + pattern)
 
 
-def scores(name: Column) -> Column:
-    """Array of eleven sums of weights, indexed by category code."""
+def _first_tokens(text: str) -> set[str] | None:
+    """The alphanumeric runs that a match of this part of a pattern can begin with, if they can be listed."""
+    done, now, i = set(), {""}, 0
+    while i < len(text):
+        rest = text[i:]
+        if gap := re.match(r"\[\\s\._-?\]\?|\\\.\?", rest):  # a separator that may be missing
+            done |= now
+            i += gap.end()
+        elif rest.startswith(("[\\s", "\\.", "\\b", "\\+", "'", "_")):  # the run ends here
+            return done | now
+        elif span := re.match(r"\[(\d)-(\d)\]", rest):
+            now = {c + str(d) for c in now for d in range(int(span[1]), int(span[2]) + 1)}
+            i += span.end()
+        elif rest == "\\d":
+            now = {c + str(d) for c in now for d in range(10)}
+            i += 2
+        elif rest[0].isalnum() and not rest[1:2] in ("+", "*", "{"):
+            more = {c + rest[0].lower() for c in now}
+            optional = rest[1:2] == "?"
+            now = now | more if optional else more
+            i += 1 + optional
+        else:
+            return None
+    return done | now
+
+
+def first_tokens(pattern: str) -> set[str] | None:
+    """Tokens of which an ASCII name that matches must hold one, if the pattern begins at the edge of a token."""
+    group = re.fullmatch(r"(?:\\b|\\\[)\((.*)\)(?:\\b|\\\])", pattern)
+    if not group and not pattern.startswith("\\b"):
+        return None
+    parts, depth = [""], 0
+    for c in group[1] if group else pattern[2:]:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth and group:
+            parts.append("")
+        else:
+            parts[-1] += c
+    found = [_first_tokens(p) for p in parts]
+    return None if any(f is None or "" in f for f in found) else set().union(*found)
+
+
+#: Patterns that a name can only match if it holds a certain token: a bit for each, and the bits by token.
+GATES = {p: bit for bit, p in enumerate(p for _, _, p in PATTERNS if first_tokens(p))}
+TOKEN_BITS: dict[str, int] = {}
+for _pattern, _bit in GATES.items():
+    for _token in first_tokens(_pattern):
+        TOKEN_BITS[_token] = TOKEN_BITS.get(_token, 0) | 1 << _bit
+
+
+def possible(name: Column) -> Column:
+    """Bits of the gated patterns that a name may match; a name with other than ASCII characters may match all."""
+    bits = F.create_map(*[F.lit(x) for pair in sorted(TOKEN_BITS.items()) for x in pair])
+    tokens = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: t.isin(*sorted(TOKEN_BITS)))  # a map is searched from its start
+    some = F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.coalesce(bits[t], F.lit(0)).cast("long")))
+    return F.when(F.octet_length(name) == F.char_length(name), some).otherwise(F.lit(-1).cast("long"))
+
+
+def scores(name: Column, gate: Column) -> Column:
+    """Array of eleven sums of weights, indexed by category code; `gate` is `possible` of the name."""
     sums = [F.lit(0.0)] * len(CATEGORIES)
     for category, weight, pattern in PATTERNS:
-        sums[CODE[category]] = sums[CODE[category]] + F.when(_matches(name, pattern), F.lit(weight)).otherwise(F.lit(0.0))
+        match = _matches(name, pattern)
+        if pattern in GATES:
+            match = (gate.bitwiseAND(F.lit(1 << GATES[pattern]).cast("long")) != 0) & match
+        sums[CODE[category]] = sums[CODE[category]] + F.when(match, F.lit(weight)).otherwise(F.lit(0.0))
     return F.array(*sums)
 
 
@@ -153,8 +218,8 @@ def best(s: Column) -> Column:
 def with_category(df: DataFrame, name: str = "name") -> DataFrame:
     """Adds `category`; a null name counts as empty."""
     text = F.coalesce(F.col(name), F.lit(""))
-    scored = df.withColumn("_scores", scores(text))
-    return scored.withColumn("_final", disambiguated(text, F.col("_scores"))).withColumn("category", best(F.col("_final"))).drop("_scores", "_final")
+    scored = df.withColumn("_gate", possible(text)).withColumn("_scores", scores(text, F.col("_gate")))
+    return scored.withColumn("_final", disambiguated(text, F.col("_scores"))).withColumn("category", best(F.col("_final"))).drop("_gate", "_scores", "_final")
 
 
 def label(code: Column) -> Column:

@@ -96,7 +96,7 @@ def token_df(spark, sf_dir):
 
 @query(" SELECT infohash, " + ", ".join(f"{s} AS s{i}" for i, s in enumerate(cls.scores_sql("name"))) + " FROM torrents")
 def classify_scores(spark, sf_dir):
-    s = corpus.torrents(spark, sf_dir).withColumn("s", cls.scores(F.col("name")))
+    s = corpus.torrents(spark, sf_dir).withColumn("gate", cls.possible(F.col("name"))).withColumn("s", cls.scores(F.col("name"), F.col("gate")))
     return s.select(fmt.hex_lower(F.col("infohash")).alias("infohash"), *[F.col("s")[i].alias(f"s{i}") for i in range(11)])
 
 

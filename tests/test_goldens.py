@@ -30,6 +30,23 @@ def test_patterns_are_evaluated_once(spark):
     assert plan.count("RLIKE") <= len(classify.PATTERNS) + 3
 
 
+def test_gates_let_every_match_through(spark):
+    """Names made of the patterns' own words, in many spellings, score the same with all patterns run."""
+    import random
+    import re
+
+    rng, names = random.Random(1), []
+    for _, _, pattern in classify.PATTERNS:
+        for part in re.split(r"[|()]", pattern):
+            word = re.sub(r"\\[bd]|\[\\s[^\]]*\]\??|\[.*?\]|[\\?+{}]", lambda m: {"[": rng.choice(["", " ", ".", "_", "-"]), "\\": "7" if m[0] == "\\d" else ""}.get(m[0][0], ""), part)
+            names += [f"a {word} b", word.upper(), f"[{word}]", f"x.{word}_y", f"ü {word}", f"{word}s"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    gated = df.withColumn("g", classify.possible(F.col("name"))).withColumn("a", classify.scores(F.col("name"), F.col("g")))
+    both = gated.withColumn("b", classify.scores(F.col("name"), F.lit(-1).cast("long")))
+    assert both.filter("a <> b").select("name").collect() == [] and both.filter("exists(a, x -> x > 0)").count() > 400
+    assert len(classify.GATES) > 50
+
+
 def test_pattern_counts():
     per = {c: sum(p[0] == c for p in classify.PATTERNS) for c in CATEGORIES}
     assert len(classify.PATTERNS) == 68
