@@ -381,21 +381,21 @@ def bloom_indices(spark, sf_dir):
 
 @query(" SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 AS seen FROM events")
 def bloom_sim(spark, sf_dir):
-    """Repeats that the decaying filter reports, simulated in 16 filters that share the keys out by their hash.
+    """Repeats that the decaying filter reports, simulated in 1,024 filters that share the keys out by their hash.
 
-    Each filter takes its keys in order, one by one. It is far larger than its keys here, so nothing
-    decays and it reports exactly the repeats.
+    Each filter takes its keys in order, one by one. It is far larger than its few keys here, so no
+    cell of a key decays and it reports exactly the repeats.
     """
 
     def run(pdf):
         import pandas as pd
 
         rows = pdf.sort_values("seq")
-        bloom = codecs.StableBloom(2_000_000)
+        bloom = codecs.StableBloom(1_000_000)
         return pd.DataFrame({"seq": rows["seq"], "seen": [bloom.test_and_add(bytes(h)) for h in rows["h"]]})
 
     ev = corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.unhex(F.sha1(F.col("user_id").cast("string"))).alias("h"))
-    return ev.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(16))).groupBy("shard").applyInPandas(run, "seq long, seen boolean")
+    return ev.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(1024))).groupBy("shard").applyInPandas(run, "seq long, seen boolean")
 
 
 # --- routing
