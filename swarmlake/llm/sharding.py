@@ -67,18 +67,8 @@ def _edge(first: int, bits: int, below: int, inside: int, target: int) -> int:
     return first if target - below <= below + inside - target else first + (1 << bits)
 
 
-def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, whole_group: float = 0.05) -> DataFrame:
-    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
-
-    The law is `bytes`: shards get near equal sums of size, the UTF-8 bytes of the text (null:
-    none) plus 16. Equal texts are neighbours in the order. A boundary that falls in a group of
-    equal texts moves to the group's nearer edge if the group has at most the share `whole_group`
-    of a shard's bytes; a larger group is cut between its ids. Null and empty texts are one group,
-    null ids come last in theirs, repeated rows keep one shard per id. Extra columns are not read;
-    an empty table gives an empty result. slot numbers a shard's rows without gaps in key order.
-    """
-    spark = docs.sparkSession
-    rows = Scratch(spark, "shards").stage(keyed(docs, id_col, text_col), "keys").withColumn("_i", F.coalesce("_id", F.lit((1 << 63) - 1)))
+def _cuts(rows: DataFrame, shards: int, tolerance: float, whole_group: float) -> dict[int, tuple[int, int]]:
+    """The first key (hash, id) of each shard but the first."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     share = total / shards
     near = max(1, int(share * tolerance))
@@ -91,14 +81,36 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
             goals[s] = (first, targets[s] - below)
     for s, (first, bits, below, inside) in _splitters(rows, "_i", F.col("_h"), goals, near).items():
         cuts[s] = (goals[s][0], _edge(first, bits, below, inside, goals[s][1]))
+    return cuts
+
+
+def _shard(cuts: dict[int, tuple[int, int]]) -> Column:
+    """The shard of a row with a hash `_h` and an id `_i`."""
     top = (1 << 63) - 1
     shard = F.lit(0)
-    for s in range(1, shards):
-        h, i = cuts[s]
+    for h, i in cuts.values():
         past = F.lit(False) if h > top else F.col("_h") > h
         at = F.lit(False) if h > top or i > top else (F.col("_h") == h) & (F.col("_i") >= i)
         shard = shard + (past | at).cast("int")
-    dealt = rows.withColumn("shard", shard)
+    return shard
+
+
+def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, whole_group: float = 0.05) -> DataFrame:
+    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
+
+    The law is `bytes`: shards get near equal sums of size, the UTF-8 bytes of the text (null:
+    none) plus 16. Equal texts are neighbours in the order. A boundary that falls in a group of
+    equal texts moves to the group's nearer edge if the group has at most the share `whole_group`
+    of a shard's bytes; a larger group is cut between its ids. So the bytes before a boundary differ
+    from their target by at most half of that share, or of the longest text if that is more, plus
+    the tolerance. Null and empty texts are one group, null ids come last in theirs, repeated rows
+    keep one shard per id; ids are cast to long, null if they are no numbers. Texts of any length
+    count whole. Extra columns are not read; an empty table gives an empty result. slot numbers a
+    shard's rows without gaps in key order.
+    """
+    spark = docs.sparkSession
+    rows = Scratch(spark, "shards").stage(keyed(docs, id_col, text_col), "keys").withColumn("_i", F.coalesce("_id", F.lit((1 << 63) - 1)))
+    dealt = rows.withColumn("shard", _shard(_cuts(rows, shards, tolerance, whole_group)))
 
     # Slots: rows are ranked in parts of a shard, and a part starts where those before it end. Parts
     # are ranges of the hash, and a part of many rows (one text's copies) has a number of its own by
@@ -118,3 +130,20 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_start") + F.col("_rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, whole_group: float = 0.05, tasks: int = 4) -> None:
+    """Writes the documents with their own columns to `path`, a folder shard=N for each shard.
+
+    The counting rounds read keys only; then the rows travel once, each shard to `tasks` tasks by a
+    hash of the text and the id. The rules are those of `histogram_shards`; a column `shard` of the
+    documents is an error.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("the documents have a column shard already")
+    rows = Scratch(docs.sparkSession, "shards").stage(keyed(docs, id_col, text_col), "keys").withColumn("_i", F.coalesce("_id", F.lit((1 << 63) - 1)))
+    cuts = _cuts(rows, shards, tolerance, whole_group)
+    own = docs.columns
+    wide = docs.select(*own, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_h"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_i"))
+    dealt = wide.withColumn("shard", _shard(cuts)).withColumn("_part", F.pmod(F.xxhash64("_h", "_i"), F.lit(tasks)))
+    dealt.repartition(shards * tasks, "shard", "_part").select(*own, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
