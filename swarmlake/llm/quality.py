@@ -1,9 +1,9 @@
 """Quality by hierarchical empirical Bayes.
 
 A classifier gives each document evidence, a log-likelihood ratio of high against low quality. Hosts
-and the paths below them get posteriors: grouped sums of evidence and labels, shrunk towards the
-level above by a strength that is estimated from how much the groups differ. A document's score adds
-its evidence to its path's log odds.
+and the paths below them get posteriors: grouped means of the documents' probabilities, shrunk towards
+the level above by a strength that is estimated from how much the groups differ. A document's score
+adds its evidence to its path's log odds. Labels only teach the classifier.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_groups
 
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
 _MARK_RUN = re.compile(r"[^\w\s]{2,}")
@@ -72,7 +72,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shrunk(groups: DataFrame, above: Column, least: float = 1.0, most: float = 1e4) -> float:
-    """The strength (in documents) of the level above, from the groups' spread around it by moments."""
+    """The strength (in documents) of the level above, from the groups' spread around it by moments.
+
+    Of groups with n documents, mean m and the mean a above, the sum of n (m - a)^2 beyond what
+    chance gives, the sum of a (1 - a), is the share s of the sum of n a (1 - a) that groups explain;
+    the strength is (1 - s) / s. Groups of one document say nothing; without others it is `most`.
+    """
     m, n = F.col("_sum") / F.col("_n"), F.col("_n")
     got = groups.filter("_n > 1").agg(
         F.sum(n * (m - above) * (m - above)).alias("spread"), F.sum(above * (1 - above)).alias("noise"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(n * above * (1 - above)).alias("var")
@@ -94,7 +99,9 @@ def score_quality(
     the id mod 3 is not 1; the sums of hosts and paths take every document. Null and empty texts
     have the features of a text without words; null hosts and paths are a group; null ids have no
     label; ids labelled both ways and null labels are left out. Without labels of both classes all
-    evidence is zero. Rows that repeat an id are scored one by one; extra columns are not read.
+    evidence is zero. Rows that repeat an id are scored one by one and teach once, by the least of
+    their features. Texts of any length are measured whole. Extra columns are not read, whatever their
+    names; an empty table gives an empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
     host = F.col("source") if host is None else host
@@ -112,7 +119,7 @@ def score_quality(
     measured = scratch.stage(src.mapInArrow(measure, f"doc_id {id_type}, host string, path string, x array<float>"), "features")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).filter("y = _y").drop("_y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    taught = measured.join(F.broadcast(known), "doc_id").select("x", "y").toPandas()  # bounded by max_labelled
+    taught = measured.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).drop("doc_id").toPandas()  # at most max_labelled rows
     model = None
     if len(taught) and taught["y"].nunique() == 2:
         model = Classifier(np.stack(taught["x"].to_numpy()).astype(float), taught["y"].to_numpy(float))
@@ -135,11 +142,10 @@ def score_quality(
     hosts = hosts.select("host", ((F.col("_sum") + k_host * top) / (F.col("_n") + k_host)).alias("_host"))
     levels = paths.join(hosts, "host")
     k_path = shrunk(levels, F.col("_host"))
-    levels = scratch.stage(levels.select("host", "path", ((F.col("_sum") + k_path * F.col("_host")) / (F.col("_n") + k_path)).alias("_path")), "levels")
-    if levels.count() <= max_hosts:  # else a join that splits hot hosts
-        levels = F.broadcast(levels)
+    levels = scratch.stage(levels.select("host", "path", "_n", ((F.col("_sum") + k_path * F.col("_host")) / (F.col("_n") + k_path)).alias("_path")), "levels")
     odds = F.col("evidence") + F.log(F.col("_path") / (1 - F.col("_path")))
-    scored = judged.join(levels, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-odds)))
+    # Hosts and paths of many documents are few and known to all tasks; only the others are shuffled for.
+    scored = join_groups(judged, levels, ["host", "path"], "_n", int(whole[1] or 0), max_hosts).withColumn("score", 1 / (1 + F.exp(-odds)))
     return scored.select(
         F.col("doc_id").alias(id_col), "host", "path", "evidence", "score", held_out(F.col("doc_id")).alias("held_out"), (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("kept")
     )
