@@ -180,8 +180,9 @@ def pack(
 
     A document is its tokens and then `end_id`, so null and empty texts are one token; without an
     end id they have no piece. `quadratic` is the cost of a token pair in units of a token. Every
-    row is packed, rows that repeat an id each as a document of its own; extra columns are not read;
-    an empty table gives no pieces. sequence_id is unique over the table and the same on a rerun
+    row is packed, rows that repeat an id each as a document of its own; ids are cast to long, null if
+    they are no numbers. A block ends with the row that fills it, so a very long text is a block of its
+    own. Extra columns are not read; an empty table gives no pieces. sequence_id is unique over the table and the same on a rerun
     over the same splits. `ids` are little-endian unsigned 32-bit ids.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -211,13 +212,13 @@ def pack(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                names.extend(piece.column(0).to_pylist())
-                for ids in cache.encode(piece.column(1).to_pylist()):
+                for name, ids in zip(piece.column(0).to_pylist(), cache.encode(piece.column(1).to_pylist()), strict=True):
+                    names.append(name)
                     tokens.append(ids + end)
                     held += len(tokens[-1]) // 4
-                if held >= block_tokens:
-                    yield from flush()
-                    names, tokens, held = [], [], 0
+                    if held >= block_tokens:
+                        yield from flush()
+                        names, tokens, held = [], [], 0
         if tokens:
             yield from flush()
 
