@@ -88,8 +88,9 @@ def format_events(events: DataFrame, trained: tuple[str, ...] = ("assistant",),
     Blocks hold `block` numbers of turns; `formatted` of a conversation is that of its blocks in
     order, and `loss` are code points in the block's own text. Rows of one seq are taken in the
     order of kind, role and text. Null texts are empty, null roles the empty role, null turns and
-    conversations a turn and a conversation of their own, before all others. Without events there
-    is no row. Extra columns are not read.
+    conversations a turn and a conversation of their own, before all others. A very long text comes in
+    many deltas; one turn's text must fit a worker. Without events there is no row. Extra columns are
+    not read.
     """
     rows = events.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.col("seq").cast("long").alias("seq"),
@@ -153,7 +154,7 @@ def format_events(events: DataFrame, trained: tuple[str, ...] = ("assistant",),
     return rows.mapInArrow(run, RENDERED)
 
 
-def message_events(messages: DataFrame, chunk: int = 20_000) -> DataFrame:
+def message_events(messages: DataFrame, chunk: int = 4_000) -> DataFrame:
     """The log of finished messages (conv_id, turn, role, text): a start and its deltas.
 
     Each row is a turn of its own, also where rows repeat one turn number (`sub` counts them); such
