@@ -140,9 +140,3 @@ def entries_after(entries: DataFrame, discovered_at: int, infohash: bytes, limit
 
 def latest_timestamp(entries: DataFrame) -> DataFrame:
     return entries.agg(F.coalesce(F.max("discovered_at"), F.lit(0)).cast("long").alias("latest"))
-
-
-def write_snapshot(entries: DataFrame, path: str, partitions: int) -> None:
-    """A compacted snapshot in time order, so that recent pages and cursors prune by file statistics."""
-    ordered = entries.repartitionByRange(partitions, "discovered_at", "infohash").sortWithinPartitions("discovered_at", "infohash")
-    ordered.write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as cls
 from ..functions import format as fmt
-from ..functions.text import STOPWORDS, index_tokens
+from ..functions.text import STOPWORDS
 from ..operators import catalog, routing, search
-from ..schema import CATEGORIES, DISPLAY_ORDER, ENTRY
+from ..schema import CATEGORIES, DISPLAY_ORDER
 from ..sources import codecs, datasource
 from ..store import Store
 from ..streaming import ingest
 from . import corpus
-from .base import ORACLE_SQL, QUERIES, query, scratch
+from .base import ORACLE_SQL, QUERIES, query, scratch  # noqa: F401  the first two are the driver's
 
 # Parts of the checking SQL.
 CLASSIFIED = f"cat AS ({cls.category_sql('torrents', 'infohash')}), known AS (SELECT * FROM cat JOIN (SELECT infohash, o_orderkey FROM torrents) USING (infohash) WHERE o_orderkey % 10 <> 3)"

@@ -158,7 +158,6 @@ def read_request(raw: bytes) -> int:
     return struct.unpack(">I", raw[:4])[0]
 
 
-END_OF_FRAMES = b"\0\0"
 _DIGITS = re.compile(rb"0|-?[1-9][0-9]*")
 
 
@@ -280,11 +279,6 @@ def dispatched(raw: bytes, me: bytes) -> tuple[str | None, bytes | None]:
     return msg["method"], response(msg["transaction"], {"id": me})
 
 
-def sample_reply(msg: dict[str, Any]) -> dict[str, Any]:
-    """What a caller takes from the answer to sample_infohashes; a missing number or interval counts as 0."""
-    return {"id": msg["id"], "samples": msg["samples"], "nodes": msg["nodes"], "num": msg["num"] or 0, "interval": msg["interval"] or 0}
-
-
 def announce_port(implied: bool, port: int | None, source_port: int) -> int:
     return source_port if implied or port is None else port
 
