@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -270,10 +269,7 @@ def _phrases(query: DataFrame, window: int) -> Phrases:
 def _counted(rows: DataFrame) -> DataFrame:
     """Adds n_words and drops the text."""
 
-    @F.pandas_udf("long")
-    def n_words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(words(t))).astype("int64")
-
+    n_words = F.udf(lambda text: len(words(text)), "long", useArrow=True)
     return rows.withColumn("n_words", n_words("text")).drop("text")
 
 
@@ -345,10 +341,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = {c: f"_c{i}" for i, c in enumerate(own)}
     found = find_spans(docs.withColumnsRenamed(names), benchmark, names[id_col], names[text_col], carry=tuple(names.values()), **options)
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, s) if s is not None and len(s) else t for t, s in zip(text, spans, strict=True)], dtype=object)
-
+    cut = F.udf(lambda text, spans: _cut(text, spans) if text and spans else text, "string", useArrow=True)
     hit = F.col("n_hit") > 0
     return found.select(*(F.when(hit, cut(F.col(names[c]).cast("string"), F.col("spans"))).otherwise(F.col(names[c])).alias(c) if c == text_col else F.col(names[c]).alias(c) for c in own))
 

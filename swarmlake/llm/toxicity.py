@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -314,8 +313,8 @@ def fixed_weights(terms: int) -> np.ndarray:
     return w
 
 
-def _train(examples: pd.DataFrame, posterior: dict[int, float], terms: int) -> np.ndarray:
-    """Weights of terms, voters and bias, learned from the label model's posteriors."""
+def _train(examples, posterior: dict[int, float], terms: int) -> np.ndarray:
+    """Weights of terms, voters and bias, learned from the label model's posteriors; `examples` is a pandas table (hits, votes, n, share)."""
     rows, cols = [], []
     for i, (hits, votes) in enumerate(zip(examples["hits"], examples["votes"], strict=True)):
         own = [*hits, *(terms + v for v in range(VOTERS) if votes >> v & 1)]
