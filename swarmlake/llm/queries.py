@@ -16,6 +16,7 @@ from .packing import pack
 from .prob_minhash import near_duplicates
 from .quality import score_quality
 from .sharding import histogram_shards
+from .sweep_join import band_join
 from .toxicity import score_toxicity
 from .warc import read_archives, resolved, write_archives
 
@@ -79,7 +80,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_packing, op6_quality_classifier, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction)}
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return band_join(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"), ranks=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_packing, op6_quality_classifier, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction, op13_band_join)}
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, for an engine without such a function: two steps of four bits a byte."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    step = lambda c, b: f"xor({table}[(xor({c}, {b}) & 15) + 1], {c} >> 4)"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: ascii(substr({text}, k, 1))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {step(step('c', 'b'), '(b >> 4)')}, 4294967295::BIGINT), 4294967295)"
+
 
 ORACLE_SQL = {
     "op1_warc_revisits": """
@@ -119,4 +137,17 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op13_band_join": f"""
+        WITH lines AS (SELECT sale_id, line_no, item_id, quantity, CAST(floor(100 * amount + 0.5) AS BIGINT) * 2 + quantity AS top FROM sale_lines
+                WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND amount IS NOT NULL),
+        l AS (SELECT sale_id, line_no, item_id, (top * sign(quantity)::BIGINT - ((top * sign(quantity)::BIGINT) % abs(2 * quantity) + abs(2 * quantity)) % abs(2 * quantity)) // abs(2 * quantity) AS u,
+                {crc32_sql("sale_id || ',' || coalesce(line_no::VARCHAR, '') || ',' || item_id")} AS c FROM lines),
+        i AS (SELECT row_number() OVER () AS k, item_id, p, greatest(10, CAST(floor(p / 500.0) AS BIGINT)) AS w FROM (SELECT item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items)),
+        pairs AS (SELECT k, abs(u - p) AS gap, u, sale_id, line_no, l.item_id AS line_item_id, c FROM i JOIN l ON u BETWEEN p - w AND p + w WHERE l.item_id <> i.item_id),
+        sums AS (SELECT k, count(*) AS n_pairs, sum(gap) AS gap_sum, sum(c) AS lines_crc FROM pairs GROUP BY k),
+        best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS rank FROM pairs QUALIFY rank <= 5)
+        SELECT item_id, coalesce(rank, 0)::INTEGER AS rank, gap::BIGINT AS gap, u::BIGINT AS u, sale_id, line_no::BIGINT AS line_no, line_item_id,
+            coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(gap_sum, 0)::BIGINT AS gap_sum, coalesce(lines_crc, 0)::BIGINT AS lines_crc
+        FROM i LEFT JOIN sums USING (k) LEFT JOIN best USING (k)
+    """,
 }
