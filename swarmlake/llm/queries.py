@@ -12,6 +12,7 @@ from .chat import digests, format_events, message_events
 from .exact_dedup import exact_dedup
 from .fm_index import find_spans
 from .html_extract import extract_text
+from .merkle import manifest
 from .packing import pack
 from .prob_minhash import near_duplicates
 from .quality import score_quality
@@ -80,11 +81,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return manifest(table(spark, sf_dir, "documents"), tampered=F.when(lost, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+
+
 def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"), ranks=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_packing, op6_quality_classifier, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction, op13_band_join)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_packing, op6_quality_classifier, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction, op12_merkle_manifest, op13_band_join)}
 
 
 def crc32_sql(text: str) -> str:
@@ -99,7 +105,39 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce({codes}, lambda c, b: {step(step('c', 'b'), '(b >> 4)')}, 4294967295::BIGINT), 4294967295)"
 
 
+def _climb_sql(nodes: str, paths: str, levels: int, tag: str) -> str:
+    """Common tables that lead a forest's `nodes` (g, pos, n, h) and rows (g, pos, cur, sib, ...) beside them `levels` levels up; {paths}{levels} has the result."""
+    out = []
+    for k in range(levels):
+        a, b, at = (nodes if k == 0 else f"{tag}n{k}"), (paths if k == 0 else f"{tag}p{k}"), f"pos // {3**k}"
+        run = "OVER (PARTITION BY g, pos // 3 ORDER BY pos ROWS BETWEEN"
+        out += [
+            f"{tag}r{k} AS (SELECT g, pos AS at, n, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {a})",
+            f"{tag}p{k + 1} AS (SELECT p.* REPLACE (CASE WHEN n = 1 THEN cur ELSE sha256(l || cur || r) END AS cur, CASE WHEN n = 1 THEN sib ELSE sib || l || r END AS sib) FROM {b} p JOIN {tag}r{k} r ON p.g = r.g AND p.{at} = r.at)",
+            f"{tag}n{k + 1} AS (SELECT g, pos // 3 AS pos, CASE WHEN n = 1 THEN 1 ELSE (n + 2) // 3 END AS n, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {a} GROUP BY g, pos // 3, n)",
+        ]
+    return ", ".join(out)
+
+
+def _merkle_sql(levels: int = 11, top_levels: int = 5) -> str:
+    """Up to 3^levels rows of a source and 3^top_levels sources."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf('text')} AS leaf,
+                {leaf("(CASE WHEN " + crc32_sql('doc_id::VARCHAR') + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS bad FROM documents),
+        s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+        nodes AS (SELECT g, pos, n, leaf AS h FROM s), paths AS (SELECT doc_id, leaf, g, pos, bad AS cur, '' AS sib FROM s),
+        {_climb_sql('nodes', 'paths', levels, 'a')},
+        subs AS (SELECT g AS name, h AS sub, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM an{levels}),
+        tops AS (SELECT 0 AS g, pos, n, sub AS h FROM subs), tpaths AS (SELECT doc_id, leaf, sub, 0 AS g, subs.pos, cur, sib FROM ap{levels} p JOIN subs ON p.g = subs.name),
+        {_climb_sql('tops', 'tpaths', top_levels, 'b')}
+        SELECT doc_id, leaf, sub AS subroot, h AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM bp{top_levels}, bn{top_levels}
+    """
+
+
 ORACLE_SQL = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op1_warc_revisits": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         g AS (SELECT h, max(page_id) AS keep FROM p WHERE strlen(h) >= 1000 GROUP BY h)
