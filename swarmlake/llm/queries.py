@@ -16,6 +16,7 @@ from .merkle import manifest
 from .packing import pack
 from .prob_minhash import near_duplicates
 from .quality import score_quality
+from .secret_scan import scan
 from .sharding import histogram_shards
 from .sweep_join import band_join
 from .toxicity import score_toxicity
@@ -81,6 +82,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     return manifest(table(spark, sf_dir, "documents"), tampered=F.when(lost, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
@@ -90,7 +95,7 @@ def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"), ranks=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_packing, op6_quality_classifier, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction, op12_merkle_manifest, op13_band_join)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_packing, op6_quality_classifier, op7_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_html_extraction, op11_secret_scan, op12_merkle_manifest, op13_band_join)}
 
 
 def crc32_sql(text: str) -> str:
