@@ -31,17 +31,39 @@ def parse_hash(text: Column) -> Column:
     return F.when(F.octet_length(raw) == 20, raw)
 
 
+def _tenths(q: Column) -> Column:
+    """A whole number of tenths as text with one decimal."""
+    return F.concat(F.floor(q / 10).cast("string"), F.lit("."), (q % 10).cast("string"))
+
+
 def size_binary(n: Column) -> Column:
-    """GB and MB of powers of two with one decimal, else whole KB."""
-    return F.when(n >= 1 << 30, F.format_string("%.1f GB", n / float(1 << 30))).when(n >= 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).otherwise(
-        F.concat(F.floor(n / 1024).cast("string"), F.lit(" KB"))
-    )
+    """GB and MB of powers of two with one decimal, else whole KB. Ties go to the even tenth, in integers (n is below 2^48)."""
+    n = n.cast("long")
+
+    def shown(bits: int, unit: str) -> Column:
+        tenths, rest, half = F.shiftright(n * 10, bits), (n * 10).bitwiseAND((1 << bits) - 1), 1 << (bits - 1)
+        up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+        return F.concat(_tenths(tenths + up.cast("long")), F.lit(unit))
+
+    return F.when(n >= 1 << 30, shown(30, "GB")).when(n >= 1 << 20, shown(20, "MB")).otherwise(F.concat(F.shiftright(n, 10).cast("string"), F.lit("KB")))
 
 
 def size_decimal(n: Column) -> Column:
+    """Powers of ten with one decimal, as a page shows them: the double n / 10^k is rounded by its exact value, ties up (n is below 2^48).
+
+    Where n lies midway between two tenths, the double is above or below it by less than a digit shows. Times 2^52 it is
+    a whole number, and is compared with n in whole numbers.
+    """
+    n = n.cast("long")
     out = F.concat(n.cast("string"), F.lit("B"))
+    wide = lambda c: c.cast("decimal(19,0)")
     for unit, power in (("KB", 3), ("MB", 6), ("GB", 9), ("TB", 12)):
-        out = F.when(n >= 10**power, F.concat(F.format_string("%.1f", n / 10.0**power), F.lit(unit))).otherwise(out)
+        tenth = 10 ** (power - 1)
+        tenths, rest = F.floor(n / tenth).cast("long"), n % tenth
+        double = wide((n / F.lit(10.0**power) * F.lit(2.0**52)).cast("long")) * F.lit(10**power).cast("decimal(13,0)")
+        at_least = double >= wide(n) * F.lit(1 << 52).cast("decimal(16,0)")
+        up = (rest * 2 > tenth) | ((rest * 2 == tenth) & at_least)
+        out = F.when(n >= 10**power, F.concat(_tenths(tenths + up.cast("long")), F.lit(unit))).otherwise(out)
     return out
 
 

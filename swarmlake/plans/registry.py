@@ -294,14 +294,16 @@ def codec_u48(spark, sf_dir):
     return corpus.table(spark, sf_dir, "orders").select("o_orderkey", fmt.u48(F.lit(1 << 48) * (F.col("o_orderkey") % 100) + F.col("o_orderkey")).alias("size"))
 
 
-SIZES = "(o_orderkey * 7919 % 1000003) * power(10, o_orderkey % 7)::BIGINT"
+# Every third is a quarter above whole megabytes, midway between two tenths.
+SIZES = "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 3 * 1048576 + 262144 ELSE (o_orderkey * 7919 % 1000003) * power(10, o_orderkey % 7)::BIGINT END::BIGINT"
 
 
 @query(
-    f" SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN format('{{:.1f}} GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN format('{{:.1f}} MB', n / 1048576.0::DOUBLE) ELSE CAST(n // 1024 AS BIGINT) || ' KB' END AS bin FROM (SELECT o_orderkey, {SIZES} AS n FROM orders)"
+    f" SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN format('{{:.1f}}GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN format('{{:.1f}}MB', n / 1048576.0::DOUBLE) ELSE CAST(n // 1024 AS BIGINT) || 'KB' END AS bin FROM (SELECT o_orderkey, {SIZES} AS n FROM orders)"
 )
 def format_size(spark, sf_dir):
-    n = ((F.col("o_orderkey") * 7919) % 1000003) * F.pow(F.lit(10), F.col("o_orderkey") % 7).cast("long")
+    k = F.col("o_orderkey")
+    n = F.when(k % 3 == 0, F.floor(k / 3).cast("long") * 1048576 + 262144).otherwise(((k * 7919) % 1000003) * F.pow(F.lit(10), k % 7).cast("long"))
     return corpus.table(spark, sf_dir, "orders").select("o_orderkey", fmt.size_binary(n).alias("bin"))
 
 

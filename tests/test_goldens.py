@@ -78,7 +78,16 @@ def test_conversions(spark):
         fmt.parse_hash(F.lit("AB" * 20)).alias("e"), fmt.size_binary(F.lit(1536)).alias("f"), fmt.size_decimal(F.lit(1500)).alias("g"), fmt.size_decimal(F.lit(999)).alias("h"), classify.label(F.lit(200)).alias("i"),
     ).first()
     assert (row["a"], row["b"], row["c"], row["d"], bytes(row["e"])) == (0, 1, 5, None, b"\xab" * 20)
-    assert (row["f"], row["g"], row["h"], row["i"]) == ("1 KB", "1.5KB", "999B", "other")
+    assert (row["f"], row["g"], row["h"], row["i"]) == ("1KB", "1.5KB", "999B", "other")
+
+
+def test_display_sizes(spark):
+    """Values written down from the rules: half to even of exact binary tenths; doubles below or above the midpoint."""
+    binary = {0: "0KB", 1023: "0KB", 512_000: "500KB", 1_048_576: "1.0MB", 1_310_720: "1.2MB", 1_835_008: "1.8MB", 1_288_490_189: "1.2GB", 1_342_177_280: "1.2GB", 1_073_741_823: "1024.0MB"}
+    decimal = {0: "0B", 999: "999B", 1000: "1.0KB", 1150: "1.1KB", 1250: "1.3KB", 1350: "1.4KB", 1450: "1.4KB", 1550: "1.6KB", 1750: "1.8KB", 999_999: "1000.0KB", 1_150_000: "1.1MB", 8_350_000_000: "8.3GB", 281_474_976_710_655: "281.5TB"}
+    for f, want in ((fmt.size_binary, binary), (fmt.size_decimal, decimal)):
+        rows = spark.createDataFrame([(n,) for n in want], "n long").select("n", f(F.col("n")).alias("s")).collect()
+        assert {r["n"]: r["s"] for r in rows} == want
 
 
 def test_listing_rules(spark):
