@@ -315,6 +315,20 @@ def sync_stream(spark, sf_dir):
     return hexed(spark.read.schema(datasource.DUMP).parquet(f"{path}/rows")).select("infohash", "name", "size", "discovered_at")
 
 
+@query(" SELECT infohash, name, size, discovered_at FROM torrents")
+def sync_stream_resumed(spark, sf_dir):
+    """Frames as a stream with byte offsets: a run of one batch, at most 100,000 bytes, ends inside a file; the next one goes on there."""
+    from ..sources import formats
+
+    path = scratch(spark, "resumed")
+    sink.write_frames(corpus.entries(spark, sf_dir).repartition(4), f"{path}/in")
+    formats.register(spark)
+    for most in ({"bytesPerBatch": "100000"}, {}):
+        stream = spark.readStream.format("swarm_frames").options(splitBytes="65536", **most).load(f"{path}/in")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return hexed(spark.read.schema(datasource.DUMP).parquet(f"{path}/rows")).select("infohash", "name", "size", "discovered_at")
+
+
 @query(
     " SELECT * FROM (VALUES ('first', (SELECT count(*) FROM torrents)), ('second', 0), ('failures', 1), ('stored', (SELECT count(*) FROM torrents))) t(step, n)"
 )

@@ -360,6 +360,19 @@ def src_dump_roundtrip(spark, sf_dir):
     return _hex_entries(datasource.read_dump(spark, path))
 
 
+@query(FILES)
+def src_dump_splits(spark, sf_dir):
+    """Dump files through the data source, in splits of 64 KB at places that a job found."""
+    from ..sources import formats
+    from ..sources.sink import write_dump
+
+    path = scratch(spark, "splits")
+    write_dump(corpus.entries(spark, sf_dir), path)
+    formats.register(spark)
+    formats.write_offsets(spark, path, 65_536)
+    return _hex_entries(spark.read.format("swarm_dump").option("splitBytes", 65_536).load(path))
+
+
 @query(FILES)
 def sync_export(spark, sf_dir):
     """Sync frames, written and read back; entries without a name have none."""

@@ -28,7 +28,7 @@ def from_dump(files: DataFrame) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for raw in batch.column(0):
-                yield from _entry_batches(codecs.read_dump(BytesIO(raw.as_buffer())))
+                yield from entry_batches(codecs.read_dump(BytesIO(raw.as_buffer())))
 
     return files.select("content").mapInArrow(parse, DUMP)
 
@@ -43,7 +43,7 @@ def encoded(entries: DataFrame, encode) -> DataFrame:
     return entries.withColumn("raw", run("infohash", "name", "size", "discovered_at", "files"))
 
 
-def _entry_batches(rows: Iterator[codecs.Entry], size: int = 5000):
+def entry_batches(rows: Iterator[codecs.Entry], size: int = 5000):
     """Arrow batches of entries."""
     import pyarrow as pa
 
@@ -64,7 +64,7 @@ def from_old_store(pairs: DataFrame) -> DataFrame:
     def parse(batches):
         for batch in batches:
             got = (codecs.read_old_store(k, v) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if k is not None and v is not None)
-            yield from _entry_batches(e for e in got if e)
+            yield from entry_batches(e for e in got if e)
 
     return pairs.select("key", "value").mapInArrow(parse, DUMP)
 
@@ -75,7 +75,7 @@ def from_frames(files: DataFrame) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for raw in batch.column(0):
-                yield from _entry_batches(codecs.read_frames(raw.as_py()))
+                yield from entry_batches(codecs.read_frames(raw.as_py()))
 
     return files.select("content").mapInArrow(parse, DUMP)
 
