@@ -73,6 +73,8 @@ def fold(events: list[tuple[int, str, str | None, str | None]], void_before: int
             parts, alive = [text or ""], True
         elif kind == "regenerate":
             parts = []
+        elif kind is None:
+            continue
         else:
             raise ValueError(f"unknown event {kind!r}")
         if who is not None:
@@ -88,12 +90,14 @@ def format_events(events: DataFrame, trained: tuple[str, ...] = ("assistant",),
     Blocks hold `block` numbers of turns; `formatted` of a conversation is that of its blocks in
     order, and `loss` are code points in the block's own text. Rows of one seq are taken in the
     order of kind, role and text. Null texts are empty, null roles the empty role, null turns and
-    conversations a turn and a conversation of their own, before all others. A very long text comes in
+    conversations a turn and a conversation of their own, before all others; a null seq stands before all
+    others of its turn, and before every edit. Events of null kind are skipped; those of an unknown kind are an
+    error. A very long text comes in
     many deltas; one turn's text must fit a worker. Without events there is no row. Extra columns are
     not read.
     """
     rows = events.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.col("seq").cast("long").alias("seq"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 62))).alias("seq"),
         (F.col("sub").cast("long") if "sub" in events.columns else F.lit(0).cast("long")).alias("sub"),
         F.col("kind").cast("string").alias("kind"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     ).withColumn("block", F.floor(F.col("turn") / block).cast("long"))
@@ -154,20 +158,38 @@ def format_events(events: DataFrame, trained: tuple[str, ...] = ("assistant",),
     return rows.mapInArrow(run, RENDERED)
 
 
-def message_events(messages: DataFrame, chunk: int = 4_000) -> DataFrame:
-    """The log of finished messages (conv_id, turn, role, text): a start and its deltas.
+def message_events(messages: DataFrame, chunk: int = 4_000, restarts: bool = False) -> DataFrame:
+    """The log of messages (conv_id, turn, role, text) as they were written: a start and its deltas.
 
     Each row is a turn of its own, also where rows repeat one turn number (`sub` counts them); such
-    rows come in the order of role and text.
+    rows come in the order of role and text. With `restarts` the log is that of a busy session: of three turns in
+    turn one is as said; one breaks off within a wrong answer (its pieces backwards) and is regenerated; one is said
+    wrong and then edited, before anything of later turns is said.
     """
     per_turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("sub", F.row_number().over(per_turn).cast("long"))
+    null = F.lit(None).cast("string")
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
     last = F.floor(F.length("text") / chunk).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))
-    start = F.array(F.struct(F.lit("start").alias("kind"), F.col("role").alias("role"), F.lit(None).cast("string").alias("text")))
-    deltas = F.transform(pieces, lambda p: F.struct(F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), p.alias("text")))
-    return rows.select("conv_id", "turn", "sub", F.posexplode(F.concat(start, deltas)).alias("seq", "e")).select("conv_id", "turn", "sub", "seq", "e.*")
+    deltas = F.transform(F.sequence(F.lit(0), last), lambda i: event("delta", null, F.substring(F.col("text"), i * chunk + 1, F.lit(chunk))))
+    start = F.array(event("start", F.col("role"), null))
+    said = F.concat(start, deltas)
+    if restarts:
+        wrong = F.concat(F.array(event("delta", null, F.lit("Not so: "))), F.reverse(deltas))
+        again = F.concat(start, F.slice(wrong, F.lit(1), (last / 2).cast("int") + 1), F.array(event("regenerate", null, null)), deltas)
+        edited = F.concat(start, wrong, F.array(event("edit", null, F.col("text"))))
+        way = F.pmod(F.coalesce(F.col("turn"), F.lit(0)) + F.col("sub"), F.lit(3))
+        first = (F.col("sub") == 1) & (F.abs(F.col("turn")) < 1 << 30)  # so no edit comes after what a later turn says
+        said = F.when(way == 0, again).when((way == 1) & first, edited).otherwise(said)
+    log = rows.select("conv_id", "turn", "sub", F.posexplode(said).alias("seq", "e"))
+    if not restarts:
+        return log.select("conv_id", "turn", "sub", "seq", "e.*")
+    # An edit makes void what later turns said before it, so the sequence goes on from turn to turn.
+    turn = F.least(F.greatest(F.coalesce(F.col("turn"), F.lit(-(1 << 30))), F.lit(-(1 << 30))), F.lit(1 << 30))
+    at = turn * F.lit(1 << 32) + F.least(F.col("sub"), F.lit(255)) * F.lit(1 << 24) + F.col("seq")
+    return log.select("conv_id", "turn", "sub", at.alias("seq"), "e.*")
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

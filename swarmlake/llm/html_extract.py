@@ -8,8 +8,9 @@ repeat a passage; there only whole containers that recur go.
 The markup decides where a count can't, as menus, adverts and comments differ from page to page:
 elements that are never text of an article go (script, nav, form, aside and so on), and so do those
 whose class, id or role says so in whole names ("ad", "comment-list"). A name that only holds such a
-word ("search-results", "form-factor") is a hint: inside an article its subtree goes only if it
-recurs on a second page of the host.
+word ("search-results", "form-factor"), or one that articles use for text as well ("menu", "widget"), is a
+hint: its subtree goes only if it recurs on a second page of the host. What wraps the text is no part of
+a site's frame, whatever it is called (see `settle`).
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ MARKS = frozenset(
     "header masthead footer contentinfo cookie cookies consent notice notices notification alert disclaimer gdpr popup modal overlay form login signup subscribe subscription newsletter search comment comments "
     "respond reply replies disqus discussion related recommended recommendations share sharing social pagination pager toolbar widget widgets skip".split()
 )
+# Marks that are hints only inside an article.
+WEAK = frozenset("menu menubar widget widgets toolbar discussion form search".split())
+# Elements among OUT that hold no text of a page, whatever is in them.
+HARD = frozenset("head script style noscript template select textarea input iframe object embed svg canvas audio video map title noembed noframes option button".split())
 # Words that may stand beside a mark in a name without making it another thing.
 BESIDE = frozenset(
     "area bar bars block blocks body bottom box buttons column container content cta inline inner items left links list main module outer page panel post posts primary reader right section site slot stories text thread "
@@ -56,9 +61,11 @@ OTHER_ARTICLES = frozenset("ad ads advert advertisement promo sponsored comment
 LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][\w-]+|\bsidebar[-_](?:left|right|none|layout)\b")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # An attribute's value is quoted or runs to the next space or >; quotes elsewhere are plain characters.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-WORDS, NAMES = re.compile(r"[a-z]+"), re.compile(r"[a-z0-9]+")
+NAMES = re.compile(r"[a-z0-9]+")
+#: A slash that ends an unquoted value is part of it; a tag that the page's end cuts off is no text.
+UNQUOTED, CUT_TAG = re.compile(r"=\s*[^\s\"'>][^\s>]*/\Z"), re.compile(r"</?[A-Za-z]")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HOST = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 CONTAINERS = frozenset("div section ul ol dl table figure blockquote details center address header hgroup fieldset".split())
@@ -67,41 +74,88 @@ CONTAINERS = frozenset("div section ul ol dl table figure blockquote details cen
 class Node:
     """An element: its name, children (nodes and texts), and whether the markup rules it out or hints so."""
 
-    __slots__ = ("name", "kids", "out", "hint", "hash", "main")
+    __slots__ = ("name", "kids", "out", "hint", "hash", "main", "named")
 
-    def __init__(self, name: str, out: bool = False, main: bool = False, hint: bool = False):
-        self.name, self.kids, self.out, self.hash, self.main, self.hint = name, [], out, 0, main, hint
+    def __init__(self, name: str, out: bool = False, main: bool = False, hint: bool = False, named: bool = False):
+        self.name, self.kids, self.out, self.hash, self.main, self.hint, self.named = name, [], out, 0, main, hint, named
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
-def _judged(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is ruled out, and whether its names hint at it."""
+def _judged(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is ruled out, whether its names hint at it, and whether names ruled it out."""
     if name in OUT or name == "header" and not in_article:
-        return True, False
+        return True, False, False
     if not attributes.strip() or name in ("html", "body"):
-        return False, False
+        return False, False, False
     got = _attributes(attributes)
     if "hidden" in got or got.get("aria-hidden") == "true" or HIDDEN.search(got.get("style", "")):
-        return True, False
+        return True, False, False
+    if in_article and name in TEXT:
+        return False, False, False
     given = LAYOUT.sub(" ", " ".join((got.get("class", ""), got.get("id", ""), got.get("role", ""))).lower())
-    marks = MARKS - {"header", "masthead"} if in_article else MARKS
-    if not in_article and name not in ("article", "main"):
-        return bool(set(WORDS.findall(given)) & marks), False
-    if name in TEXT:
-        return False, False
-    if name in ("article", "main"):
-        marks = OTHER_ARTICLES
+    article = name in ("article", "main")
+    marks = OTHER_ARTICLES if article else MARKS - {"header", "masthead"} if in_article else MARKS
     hint = False
     for one in given.split():
         parts = [w for w in (x.rstrip("0123456789") for x in NAMES.findall(one)) if w.isalpha()]
-        if marks.intersection(parts):
-            if marks.union(BESIDE).issuperset(parts):
-                return True, False
-            hint = name not in ("article", "main")
-    return False, hint
+        if found := marks.intersection(parts):
+            if marks.union(BESIDE).issuperset(parts) and not (in_article and found <= WEAK):
+                return True, False, True
+            hint = not article
+    return False, hint, False
+
+
+def _text(node: Node, ruled: bool = False) -> int:
+    """Characters of text below a node; without `ruled`, those of elements that are not ruled out."""
+    n, work = 0, [node]
+    while work:
+        for k in work.pop().kids:
+            if isinstance(k, str):
+                n += len(k.strip())
+            elif not k.out or ruled and k.name not in HARD:
+                work.append(k)
+    return n
+
+
+def settle(root: Node) -> None:
+    """Takes back what was ruled out wrongly, as it wraps the page's text.
+
+    If all article and main elements lie in ruled-out ones and hold more text than the rest of the page, what
+    they lie in stays. A page without an article stays when it lies in a form as a whole: a form with more
+    text than stands beside it. And names alone never empty a page.
+    """
+    if _has_main(root):
+        return
+    mains, forms, named, work = [], [], [], [(root, [])]
+    while work:
+        n, above = work.pop()
+        if n.out and n.name in HARD:
+            continue
+        if n.main and not n.out:
+            mains.append((n, above))
+            continue
+        if n.out:
+            above = [*above, n]
+            if n.name == "form" and len(above) == 1:
+                forms.append(n)
+            if n.named:
+                named.append(n)
+        work.extend((k, above) for k in reversed(n.kids) if isinstance(k, Node))
+    kept = _text(root)
+    if mains and sum(_text(m) for m, _ in mains) > kept:
+        for _, above in mains:
+            for n in above:
+                n.out = False
+        return
+    for n in forms:
+        if _text(n) > kept:
+            n.out = False
+    if not _text(root):
+        for n in named:
+            n.out = False
 
 
 def parse(page: str) -> Node:
@@ -118,7 +172,8 @@ def parse(page: str) -> Node:
     while at < end:
         m = scan(page, at)
         if not m:
-            stack[-1].kids.append(page[at:])
+            cut = CUT_TAG.search(page, at)
+            stack[-1].kids.append(page[at : cut.start()] if cut else page[at:])
             break
         if m.start() > at:
             stack[-1].kids.append(page[at : m.start()])
@@ -149,17 +204,18 @@ def parse(page: str) -> Node:
                     cut = i
             if cut:
                 pop_to(cut)
-        out, hint = _judged(name, m[3], articles > 0)
-        node = Node(name, out, name in ("article", "main"), hint)
+        out, hint, named = _judged(name, m[3], articles > 0)
+        node = Node(name, out, name in ("article", "main"), hint, named)
         stack[-1].kids.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
             if not node.out:
                 node.kids.append(page[at : close.start() if close else end])
             at = close.end() if close else end
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not (m[3].endswith("/") and not UNQUOTED.search(m[3])):
             articles += node.main
             stack.append(node)
+    settle(root)
     return root
 
 

@@ -49,7 +49,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return digests(format_events(message_events(rows, chunk=400)))
+    return digests(format_events(message_events(rows, chunk=400, restarts=True)))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,25 @@ def test_chat_fold_and_escape(spark):
     assert chat.format_events(df.limit(0)).count() == 0
 
 
+def test_chat_nulls_in_every_column(spark):
+    """No event of a log with nulls in any column, after an edit too, stops the fold; the rules of the docstring hold."""
+    rows = [(1, 0, 5, "start", "user", None), (1, 0, 6, "delta", None, "a"), (1, 0, 9, "edit", None, "b"), (1, 1, None, "start", "assistant", None), (1, 1, None, "delta", None, "void"), (1, 1, 10, "delta", "assistant", "c"),
+            (1, 1, 11, None, "x", "skipped"), (1, None, 3, "start", None, None), (1, None, None, None, None, None), (None, None, None, "edit", None, None), (2, 0, None, None, None, "nothing")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
+    got = {r["conv_id"]: [x for b in sorted(y for y in chat.format_events(df).collect() if y["conv_id"] == r["conv_id"]) for x in chat.parse(b["formatted"])] for r in chat.format_events(df).collect()}
+    assert got == {1: [("", ""), ("user", "b"), ("assistant", "c")], None: [("", "")]}
+
+
+def test_chat_log_of_restarts(spark):
+    """All four kinds of event, in turns that repeat a number as well, fold to what was said."""
+    rows = [(c, t, role, f"{role} {t} <x> \\ ünd " * (1 + t % 9 * 20)) for c in range(3) for t in range(130) for role in ("user", "assistant")] + [(5, None, "user", None), (5, 1 << 40, "user", "far"), (5, 1 << 41, "user", "farther")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.message_events(df, chunk=400, restarts=True)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == set(chat.EVENTS)
+    plain = chat.digests(chat.format_events(chat.message_events(df))).collect()
+    assert sorted(chat.digests(chat.format_events(log)).collect()) == sorted(plain) and len(plain) == 4
+
+
 def test_chat_long_texts_edits_and_regenerations(spark):
     """A random log against a plain fold of its events in order, and a text of many deltas."""
     rng, log, seq = random.Random(7), [], 0

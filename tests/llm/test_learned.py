@@ -372,6 +372,38 @@ def test_markup_of_all_kinds(spark):
     assert [got[i] for i in range(len(rows))] == list(cases.values())
 
 
+def test_wrappers_keep_their_article(spark):
+    """What an article or a page lies in stays, whatever it is called; whole names decide, not words in names."""
+    cases = {
+        '<div class="page-wrapper modal-ready"><article><p>Hello</p></article></div>': "Hello", '<div class="layout-header-fixed"><article><p>Hello</p></article></div>': "Hello",
+        "<form><article><p>Hello</p></article></form>": "Hello", '<form id="aspnetForm"><div><p>Hello all</p></div></form><p>x</p>': "Hello all\nx",
+        '<div class="widget"><div class="modal"><main><p>Hello</p></main></div></div><p>a</p>': "Hello", '<div id="content" class="social-history"><p>Hello</p></div>': "Hello",
+        '<div><p class="share-price">12</p><p class="comment-on-law">Hello</p></div>': "12\nHello", "<article data-u=/a/><p>Hello</p></article>": "Hello", "<article><br/><div class='x'/>a</article>": "a",
+        "<article><!--><p>Hello</p></article>": "Hello", "<article><!---><p>Hello</p></article>": "Hello", "<article><!-- x --!><p>Hello</p></article>": "Hello", '<p>Hello</p><p class="a': "Hello",
+        '<div class="related"><article><p>Teaser</p></article></div><div><p>A longer text of the page</p></div>': "A longer text of the page", '<div class="notice"><p>All there is</p></div>': "All there is",
+        '<article><ul class="menu"><li>Soup</ul><div class="widget">A lever</div><div class="ad">Buy</div></article>': "Soup\nA lever", '<p>Text</p><form><input name=q><label>Find</label></form>': "Text",
+    }
+    rows = [(i, f"http://h{i}/x", page) for i, page in enumerate(cases)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(cases.values())
+
+
+def test_counts_alone_remove_the_frame_of_a_site(spark):
+    """1,000 generated pages of a host without a telling name: menu, side column and foot recur, in 40 sections with links of their own."""
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    foot, sections = f"<div><div>{word()} {word()}</div><p>{word()}</p></div>", [f"<div><ul><li>{word()}<li>{word()}</ul></div>" for _ in range(40)]
+    rows, want = [], {}
+    for i in range(1000):
+        body = [" ".join(word() for _ in range(12)) for _ in range(3)]
+        rows.append((i, f"http://a.org/{i}", f"<html><body><div><div>Home</div><div>News</div></div>{sections[i % 40]}<div><p>{'</p><p>'.join(body)}</p></div>{foot}</body></html>"))
+        want[i] = "\n".join(body)
+    got = {x["page_id"]: x["text"] for x in html_extract.extract_text(pages(spark, rows), min_share=0.02).collect()}
+    assert got == want
+
+
 def test_templates_of_a_large_host(spark):
     """A section's sidebar on a hundredth of a large host's pages is a template by number."""
     rows = [(i, f"http://a.org/{i}", f"<body><div><p>Text {i}</p></div>{'<div><p>Section links</p></div>' if i < 120 else ''}</body>") for i in range(4000)]
