@@ -270,7 +270,7 @@ CRAWL = (
 
 @query(f"{CRAWL} SELECT sha1('u' || user_id) AS infohash, CASE WHEN user_id % 3 = 0 THEN 'peer' ELSE 'node' END AS via, metadata FROM fresh WHERE ok")
 def crawl_stream(spark, sf_dir):
-    """The stages of a crawl in one stream: discovery, first arrivals, known hashes out, a peer or the node itself, verification, storage."""
+    """The stages of a crawl in one stream: discovery, first arrivals, known hashes out, a peer or the node itself, verification, storage. Every batch is replayed once."""
     return _crawl(spark, sf_dir)[0]
 
 
@@ -282,27 +282,36 @@ def crawl_counters(spark, sf_dir):
 
 
 def _crawl(spark, sf_dir):
-    path, totals = scratch(spark, "crawl"), {}
+    path, counted = scratch(spark, "crawl"), {}
     known = corpus.table(spark, sf_dir, "events").filter("user_id % 4 = 1").select(F.sha1(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("infohash")).distinct()
     peers = corpus.table(spark, sf_dir, "events").filter("user_id % 3 = 0").select(F.sha1(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("infohash"), F.lit("peer").alias("peer")).distinct()
 
     def batch(rows, n):
-        seen, asked = Observation(f"seen{n}"), Observation(f"asked{n}")
+        seen, asked = Observation(), Observation()
         rows = rows.observe(seen, F.count(F.lit(1)).alias("received"), F.count_if(F.col("user_id") % 10 != 0).alias("found"))
         one = lambda c: F.sha1(F.concat(F.lit("u"), F.col(c).cast("string")))
         found = rows.filter("user_id % 10 <> 0").select(one("user_id").alias("infohash"), "user_id", "event_id")
-        stored = spark.read.schema("infohash string, via string, metadata string").parquet(f"{path}/rows") if n else known.limit(0)
+        # What other batches stored; this one's own earlier output counts as not there, as a replay writes it anew.
+        stored = spark.read.schema("infohash string, via string, metadata string, batch int").parquet(f"{path}/rows").filter(F.col("batch") < n) if n else known.limit(0)
         fresh = catalog.first_arrivals(found, F.col("event_id")).join(known, "infohash", "left_anti").join(stored.select("infohash"), "infohash", "left_anti")
         via = fresh.join(peers, "infohash", "left").withColumn("via", F.coalesce("peer", F.lit("node")))
         got = via.withColumn("metadata", F.concat(F.lit("m"), F.col("event_id").cast("string")))
         got = got.withColumn("claimed", F.when(F.col("user_id") % 7 == 0, F.lit("")).otherwise(F.sha1("metadata"))).withColumn("ok", F.sha1("metadata") == F.col("claimed"))
         got = got.observe(asked, F.count(F.lit(1)).alias("requests"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("ok").alias("persisted"))
-        got.filter("ok").select("infohash", "via", "metadata").write.mode("append").parquet(f"{path}/rows")
+        got.filter("ok").select("infohash", "via", "metadata").write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
         for k, v in {**seen.get, **asked.get}.items():
-            totals[k] = totals.get(k, 0) + v
+            counted.setdefault(n, {})[k] = v
+
+    def twice(rows, n):
+        for _ in range(2):
+            batch(rows, n)
 
-    ingest.run_available(event_stream(spark, sf_dir).select("event_id", "user_id"), f"{path}/state", batch)
-    return spark.read.schema("infohash string, via string, metadata string").parquet(f"{path}/rows"), totals
+    ingest.run_available(event_stream(spark, sf_dir).select("event_id", "user_id"), f"{path}/state", twice)
+    totals = {}
+    for own in counted.values():
+        for k, v in own.items():
+            totals[k] = totals.get(k, 0) + v
+    return spark.read.schema("infohash string, via string, metadata string, batch int").parquet(f"{path}/rows").drop("batch"), totals
 
 
 @query(" SELECT infohash, name, size, discovered_at FROM torrents")
@@ -404,18 +413,11 @@ ORIGIN = "sha1('s1')"
 def route_upsert_stream(spark, sf_dir):
     """The routing table as a stream keeps it, a batch of seen nodes at a time: 80 nodes nearest to the origin; one that never answered starts an hour old."""
     path = scratch(spark, "table")
-    schema = "id string, ip string, port int, last_responded long, insert_seq long"
-    state = {"at": None}
-
-    def batch(rows, n):
-        table = spark.read.schema(schema).parquet(state["at"]) if state["at"] else spark.createDataFrame([], schema)
-        state["at"] = f"{path}/{n}"
-        routing.merged(table, rows, F.sha1(F.lit("s1"))).write.mode("overwrite").parquet(state["at"])
-
+    table = ingest.Numbered(spark, f"{path}/table", "id string, ip string, port int, last_responded long, insert_seq long", lambda known, rows: routing.merged(known, rows, F.sha1(F.lit("s1"))))
     u = F.col("user_id")
     seen = event_stream(spark, sf_dir).select(
         F.sha1(F.concat(F.lit("c"), u.cast("string"))).alias("id"), F.concat(F.lit("10.0."), (u / 250).cast("int").cast("string"), F.lit("."), (u % 250).cast("string")).alias("ip"), F.lit(6881).alias("port"),
         corpus.unix_seconds(F.col("ts")).alias("at"), (F.col("event_id") % 4 != 0).alias("responded"), u.alias("insert_seq"), "event_id",
     )
-    ingest.run_available(seen, f"{path}/state", batch)
-    return spark.read.schema(schema).parquet(state["at"]).select("id", "insert_seq", "last_responded")
+    ingest.run_available(seen, f"{path}/state", table.batch)
+    return table.rows().select("id", "insert_seq", "last_responded")

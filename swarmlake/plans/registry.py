@@ -505,8 +505,14 @@ GAP = 21_600
     f" SELECT k.user_id, (SELECT min(e.seconds) FROM e WHERE e.user_id = k.user_id AND e.seconds >= k.seconds + {GAP}) FROM k WHERE k.seconds IS NOT NULL) SELECT user_id, seconds FROM k WHERE seconds IS NOT NULL"
 )
 def cooldown_dedup(spark, sf_dir):
-    stream = _event_stream(spark, sf_dir).select("user_id", corpus.unix_seconds(F.col("ts")).alias("seconds"))
+    """Events in four files by time, a micro-batch each; the state of a key ends when the watermark is past its gap."""
     path = scratch(spark, "cooldown")
+    e = corpus.table(spark, sf_dir, "events").select("user_id", corpus.unix_seconds(F.col("ts")).alias("seconds"))
+    cut = e.agg(F.percentile_approx("seconds", [0.25, 0.5, 0.75]).alias("c")).first()["c"] or []
+    for low, high in zip([None, *cut], [*cut, None], strict=True):
+        part = e.filter((F.lit(True) if low is None else F.col("seconds") >= low) & (F.lit(True) if high is None else F.col("seconds") < high))
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("user_id long, seconds long").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     kept = ingest.cool_down(stream, "user_id", "seconds", GAP)
     kept.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return spark.read.schema("user_id long, seconds long").parquet(f"{path}/rows")

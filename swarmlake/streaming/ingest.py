@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.catalog import entries_after, first_arrivals, latest_timestamp
 
@@ -63,44 +64,84 @@ def matched(sent: DataFrame, came: DataFrame, same, sent_at: str, came_at: str,
     return sent.join(came, same & (F.col(came_at) >= F.col(sent_at)) & (F.col(came_at) <= F.col(sent_at) + F.expr(f"INTERVAL {seconds} SECONDS")))
 
 
-def cool_down(stream: DataFrame, key: str, seconds_col: str, gap: int, streaming: bool = True, idle: int | None = None) -> DataFrame:
-    """Rows of a key that come at least `gap` seconds after the key's last accepted row.
+def _accepted(last: int | None, times: list[int], gap: int) -> tuple[list[int], int | None]:
+    """Of a key's times those at least `gap` after the one accepted before; and the last accepted one."""
+    out = []
+    for t in sorted(times):
+        if last is None or t - last >= gap:
+            out.append(t)
+            last = t
+    return out, last
+
+
+class CoolDown(StatefulProcessor):
+    """State of a key: the second of its last accepted row, until event time is a gap past it.
 
-    The state of a key is one number. Within a micro-batch rows are taken in time order. With `idle`
-    milliseconds the state of a key is dropped when no row of it has come for that long, so the state
-    holds the keys of that time only; choose it above the gap and the source's delay. A query with it
-    runs until it is stopped, as in `run_timed`: one that ends with its input would wait for timeouts.
+    From then on any row of the key would be accepted, with the state or without it, so ending it changes nothing.
     """
-    schema = f"{key} long, {seconds_col} long"
 
-    def accept(last: int | None, times: list[int]) -> tuple[list[int], int | None]:
-        out = []
-        for t in sorted(times):
-            if last is None or t - last >= gap:
-                out.append(t)
-                last = t
-        return out, last
+    def __init__(self, key: str, seconds_col: str, gap: int):
+        self.key, self.seconds, self.gap = key, seconds_col, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        kept, last = _accepted(before, [int(t) for b in rows for t in b[self.seconds].tolist()], self.gap)
+        if last != before:
+            self.last.update((last,))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((last + self.gap) * 1000)
+        yield pd.DataFrame({self.key: [key[0]] * len(kept), self.seconds: kept})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({self.key: pd.Series([], dtype="int64"), self.seconds: pd.Series([], dtype="int64")})
+
+
+def cool_down(stream: DataFrame, key: str, seconds_col: str, gap: int, streaming: bool = True, delay: int = 0) -> DataFrame:
+    """Rows of a key that come at least `gap` seconds after the key's last accepted row.
 
+    Within a micro-batch rows are taken in time order. Rows that are more than `delay` seconds behind the newest of
+    the batches before are late and left out, so choose it above the source's disorder; the state holds the keys
+    of the last `gap` + `delay` seconds only. It is kept in RocksDB, which the session is set to.
+    """
+    schema = f"{key} long, {seconds_col} long"
     if not streaming:
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            kept, _ = accept(None, pdf[seconds_col].tolist())
+            kept, _ = _accepted(None, pdf[seconds_col].tolist(), gap)
             return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), seconds_col: kept})
 
         return stream.groupBy(key).applyInPandas(whole, schema)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = stream.select(key, seconds_col, F.timestamp_seconds(seconds_col).alias("_at")).withWatermark("_at", f"{delay + 1} seconds")  # a row at the watermark counts as late
+    return timed.groupBy(key).transformWithStateInPandas(CoolDown(key, seconds_col, gap), schema, "append", "EventTime")
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        kept, last = accept(last, [t for b in batches for t in b[seconds_col].tolist()])
-        if last is not None:
-            state.update((last,))
-            if idle is not None:
-                state.setTimeoutDuration(idle)
-        yield pd.DataFrame({key: [k[0]] * len(kept), seconds_col: kept})
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
+class Numbered:
+    """A small table that a stream renews batch by batch: batch n is made of the table after n - 1 and written as n.
+
+    A restarted query finds the table where the one before left it, and a batch that is replayed makes the same table again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, renew: Callable[[DataFrame, DataFrame], DataFrame]):
+        self.spark, self.path, self.schema, self.renew = spark, path.rstrip("/"), schema, renew
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """The table after the last batch, or before a given one."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [f"{self.path}/{f.getPath().getName()}/_SUCCESS" for f in fs.listStatus(at)] if fs.exists(at) else []
+        numbers = [int(d.split("/")[-2]) for d in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(d))]
+        numbers = [n for n in numbers if before is None or n < before]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{max(numbers)}") if numbers else self.spark.createDataFrame([], self.schema)
+
+    def batch(self, rows: DataFrame, number: int) -> None:
+        """For foreachBatch."""
+        self.renew(self.rows(number), rows).write.mode("overwrite").parquet(f"{self.path}/{number}")
 
 
 class Catalog:
@@ -129,7 +170,8 @@ class Catalog:
             new = new.withColumn("discovered_at", F.lit(arrived).cast("long"))
         draft = f"{self.path}/_draft-{number}"
         new.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(draft)
-        # The draft is hidden from readers; it takes the place of the batch once it is whole.
+        # The draft is hidden from readers and takes the place of the batch once it is whole. A reader that lists files while
+        # a replay swaps the two may miss the batch; of a batch that is no replay there is nothing to miss.
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(draft).getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(path(f"{self.path}/{own}"), True)

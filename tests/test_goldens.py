@@ -173,6 +173,61 @@ def test_cool_down_batch_and_stream_agree(spark, sf):
     assert batch == {tuple(r) for r in registry.QUERIES["cooldown_dedup"](spark, sf).collect()}
 
 
+def test_cool_down_state_ends_with_event_time(spark, tmp_path):
+    """Ten days, a file each, with other keys every day: the state never holds more than the last days' keys."""
+    gap, day = 3600, 86_400
+    for d in range(1, 11):
+        rows = [(d * 1000 + k, d * day + s) for k in range(200) for s in (0, 10, gap, gap + 5, 3 * gap)]
+        spark.createDataFrame(rows, "k long, seconds long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+
+    def run(days):
+        stream = spark.readStream.schema("k long, seconds long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        q = ingest.cool_down(stream, "k", "seconds", gap).writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start(f"file://{tmp_path}/rows")
+        q.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+    sizes = run(10)
+    assert len(sizes) >= 10 and max(sizes) <= 3 * 2 * 200  # a value and a timer a key, of two days at most
+    got = spark.read.parquet(f"file://{tmp_path}/rows")
+    assert got.count() == 10 * 200 * 3 and got.groupBy("k").count().filter("count <> 3").count() == 0
+    spark.createDataFrame([(1001, 10 * day + 3 * gap + 1), (10_001, 10 * day + 3 * gap + 1), (10_002, 10 * day + 4 * gap)], "k long, seconds long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    run(1)  # after a restart a key of the first day is new again, those of the last day are as they were
+    assert {(r["k"], r["seconds"]) for r in spark.read.parquet(f"file://{tmp_path}/rows").filter(F.col("seconds") > 10 * day + 3 * gap).collect()} == {(1001, 10 * day + 3 * gap + 1), (10_002, 10 * day + 4 * gap)}
+
+
+def test_routing_table_goes_on_after_a_restart(spark, tmp_path):
+    """Stopped in the middle of a batch and started anew between batches: the table of one run."""
+    from swarmlake.operators import routing
+
+    schema = "id string, insert_seq long, ip string, port int, at long, responded boolean, event_id long"
+    sha = lambda i: F.sha1(F.concat(F.lit("c"), i.cast("string")))
+    for n in range(4):
+        i = F.col("id")
+        rows = spark.range(n * 60, n * 60 + 120).select(sha(i).alias("id"), i.alias("insert_seq"), F.lit("10.0.0.1").alias("ip"), i.cast("int").alias("port"), (i + n).alias("at"), (i % 3 == 0).alias("responded"), (i + n * 1000).alias("event_id"))
+        rows.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+
+    def run(at, fail_at=None):
+        table = ingest.Numbered(spark, f"file://{tmp_path}/{at}/table", "id string, ip string, port int, last_responded long, insert_seq long", lambda known, rows: routing.merged(known, rows, F.sha1(F.lit("s1"))))
+
+        def batch(rows, n):
+            table.batch(rows, n)
+            if n == fail_at:
+                raise ConnectionError("cut off")
+
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        try:
+            ingest.run_available(stream, f"file://{tmp_path}/{at}/state", batch)
+        except Exception:
+            assert fail_at is not None
+        return sorted(tuple(r) for r in table.rows().collect())
+
+    whole = run("a")
+    assert len(whole) == 80
+    first, second = run("b", 0), run("b", 2)
+    assert len(first) == 80 and first != second
+    assert run("b") == whole and run("b") == whole
+
+
 def test_replayed_batches_keep_their_rows(spark, tmp_path):
     store = ingest.Catalog(spark, f"file://{tmp_path}/c", ENTRY).create()
     names = lambda: sorted((r["name"], r["discovered_at"]) for r in store.rows().collect())
