@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.params import Settings
-from .operators import catalog, search
+from .operators import catalog
 from .sources.datasource import from_dump, read_dump
 from .store import Store
 from .streaming import ingest
@@ -44,16 +44,15 @@ def parser() -> argparse.ArgumentParser:
 
 def answer(store: Store, request: dict) -> list[str]:
     """Result rows of one request: its `job` and the job's arguments by name."""
-    entries, categories = store.read("entries"), store.read("categories")
     job = request.get("job")
     if job == "stats":
         out = store.stats()
     elif job == "recent":
-        out = catalog.recent(entries, categories, request.get("category"), int(request.get("offset", 0)))
+        out = store.recent(request.get("category"), int(request.get("offset", 0)))
     elif job == "search":
-        out = search.search(entries, categories, store.read("postings"), request["q"], request.get("category"), int(request.get("limit", 20)), int(request.get("offset", 0)))
+        out = store.search(request["q"], request.get("category"), int(request.get("limit", 20)), int(request.get("offset", 0)))
     elif job == "show":
-        out = catalog.point_lookup(entries, categories, request["infohash"])
+        out = catalog.point_lookup(store.read("entries"), store.read("categories"), request["infohash"])
     else:
         raise ValueError(f"unknown job {job!r}")
     return [r["json"] for r in out.select(F.to_json(F.struct("*")).alias("json")).collect()]

@@ -6,7 +6,7 @@ shuffle on the infohash only, and AQE splits skewed partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,27 @@ def first_arrivals(incoming: DataFrame, order: Column, key: str = "infohash") ->
     return picked.select(key, "_row.*").select(*incoming.columns)
 
 
+def absent(first: DataFrame, keys: DataFrame, first_bytes: list[bytes], few: bool) -> DataFrame:
+    """Rows of distinct hashes that are not among stored keys, which are sorted by hash; no null hash is stored.
+
+    Of the keys only those that begin with one of `first_bytes` are read. If the rows are `few`, their hashes are broadcast
+    and the stored side stays where it is; what it has of them is as few again.
+    """
+    if not first_bytes:
+        return first
+    end = lambda b: F.lit(True) if b == b"\xff" else F.col("infohash") < F.lit(bytes([b[0] + 1]))
+    if len(first_bytes) <= 32:
+        inside = F.lit(False)
+        for b in first_bytes:
+            inside = inside | ((F.col("infohash") >= F.lit(b)) & end(b))
+    else:
+        inside = (F.col("infohash") >= F.lit(first_bytes[0])) & end(first_bytes[-1])
+    keys = keys.select("infohash").filter(inside)
+    if few:
+        keys = F.broadcast(keys.join(F.broadcast(first.select("infohash")), "infohash", "left_semi"))
+    return first.join(keys, "infohash", "left_anti")
+
+
 def new_entries(stored: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
     """Rows that an upsert adds: first arrivals whose key is not stored."""
     return first_arrivals(incoming, order).join(stored.select("infohash"), "infohash", "left_anti")
@@ -40,9 +61,14 @@ def classify(entries: DataFrame) -> DataFrame:
     return with_category(entries).select("infohash", "category")
 
 
+def classified(entries: DataFrame) -> DataFrame:
+    """Stored categories, which keep the time, as they are sorted and cut by it."""
+    return with_category(entries).select("infohash", "category", "discovered_at")
+
+
 def postings(entries: DataFrame) -> DataFrame:
-    """Inverted index: distinct (token, infohash)."""
-    return entries.select(F.explode(index_tokens(F.col("name"))).alias("token"), "infohash")
+    """Inverted index: distinct (token, infohash), with the entry's time."""
+    return entries.select(F.explode(index_tokens(F.col("name"))).alias("token"), "discovered_at", "infohash")
 
 
 def category_stats(categories: DataFrame) -> DataFrame:
@@ -72,29 +98,60 @@ def newest_first() -> list[Column]:
     return [F.desc("discovered_at"), F.desc("infohash")]
 
 
-def page(keys: DataFrame, entries: DataFrame, categories: DataFrame) -> DataFrame:
-    """Result rows, newest first, of a page's few keys: names, files and categories are read for them alone."""
-    few = F.broadcast(keys.select("infohash"))
-    rows = entries.join(few, "infohash", "left_semi").join(categories.join(few, "infohash", "left_semi"), "infohash", "left")
-    return listing(rows).orderBy(*newest_first())
+Bounds = Iterable[int | None]
+
+
+def newest(keys_since: Callable[[int | None], DataFrame], bounds: Bounds, offset: int, limit: int) -> list[tuple[int, bytes]]:
+    """Keys (time, hash) of a page, newest first: of what is newer than the first bound, if that fills the page, else than the next.
+
+    No more than the page's rows come to the driver.
+    """
+    for since in bounds:
+        got = keys_since(since).select("discovered_at", "infohash").orderBy(*newest_first()).offset(offset).limit(limit).collect()
+        if len(got) == limit or since is None:
+            return [(r["discovered_at"], bytes(r["infohash"])) for r in got]
+    return []
+
+
+def since_time(rows: DataFrame, since: int | None) -> DataFrame:
+    return rows if since is None or "discovered_at" not in rows.columns else rows.filter(F.col("discovered_at") >= since)
+
+
+def page(keys: list[tuple[int, bytes]], entries: DataFrame, categories: DataFrame) -> DataFrame:
+    """Result rows, newest first, of a page's few keys, which reach the scans as literals: names, files and categories are read near them alone."""
 
+    def of(rows: DataFrame) -> DataFrame:
+        hashes = F.col("infohash").isin([k[1] for k in keys]) if keys else F.lit(False)
+        if keys and "discovered_at" in rows.columns:
+            hashes = hashes & F.col("discovered_at").between(min(k[0] for k in keys), max(k[0] for k in keys))
+        return rows.filter(hashes)
 
-def recent(entries: DataFrame, categories: DataFrame, category: str | None = None, offset: int = 0, limit: int = RECENT_PAGE) -> DataFrame:
+    rows = of(entries).join(F.broadcast(of(categories).select("infohash", "category")), "infohash", "left")
+    return listing(rows).repartition(1).sortWithinPartitions(*newest_first())
+
+
+def recent(entries: DataFrame, categories: DataFrame, category: str | None = None, offset: int = 0, limit: int = RECENT_PAGE, bounds: Bounds = (None,)) -> DataFrame:
     """Newest entries. With a category, entries that are not classified count as `other`.
 
-    The page is cut on keys, and only its rows are read whole.
+    The page is cut on keys, and only its rows are read whole. `bounds` are times to look behind first (see `newest`).
     """
-    code, keys = category_filter(category), entries.select("infohash", "discovered_at")
-    if code is not None:
-        keys = keys.join(categories, "infohash", "left").filter(F.coalesce(F.col("category"), F.lit(0)) == code)
-    return page(keys.orderBy(*newest_first()).offset(offset).limit(limit), entries, categories)
+    code = category_filter(category)
+
+    def keys(since: int | None) -> DataFrame:
+        rows = since_time(entries.select("infohash", "discovered_at"), since)
+        if code is None:
+            return rows
+        codes = since_time(categories, since).select("infohash", "category")
+        return rows.join(codes, "infohash", "left").filter(F.coalesce(F.col("category"), F.lit(0)) == code)
+
+    return page(newest(keys, bounds, offset, limit), entries, categories)
 
 
-def all_pages(entries: DataFrame, categories: DataFrame, category: str | None = None, limit: int = RECENT_PAGE) -> Iterator[DataFrame]:
-    """Pages as a scrolling client asks for them: the next one until one has fewer rows than a page."""
+def all_pages(at: Callable[[int], DataFrame], limit: int = RECENT_PAGE) -> Iterator[DataFrame]:
+    """Pages, each by its offset, as a scrolling client asks for them: the next one until one has fewer rows than a page."""
     offset = 0
     while True:
-        one = recent(entries, categories, category, offset, limit)
+        one = at(offset)
         yield one
         if one.count() < limit:
             return
@@ -118,7 +175,7 @@ def point_lookup(entries: DataFrame, categories: DataFrame, infohash: str) -> Da
     if len(raw) != 20:
         raise ValueError("invalid infohash")
     match = F.col("infohash") == F.lit(raw)  # reaches the scan of a stored catalog
-    rows = entries.filter(match).join(categories.filter(match), "infohash", "left")
+    rows = entries.filter(match).join(categories.filter(match).select("infohash", "category"), "infohash", "left")
     return listing(rows).withColumn("infohash", F.lit(infohash))
 
 

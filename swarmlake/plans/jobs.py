@@ -54,9 +54,9 @@ def meta_cursor(spark, sf_dir):
 ALL = f", {CODES}, {NAMED}"
 
 
-@query(f"{ALL} SELECT * FROM (VALUES ('first', (SELECT count(*) FROM torrents WHERE discovered_at < 100000000)), ('second', (SELECT count(*) FROM torrents WHERE discovered_at >= 100000000)), ('again', 0), ('categories', (SELECT count(*) FROM cat)), ('postings', (SELECT count(*) FROM tt)), ('folders', 3)) t(step, n)")
+@query(f"{ALL} SELECT * FROM (VALUES ('first', (SELECT count(*) FROM torrents WHERE discovered_at < 100000000)), ('second', (SELECT count(*) FROM torrents WHERE discovered_at >= 100000000)), ('again', 0), ('categories', (SELECT count(*) FROM cat)), ('postings', (SELECT count(*) FROM tt)), ('folders', 2)) t(step, n)")
 def classify_index(spark, sf_dir):
-    """Two increments, each with its categories and postings in one commit, that append to what is there."""
+    """Two increments, each with its categories and postings in one commit, that append to what is there; a call without anything to do adds no folder."""
     t = corpus.entries(spark, sf_dir)
     store, rows = Store(spark, scratch(spark, "index")), []
     store.add(t.filter("discovered_at < 100000000"))
@@ -172,7 +172,7 @@ def cli_jobs(spark, sf_dir):
 def recent_pages(spark, sf_dir):
     """A category as a scrolling client reads it: page after page, until one is not full."""
     store = stored(spark, sf_dir)
-    sizes = [p.count() for p in catalog.all_pages(store.read("entries"), store.read("categories"), "audiobook")]
+    sizes = [p.count() for p in catalog.all_pages(lambda offset: store.recent("audiobook", offset))]
     return spark.createDataFrame([(sum(sizes), len(sizes))], "rows long, pages long")
 
 
@@ -180,8 +180,7 @@ def recent_pages(spark, sf_dir):
 def unseen_rows(spark, sf_dir):
     """A page that overlaps the one before, without the rows that were shown."""
     store = stored(spark, sf_dir)
-    page = lambda offset: catalog.recent(store.read("entries"), store.read("categories"), offset=offset)
-    return catalog.unseen(page(20), page(0)).select("infohash")
+    return catalog.unseen(store.recent(offset=20), store.recent()).select("infohash")
 
 
 _stores: dict[tuple[str, str, str], Store] = {}
@@ -214,7 +213,7 @@ def classify_stream(spark, sf_dir):
         store.add(t.filter((F.col("discovered_at") >= low) & (F.col("discovered_at") < high)))
     for _ in range(2):
         ingest.run_available(store.stream("entries", Settings().batch_files), path, classifier(store))
-    return hexed(store.read("categories"))
+    return hexed(store.read("categories")).select("infohash", "category")
 
 
 @query(" SELECT 3::BIGINT AS batches, 5::BIGINT AS files, (SELECT count(*) FROM torrents)::BIGINT AS rows")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cls
 from ..functions import format as fmt
 from ..functions.text import STOPWORDS
-from ..operators import catalog, routing, search
+from ..operators import catalog, routing
 from ..schema import CATEGORIES, DISPLAY_ORDER
 from ..sources import codecs, datasource
 from ..store import Store
@@ -44,7 +44,7 @@ def _store(spark: SparkSession, sf_dir: str) -> Store:
 
     def build(store: Store) -> None:
         entries, known = corpus.entries(spark, sf_dir), corpus.torrents(spark, sf_dir).filter("o_orderkey % 10 <> 3")
-        store.replace(entries=entries, categories=catalog.classify(known))
+        store.replace(entries=entries, categories=catalog.classified(known))
 
     return _stored(spark, sf_dir, "torrents", build)
 
@@ -54,16 +54,15 @@ def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return store.read("entries"), store.read("categories")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _documents(spark: SparkSession, sf_dir: str) -> Store:
     """Documents as entries, with codes for most of them and postings of all their tokens."""
 
     def build(store: Store) -> None:
         d = corpus.document_entries(spark, sf_dir)
-        codes = d.filter("size % 4 <> 1").select("infohash", (F.col("size") % 11).cast("tinyint").alias("category"))
+        codes = d.filter("size % 4 <> 1").select("infohash", (F.col("size") % 11).cast("tinyint").alias("category"), "discovered_at")
         store.replace(entries=d.drop("doc_id"), categories=codes, postings=catalog.postings(d))
 
-    store = _stored(spark, sf_dir, "documents", build)
-    return store.read("entries"), store.read("categories"), store.read("postings")
+    return _stored(spark, sf_dir, "documents", build)
 
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -138,29 +137,29 @@ def ext_weights(spark, sf_dir):
 
 @query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} {FROM} ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
 def recent(spark, sf_dir):
-    return _shown(catalog.recent(*_catalog(spark, sf_dir)))
+    return _shown(_store(spark, sf_dir).recent())
 
 
 @query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} {FROM} ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50 OFFSET 50")
 def recent_page2(spark, sf_dir):
-    return _shown(catalog.recent(*_catalog(spark, sf_dir), offset=50))
+    return _shown(_store(spark, sf_dir).recent(offset=50))
 
 
 @query(f", {CLASSIFIED}, {LABELS} SELECT {ROW} {FROM} WHERE coalesce(category, 0) = 0 ORDER BY torrents.discovered_at DESC, infohash DESC LIMIT 50")
 def recent_by_category(spark, sf_dir):
-    return _shown(catalog.recent(*_catalog(spark, sf_dir), category="other"))
+    return _shown(_store(spark, sf_dir).recent("other"))
 
 
 @query(" SELECT count(*)::BIGINT AS total FROM torrents")
 def stats_total(spark, sf_dir):
-    return _store(spark, sf_dir).read("entries").agg(F.count(F.lit(1)).alias("total"))
+    return _store(spark, sf_dir).stats().select("total")
 
 
 @query(f", {CLASSIFIED}, {LABELS} SELECT label AS category, count(*)::BIGINT AS n, list_position([{', '.join(map(repr, DISPLAY_ORDER))}], label) AS position FROM known JOIN lab ON code = category GROUP BY label")
 def stats_by_category(spark, sf_dir):
-    counts = catalog.category_stats(_catalog(spark, sf_dir)[1])
+    counts = _store(spark, sf_dir).stats().select(F.explode("categories").alias("category", "n"))
     rank = F.array_position(F.array(*map(F.lit, DISPLAY_ORDER)), F.col("category")).cast("int")
-    return counts.select(cls.label(F.col("category").cast("int")).alias("category"), "n").withColumn("position", rank).orderBy("position")
+    return counts.withColumn("position", rank)
 
 
 @query(
@@ -213,37 +212,37 @@ def late_unclassified(spark, sf_dir):
 
 @query(_search_sql(["of", "is"]))
 def search_all_tokens(spark, sf_dir):
-    return _shown(search.search(*_documents(spark, sf_dir), "of is", cap=None))
+    return _shown(_documents(spark, sf_dir).search("of is", cap=None))
 
 
 @query(_search_sql(["tion"]))
 def search_one_token(spark, sf_dir):
-    return _shown(search.search(*_documents(spark, sf_dir), "Tion", cap=None))
+    return _shown(_documents(spark, sf_dir).search("Tion", cap=None))
 
 
 @query(_search_sql(["of", "is"], limit=100, offset=20))
 def search_page(spark, sf_dir):
-    return _shown(search.search(*_documents(spark, sf_dir), "is of", limit=500, offset=20, cap=None))
+    return _shown(_documents(spark, sf_dir).search("is of", limit=500, offset=20, cap=None))
 
 
 @query(_search_sql(["of", "is"], where="category IS NULL OR category = 1"))
 def search_category(spark, sf_dir):
-    return _shown(search.search(*_documents(spark, sf_dir), "of is", category="movie", cap=None))
+    return _shown(_documents(spark, sf_dir).search("of is", category="movie", cap=None))
 
 
 @query(_search_sql(["of", "is"]))
 def search_bad_category(spark, sf_dir):
-    return _shown(search.search(*_documents(spark, sf_dir), "of is", category="nonsense", cap=None))
+    return _shown(_documents(spark, sf_dir).search("of is", category="nonsense", cap=None))
 
 
 @query(_search_sql(["the", "of"]))
 def search_stopword(spark, sf_dir):
-    return _shown(search.search(*_documents(spark, sf_dir), "the of", cap=None))
+    return _shown(_documents(spark, sf_dir).search("the of", cap=None))
 
 
 @query(_search_sql(["of", "is"], cap=30))
 def search_capped(spark, sf_dir):
-    return _shown(search.search(*_documents(spark, sf_dir), "of is", cap=30))
+    return _shown(_documents(spark, sf_dir).search("of is", cap=30))
 
 
 # --- writes
@@ -266,6 +265,15 @@ def upsert_first_wins(spark, sf_dir):
     return catalog.upsert_first_wins(stored, _incoming(spark, sf_dir), F.col("seq")).withColumn("infohash", fmt.hex_lower(F.col("infohash")))
 
 
+@query(f", incoming AS ({SECOND}), new AS (SELECT infohash, name, size, discovered_at FROM incoming WHERE infohash NOT IN (SELECT infohash FROM torrents) QUALIFY row_number() OVER (PARTITION BY infohash ORDER BY discovered_at, name) = 1) SELECT infohash, name, size, discovered_at FROM torrents UNION ALL SELECT * FROM new")
+def upsert_stored(spark, sf_dir):
+    """The same upsert into a stored catalog: incoming hashes go to the stored keys, which are not shuffled."""
+    store = Store(spark, scratch(spark, "upsert"))
+    store.add(corpus.entries(spark, sf_dir))
+    store.add(_incoming(spark, sf_dir).withColumn("files", F.array().cast(catalog.FILES)), F.struct("discovered_at", "name"))
+    return store.read("entries").select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "name", "size", "discovered_at")
+
+
 @query(f", incoming AS ({SECOND}) SELECT infohash, name FROM incoming WHERE infohash NOT IN (SELECT infohash FROM torrents)")
 def ingest_antijoin(spark, sf_dir):
     return _incoming(spark, sf_dir).join(corpus.torrents(spark, sf_dir).select("infohash"), "infohash", "left_anti").select(fmt.hex_lower(F.col("infohash")).alias("infohash"), "name")
