@@ -84,13 +84,16 @@ def drop_classification(spark, sf_dir):
 
 @query(" SELECT (SELECT count(*) FROM torrents)::BIGINT AS rows, 4::BIGINT AS files, 1::BIGINT AS folders, true AS saved")
 def compact(spark, sf_dir):
-    """A catalog of two increments, rewritten in time order in four files; the old folders are deleted."""
-    store, t = Store(spark, scratch(spark, "compact")), corpus.entries(spark, sf_dir)
-    store.add(t.filter("discovered_at < 100000000")), store.add(t)
+    """A catalog of six increments, rewritten in time order in four files; the old folders are deleted and the catalog is smaller."""
+    path = scratch(spark, "compact")
+    corpus.entries(spark, sf_dir).write.parquet(f"{path}/in")
+    store, t = Store(spark, f"{path}/store"), spark.read.parquet(f"{path}/in")
+    for high in (20_000_000, 40_000_000, 80_000_000, 120_000_000, 160_000_000, 1 << 62):
+        store.add(t.filter(F.col("discovered_at") < high))
     saved = store.compact(4)
     left = [n for n in store._names() if n.startswith("entries-")]
     read = store.read("entries").select(F.input_file_name().alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"))
-    return read.select("rows", "files", F.lit(len(left)).cast("long").alias("folders"), F.lit(saved != 0).alias("saved"))
+    return read.select("rows", "files", F.lit(len(left)).cast("long").alias("folders"), F.lit(saved > 0).alias("saved"))
 
 
 # --- older formats
@@ -383,6 +386,21 @@ def sync_chunks(spark, sf_dir):
     return whole.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("infohash").alias("hashes")).withColumn("largest", F.lit(max(n for _, n in pages)).cast("long"))
 
 
+@query(" SELECT count(*)::BIGINT AS rows, count(DISTINCT infohash)::BIGINT AS hashes, 8::BIGINT AS chunks, true AS even FROM torrents")
+def sync_ranges(spark, sf_dir):
+    """The history in eight ranges of the full key: each row in one of them, none a tenth larger than the mean."""
+    t = corpus.torrents(spark, sf_dir).select("infohash", "discovered_at")
+    total = t.count()
+    chunks = ingest.ranges(t, max(1, -(-total // 8)))
+    whole = None
+    for i, c in enumerate(chunks):
+        c = c.withColumn("chunk", F.lit(i))
+        whole = c if whole is None else whole.unionByName(c)
+    sizes = whole.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    even = sizes.agg(F.count(F.lit(1)).alias("chunks"), (F.max("n") * 8 <= F.lit(1.1 * total)).alias("even"))
+    return whole.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("infohash").alias("hashes")).join(F.broadcast(even))  # a row each
+
+
 @query(
     ", s AS (SELECT event_id, user_id, event_id % 65536 AS tx, epoch_us(ts) AS t FROM events), r AS (SELECT event_id, user_id, tx, t + (event_id % 6) * 1000000 AS t FROM s WHERE event_id % 3 <> 0)"
     " SELECT s.event_id AS query_id, r.event_id AS reply_id FROM s JOIN r ON s.user_id = r.user_id AND s.tx = r.tx AND r.t >= s.t AND r.t <= s.t + 4000000"

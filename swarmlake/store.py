@@ -248,6 +248,10 @@ class Store:
     def total(self) -> int:
         return sum(d["rows"] for d in self.state()["entries"].values())
 
+    def latest(self) -> int:
+        """The newest entry's time, 0 if there is none."""
+        return max((d["cuts"][-1] for d in self.state()["entries"].values() if d["rows"]), default=0)
+
     def stats(self, sync_code: int = 0) -> DataFrame:
         """total, db_size (bytes stored), categories (a map of the counts of those that have any, in display order) and sync. No table is read."""
         counts = self.category_counts()

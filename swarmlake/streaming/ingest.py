@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.catalog import entries_after, first_arrivals, latest_timestamp
+from ..operators.catalog import first_arrivals
 
 
 def run_available(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None]) -> None:
@@ -34,23 +34,34 @@ def with_retry(step: Callable[[], int], tries: int, pause: Callable[[], None]) -
     raise ValueError("no tries")
 
 
+def ranges(rows: DataFrame, chunk: int) -> list[DataFrame]:
+    """Rows in chunks of about `chunk` by the full key (discovered_at, infohash), oldest first; each is a range of the key, read and filtered in parallel.
+
+    The cut points are approximate percentiles of time and the hash's first two bytes, off by a tenth of a chunk at
+    most, so a second with more rows than a chunk is cut as well. They come to the driver, one a chunk.
+    """
+    place = F.col("discovered_at") * 65_536 + F.conv(F.hex(F.substring("infohash", 1, 2)), 16, 10).cast("long")
+    total = rows.count()
+    parts = max(1, -(-total // chunk))
+    if parts == 1:
+        return [rows] if total else []
+    cuts = rows.select(place.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("c")).first()["c"]
+    cuts = list(dict.fromkeys(cuts))
+    out, time = [], F.col("discovered_at")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        own = rows if low is None else rows.filter((time >= low >> 16) & (place > low))
+        out.append(own if high is None else own.filter((time <= high >> 16) & (place <= high)))
+    return out
+
+
 def replicate(source: DataFrame, target, chunk: int) -> Iterator[int]:
-    """Copies what a target lacks, in chunks by the full key (discovered_at, infohash); yields the rows added by each.
+    """Copies what a target lacks, in chunks by the full key; yields the rows added by each.
 
-    The cursor begins at the target's latest second, inclusive, so a run that was cut off resumes; rows
-    that are there already add nothing. It never sticks in a second with more rows than a chunk.
+    It begins at the target's latest second, inclusive, so a run that was cut off resumes; rows
+    that are there already add nothing.
     """
-    since = latest_timestamp(target.read("entries")).first()["latest"]
-    at, key = since, b""
-    while True:
-        page = entries_after(source, at, key, chunk) if key else source.filter(F.col("discovered_at") >= at).orderBy("discovered_at", "infohash").limit(chunk)
-        last = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("discovered_at", "infohash")).alias("k")).first()
-        if not last["n"]:
-            return
-        yield target.add(page)
-        at, key = last["k"]["discovered_at"], bytes(last["k"]["infohash"])
-        if last["n"] < chunk:
-            return
+    for one in ranges(source.filter(F.col("discovered_at") >= target.latest()), chunk):
+        yield target.add(one)
 
 
 def distinct_arrivals(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
