@@ -142,7 +142,7 @@ def mine_terms(rows: DataFrame) -> list[tuple[bytes, float]]:
             hits = pa.array([shared.value.read(t)[0] for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([hits, batch.column(1)], ["hits", "toxic"])
 
-    found = rows.select("text", "toxic").mapInArrow(find, "hits array<int>, toxic int").toPandas()  # bounded like the sample
+    found = rows.select("text", "toxic").mapInArrow(find, "hits array<int>, toxic int").toPandas()  # a row for each labelled id at most
     toxic = found["toxic"].to_numpy()
     owner = np.repeat(np.arange(len(found)), found["hits"].map(len))
     term = np.concatenate([*found["hits"], np.empty(0, np.int32)]).astype(np.int64)
@@ -249,7 +249,8 @@ def score_toxicity(
     those more likely toxic and of the others the classifier learns from about `max_examples` each,
     drawn by a hash and weighted for the rest. All texts vote and are scored whole, whatever their
     length. Null and empty texts have no terms and get a low score; null ids have no label. Labels of
-    null, or an id labelled both ways, are left out. Without labels of both classes only the fixed
+    null, or an id labelled both ways, are left out; of an id that repeats with different texts the
+    lowest text is mined. Without labels of both classes only the fixed
     voters score. Rows that repeat an id are scored one by one; an empty table gives an empty result;
     extra columns are not read, whatever their names.
     """
@@ -259,7 +260,9 @@ def score_toxicity(
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).filter("toxic = _most").drop("_most")
     sample = scratch.stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
     sample = F.broadcast(sample)  # at most max_labelled rows of two numbers
-    taught_texts = scratch.stage(src.join(sample, "doc_id").select("text", "toxic").dropDuplicates(), "texts")
+    # One text an id, so that what is mined is as bounded as the ids, however often they repeat.
+    own = src.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    taught_texts = scratch.stage(own.select("text", "toxic").dropDuplicates(), "texts")
     lexicon = Lexicon(mine_terms(taught_texts))
     shared = spark.sparkContext.broadcast(lexicon)
 

@@ -204,6 +204,16 @@ def test_label_model_is_plain_em():
     assert np.allclose(model.posterior[where], post, atol=1e-6)
 
 
+def test_repeated_labelled_ids_teach_once(spark, monkeypatch):
+    """A labelled id with 200 different texts is one row of what is mined."""
+    mined = []
+    monkeypatch.setattr(toxicity, "mine_terms", lambda rows, real=toxicity.mine_terms: (mined.append(rows.count()), real(rows))[1])
+    docs = spark.createDataFrame([(i, f"plain words {i}") for i in range(30)] + [(0, f"other words {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(docs, labels).count() == 230
+    assert mined and mined[0] <= 30
+
+
 def test_toxicity_learns_from_unlabelled_documents(spark):
     """A word that no labelled text holds gets its weight from the posteriors of the documents it stands in; odd columns and long texts do no harm."""
     rng = random.Random(2)
