@@ -96,6 +96,26 @@ def compact(spark, sf_dir):
     return read.select("rows", "files", F.lit(len(left)).cast("long").alias("folders"), F.lit(saved > 0).alias("saved"))
 
 
+TABLES = " SELECT * FROM (VALUES ('entries', (SELECT count(*) FROM torrents)), ('categories', {0}), ('postings', {1})) t(name, n)"
+
+
+@query(TABLES.format("0", "0"))
+def build_catalog(spark, sf_dir):
+    """The stored catalog from nothing: entries with their files, in time order, and their keys."""
+    store = Store(spark, scratch(spark, "build"))
+    store.add(corpus.entries(spark, sf_dir))
+    return spark.createDataFrame([(t, store.read(t).count()) for t in ("entries", "categories", "postings")], "name string, n long")
+
+
+@query(ALL + TABLES.format("(SELECT count(*) FROM cat)", "(SELECT count(*) FROM tt)"))
+def build_index(spark, sf_dir):
+    """Categories and postings of a stored catalog without any."""
+    store = stored(spark, sf_dir, indexed=False)
+    store.drop_classification()
+    store.classify()
+    return spark.createDataFrame([(t, store.read(t).count()) for t in ("entries", "categories", "postings")], "name string, n long")
+
+
 # --- older formats
 
 
@@ -186,16 +206,17 @@ def unseen_rows(spark, sf_dir):
     return catalog.unseen(store.recent(offset=20), store.recent()).select("infohash")
 
 
-_stores: dict[tuple[str, str, str], Store] = {}
+_stores: dict[tuple[str, str, bool], Store] = {}
 
 
-def stored(spark, sf_dir) -> Store:
+def stored(spark, sf_dir, indexed: bool = True) -> Store:
     """The whole catalog, classified and indexed once for a session and a folder of tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, "all")
+    key = (spark.sparkContext.applicationId, sf_dir, indexed)
     if key not in _stores:
         store = Store(spark, scratch(spark, "stored"))
         store.add(corpus.entries(spark, sf_dir))
-        store.classify()
+        if indexed:
+            store.classify()
         _stores[key] = store
     return _stores[key]
 

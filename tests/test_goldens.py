@@ -255,6 +255,36 @@ def test_bencode_numbers_are_strict():
     assert codecs.bdecode(b"i-12e") == (-12, 5) and codecs.bdecode(b"0:") == (b"", 2)
 
 
+def test_messages_written_by_hand():
+    """The examples of the published protocol, byte by byte, and what a peer gets wrong."""
+    read = codecs.parse_message
+    ping = read(b"d1:ad2:id20:abcdefghij0123456789e1:q4:ping1:t2:aa1:y1:qe")
+    assert (ping["kind"], ping["method"], ping["transaction"], ping["id"]) == ("q", "ping", b"aa", b"abcdefghij0123456789")
+    find = read(b"d1:ad2:id20:abcdefghij01234567896:target20:mnopqrstuvwxyz123456e1:q9:find_node1:t2:aa1:y1:qe")
+    assert (find["method"], find["target"]) == ("find_node", b"mnopqrstuvwxyz123456")
+    peers = read(b"d1:rd2:id20:abcdefghij01234567895:token8:aoeusnth6:valuesl6:axje.u6:idhtnmee1:t2:aa1:y1:re")
+    assert peers["kind"] == "r" and peers["peers"] == [("97.120.106.101", 11893), ("105.100.104.116", 28269)]
+    announce = read(b"d1:ad2:id20:abcdefghij012345678912:implied_porti1e9:info_hash20:mnopqrstuvwxyz1234564:porti6881e5:token8:aoeusnthe1:q13:announce_peer1:t2:aa1:y1:qe")
+    assert (announce["port"], announce["implied"], announce["target"]) == (6881, True, b"mnopqrstuvwxyz123456")
+    assert read(b"d1:eli201e23:A Generic Error Ocurrede1:t2:aa1:y1:ee")["error"] == 201
+    # Keys out of order and bytes behind the message are read; wrong lengths, cut ends and other kinds of values are not.
+    assert read(b"d1:y1:q1:t2:aa1:q4:ping1:ad2:id20:abcdefghij0123456789eetrailing")["method"] == "ping"
+    for bad in (b"d1:ad2:id-1:abe1:q4:ping1:t2:aa1:y1:qe", b"d1:ad2:id99:abcdefghij0123456789e1:q4:ping1:t2:aa1:y1:qe", b"d1:ad2:id20:abcdefghij0123456789e1:q4:ping1:t2:aa1:y1:q", b"d1:t2:aa1:yi1ee", b"l1:t2:aae", b"d1:ti5e1:y1:qe"):
+        assert read(bad) is None, bad
+    short = read(b"d1:ad2:id19:abcdefghij012345678e1:q4:ping1:t2:aa1:y1:qe")
+    assert short["method"] == "ping" and short["id"] is None
+
+
+def test_frames_written_by_hand():
+    """Two sync frames byte by byte: lengths big-endian, a name of two characters and three bytes, a list of one file."""
+    raw = bytes.fromhex("0003" + "11" * 20 + "0000000a" + "000000000100" + "61c3a9" + "0001" + "0000000000000007" + "0001" + "66" + "0001" + "22" * 20 + "00000000" + "000000000000" + "62" + "0000" + "0000")
+    first, second = codecs.read_frames(raw + b"behind the end")
+    assert first == {"infohash": b"\x11" * 20, "name": "aé", "size": 256, "discovered_at": 10, "files": [("f", 7)]}
+    assert second == {"infohash": b"\x22" * 20, "name": "b", "size": 0, "discovered_at": 0, "files": []}
+    with pytest.raises(codecs.Truncated):
+        list(codecs.read_frames(raw[:40]))
+
+
 def test_pieces_and_handshakes():
     data = bytes(range(256)) * 100
     cut = [codecs.piece_message(codecs.DATA, i // codecs.PIECE, data[i : i + codecs.PIECE]) for i in range(0, len(data), codecs.PIECE)]
