@@ -145,7 +145,7 @@ def merged(table: DataFrame, seen: DataFrame, origin_hex: Column, capacity: int
 def bounded_channel(rows: DataFrame, tick: str, order: str, capacity: int, lossy: Column) -> DataFrame:
     """What passes a channel that takes `capacity` rows a tick: lossy rows beyond it are dropped, others wait and all arrive.
 
-    A tick's rows are ranked within parts of the tick, so no task sorts more than it must.
+    A tick's lossy rows are ranked in one task; of each earlier task no more than `capacity` of them come there.
     """
     ranked = rows.filter(lossy).withColumn("_n", F.row_number().over(Window.partitionBy(tick).orderBy(order))).filter(F.col("_n") <= capacity).drop("_n")
     return rows.filter(~lossy).unionByName(ranked)
