@@ -96,7 +96,8 @@ def score_quality(
 
     `host` and `path` name a document's site and its part of it (default: its source, and its source
     and language). The classifier learns from at most `max_labelled` labelled rows whose crc32 of
-    the id mod 3 is not 1; the sums of hosts and paths take every document. Null and empty texts
+    the id mod 3 is not 1; the sums of hosts and paths take every document, and a document's score those of all
+    others, so its evidence counts once. Null and empty texts
     have the features of a text without words; null hosts and paths are a group; null ids have no
     label; ids labelled both ways and null labels are left out. Without labels of both classes all
     evidence is zero. Rows that repeat an id are scored one by one and teach once, by the least of
@@ -139,11 +140,14 @@ def score_quality(
     whole = paths.agg(F.sum("_sum"), F.sum("_n")).first()
     top = (float(whole[0] or 0) + 0.5) / (float(whole[1] or 0) + 1)
     k_host = shrunk(hosts, F.lit(top))
-    hosts = hosts.select("host", ((F.col("_sum") + k_host * top) / (F.col("_n") + k_host)).alias("_host"))
+    hosts = hosts.select("host", F.col("_sum").alias("_host_sum"), F.col("_n").alias("_host_n"), ((F.col("_sum") + k_host * top) / (F.col("_n") + k_host)).alias("_host"))
     levels = paths.join(hosts, "host")
     k_path = shrunk(levels, F.col("_host"))
-    levels = scratch.stage(levels.select("host", "path", "_n", ((F.col("_sum") + k_path * F.col("_host")) / (F.col("_n") + k_path)).alias("_path")), "levels")
-    odds = F.col("evidence") + F.log(F.col("_path") / (1 - F.col("_path")))
+    levels = scratch.stage(levels.drop("_host"), "levels")
+    # What a document's site says of it comes from the others: its own share is taken out of both sums.
+    host_rest = (F.greatest(F.col("_host_sum") - p, F.lit(0.0)) + k_host * top) / (F.col("_host_n") - 1 + k_host)
+    path_rest = (F.greatest(F.col("_sum") - p, F.lit(0.0)) + k_path * host_rest) / (F.col("_n") - 1 + k_path)
+    odds = F.col("evidence") + F.log(path_rest / (1 - path_rest))
     # Hosts and paths of many documents are few and known to all tasks; only the others are shuffled for.
     scored = join_groups(judged, levels, ["host", "path"], "_n", int(whole[1] or 0), max_hosts).withColumn("score", 1 / (1 + F.exp(-odds)))
     return scored.select(

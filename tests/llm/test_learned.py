@@ -290,16 +290,27 @@ def test_quality_posteriors_are_plain_python(spark, hosts):
         return min(1e4, max(1.0, (1 - min(share, 0.999)) / max(share, 1e-9)))
 
     host = got.assign(p=p).groupby("host").agg(s=("p", "sum"), n=("p", "size"))
-    host["post"] = (host.s + strength(host, top) * top) / (host.n + strength(host, top))
+    j = strength(host, top)
+    host["post"] = (host.s + j * top) / (host.n + j)
     path = got.assign(p=p).groupby(["host", "path"]).agg(s=("p", "sum"), n=("p", "size")).reset_index()
     above = path.host.map(host.post)
     k = strength(path, above)
-    path["post"] = (path.s + k * above) / (path.n + k)
-    both = got.merge(path[["host", "path", "post"]], on=["host", "path"])
-    want = 1 / (1 + np.exp(-(both.evidence + np.log(both.post / (1 - both.post)))))
+    both = got.assign(p=p).merge(path, on=["host", "path"]).merge(host.reset_index(), on="host", suffixes=("", "_host"))
+    rest = (both.s_host - both.p + j * top) / (both.n_host - 1 + j)
+    post = (both.s - both.p + k * rest) / (both.n - 1 + k)
+    want = 1 / (1 + np.exp(-(both.evidence + np.log(post / (1 - post)))))
     assert np.allclose(both.score, want, atol=1e-9)
 
 
+def test_a_lone_document_counts_once(spark):
+    """The only document of a site: its site says what all sites say, whatever its own evidence."""
+    rows = [(i, "Good words stand here. " * 20 if i % 2 else "%%% $$ 1 2 ", f"h{i}", "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = score_quality(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), labels).toPandas()
+    site = np.log(got.score / (1 - got.score)) - got.evidence
+    assert site.std() < 1e-6
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = duckdb.connect().execute(f"SELECT * FROM '{sf}/labels.parquet'").df()
