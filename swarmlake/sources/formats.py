@@ -103,15 +103,28 @@ class Split(InputPartition):
     end: int
 
 
-def _dump_cuts(path: str, size: int, every: int) -> list[int]:
+def file_cuts(path: str, size: int, every: int, kind: str = "dump") -> list[int]:
+    """Places between a whole file's records. A dump may end inside a hash, no file later in a record."""
     store, at = opened(path)
     with store.open_input_file(at) as stream:
-        found, cut = cuts(stream, 0, "dump", every)
-        if cut and size - found[-1] >= 20:
+        found, cut = cuts(stream, 0, kind, every)
+        if cut and (kind == "frames" or size - found[-1] >= 20):
             raise codecs.Truncated(f"{path} ends inside a record")
     return found
 
 
+def splits(files: list[tuple[str, int]], every: int, kind: str, known: dict[tuple[str, int], list[int]]) -> list[Split]:
+    """Splits of files, those of more than `every` bytes at places that are known or found now, eight files at once."""
+    large = [f for f in files if f[1] > every]
+    with ThreadPoolExecutor(8) as pool:
+        passed = dict(zip(large, pool.map(lambda f: known.get(f) or file_cuts(*f, every, kind), large), strict=True))
+    out = []
+    for path, size in files:
+        places = passed.get((path, size), [0, size])
+        out += [Split(path, a, b) for a, b in zip(places, places[1:], strict=False) if b > a]
+    return out or [Split("", 0, 0)]  # a source must have a split
+
+
 class DumpReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
@@ -134,15 +147,7 @@ class DumpReader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         files = listed(self.path)
-        large = [f for f in files if f[1] > self.split]
-        known = self._known() if large else {}
-        with ThreadPoolExecutor(8) as pool:
-            passed = dict(zip(large, pool.map(lambda f: known.get(f) or _dump_cuts(*f, self.split), large), strict=True))
-        out = []
-        for path, size in files:
-            places = passed.get((path, size), [0, size])
-            out += [Split(path, a, b) for a, b in zip(places, places[1:], strict=False) if b > a]
-        return out or [Split("", 0, 0)]
+        return splits(files, self.split, "dump", self._known() if any(n > self.split for _, n in files) else {})
 
     def read(self, partition: Split) -> Iterator:
         if partition.path:
@@ -151,10 +156,10 @@ class DumpReader(DataSourceReader):
 
 class FramesReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
 
     def partitions(self) -> list[Split]:
-        return [Split(path, 0, size) for path, size in listed(self.path) if size] or [Split("", 0, 0)]
+        return splits(listed(self.path), self.split, "frames", {})
 
     def read(self, partition: Split) -> Iterator:
         if partition.path:
@@ -240,7 +245,7 @@ class DumpSource(DataSource):
 
 
 class FramesSource(DataSource):
-    """Options: path; for streams also splitBytes and bytesPerBatch."""
+    """Options: path, splitBytes; for streams also bytesPerBatch."""
 
     @classmethod
     def name(cls) -> str:
@@ -272,7 +277,7 @@ def write_offsets(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
 
         for b in batches:
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps({"path": p, "size": n, "cuts": _dump_cuts(p, n, split_bytes)}) for p, n in rows], pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps({"path": p, "size": n, "cuts": file_cuts(p, n, split_bytes)}) for p, n in rows], pa.string())], ["value"])
 
     spark.createDataFrame(files, "path string, size long").repartition(len(files), "path").mapInArrow(run, "value string").write.mode("overwrite").text(f"{path.rstrip('/')}/{OFFSETS}")
     return len(files)

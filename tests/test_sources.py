@@ -104,4 +104,6 @@ def test_frames_resume_inside_a_file(spark, tmp_path):
     assert run(2) == 600
     want = sorted(entry(i)["name"] for i in range(1, 601))
     assert names(spark.read.option("recursiveFileLookup", True).parquet(out)) == want
-    assert names(spark.read.format("swarm_frames").load(f"file://{where}")) == want
+    for split in (3000, 1 << 20):
+        whole = spark.read.format("swarm_frames").option("splitBytes", split).load(f"file://{where}")
+        assert names(whole) == want and (split > 3000 or whole.rdd.getNumPartitions() > 5)
