@@ -299,16 +299,16 @@ def brute_spans(docs, items):
                 if own := windows.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
                     found |= own
-        out.append((i, len(w), len(hit), sorted(x for x in found if x is not None)))
+        out.append((i, len(w), len(hit), sorted(str(x) for x in found if x is not None)))
     return sorted(out, key=str)
 
 
 def test_decontamination_is_brute_force(spark, sf):
     rng = random.Random(5)
     some = lambda n: " ".join(rng.choices(["a", "b", "ab", "Ä", "c1"], k=n))
-    items = [(i, some(rng.choice([3, 9, 10, 11, 14]))) for i in range(12)] + [(12, None), (13, " . "), (14, "c1"), (0, "ab Ä ab")]
+    items = [(i, some(rng.choice([3, 9, 10, 11, 14]))) for i in range(12)] + [(12, None), (13, " . "), (14, "c1"), (0, "ab Ä ab"), ("b-2", some(9)), ("B/2", some(10)), (None, some(11))]
     docs = [(i, some(rng.randrange(60)) + rng.choice(["", " zz ", "! "]) + some(rng.randrange(60))) for i in range(60)] + [(61, None), (62, ""), (62, items[0][1]), (None, items[0][1].upper().replace("Ä", "Ä"))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(i if i is None else str(i), t) for i, t in items], "item_id string, text string")
     for options in ({}, {"shard_words": 1}, {"max_item_words": 60}, {"max_item_words": 25, "shard_words": 100}):
         got = fm_index.find_spans(documents(spark, docs).coalesce(1), bench, **options).collect()
         assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got], key=str) == brute_spans(docs, items)
