@@ -29,6 +29,7 @@ ACCESS, HEX, RUN = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}"
 CLASSES = str.maketrans({c: k for k, of in {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in of})
 SYMBOLS = 11  # five classes and six signs that stand for themselves
 LEAST = 8  # characters of a value or a run
+LONGEST = 512  # characters of a value that teaches; longer ones are scanned and scored like others, and a task keeps none of them
 FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -203,10 +204,9 @@ def samples(docs: DataFrame, text_col: str, labelled: int, others: int) -> tuple
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 base = base_spans(text or "")
-                for _, kind, _, value in base:
-                    kept[kind].setdefault(value, zlib.crc32(value.encode()))
-                for _, value in runs(text or "", base):
-                    kept["likely"].setdefault(value, zlib.crc32(value.encode()))
+                for kind, value in [*((k, v) for _, k, _, v in base), *(("likely", v) for _, v in runs(text or "", base))]:
+                    if len(value) <= LONGEST:
+                        kept[kind].setdefault(value, zlib.crc32(value.encode()))
             for kind, values in kept.items():
                 most = others if kind == "likely" else labelled
                 if len(values) > 2 * most:
@@ -217,9 +217,8 @@ def samples(docs: DataFrame, text_col: str, labelled: int, others: int) -> tuple
                 some = held[k : k + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some)), pa.array([v for v, _ in some]), pa.array([h for _, h in some], pa.int64())], ["kind", "value", "h"])
 
-    # A value of more than 512 characters teaches no format; it is scanned and scored like others.
     scratch = Scratch(docs.sparkSession, "secrets")
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "kind string, value string, h long").filter(F.length("value") <= 512)
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "kind string, value string, h long")
     rows = scratch.stage(rows.dropDuplicates(["kind", "value"]), "samples")
     found = {k: [r["value"] for r in rows.filter(F.col("kind") == k).orderBy("h", "value").limit(others if k == "likely" else labelled).collect()] for k in KINDS}
     scratch.drop("samples")

@@ -154,6 +154,8 @@ def test_toxicity_edges(spark):
     rude = toxicity.score_toxicity(documents(spark, [(1, "You idiot, moron and loser!"), (2, "a calm text")]), labels).toPandas().set_index("doc_id")
     assert rude.predicted.to_dict() == {1: 1, 2: 0}
     assert toxicity.score_toxicity(documents(spark, []), labels).count() == 0
+    late = toxicity.score_toxicity(documents(spark, [(1, "calm words " * 30_000 + "you idiot, moron and loser"), (2, "calm words " * 30_000)]), labels).toPandas().set_index("doc_id")
+    assert late.predicted.to_dict() == {1: 1, 2: 0}
 
 
 def test_label_model_finds_accuracies_and_a_correlated_pair():
@@ -323,6 +325,8 @@ def test_quality_edges(spark):
     got = score_quality(documents(spark), labels).toPandas()
     assert len(got) == len(ROWS) and got.score.between(0, 1).all()
     assert score_quality(documents(spark, []), labels).count() == 0
+    long = score_quality(documents(spark, [*ROWS, (8, "some words, and more. " * 20_000)]), labels).toPandas()
+    assert len(long) == len(ROWS) + 1 and long.score.between(0, 1).all()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header class="site">Site</header>

@@ -7,7 +7,7 @@ import string
 
 import pytest
 
-from swarmlake.llm.secret_scan import Automaton, base_spans, scan
+from swarmlake.llm.secret_scan import Automaton, base_spans, samples, scan
 
 DOCS = "doc_id long, text string, id long, spans string, t string, kind string"
 KINDS = ["assign", "access", "hex", "likely"]
@@ -93,6 +93,14 @@ def test_unlabelled_credentials_are_found(spark, rows):
     assert len(wrong) <= 0.01 * len(docs), wrong
 
 
+def test_long_values_teach_nothing(spark, rows):
+    """Runs of more than LONGEST characters fill no sample, and are spans as before."""
+    long = [(1000 + i, f"token = {'x' * 600}{i}") for i in range(40)]
+    labelled, others = samples(spark.createDataFrame([(i, t) for i, t in rows[0] + long], "doc_id long, text string"), "text", 2000, 6000)
+    assert len(labelled["assign"]) == 100 and all(len(v) <= 512 for v in [*labelled["assign"], *others])
+    assert [g["n_assign"] for g in scanned(spark, long)] == [1] * 40
+
+
 def test_no_grammar_without_labels(spark, rows):
     docs = [(i, t.replace("token = ", "")) for i, t in rows[0]]
     assert all(not g["spans"] for g in scanned(spark, docs))
