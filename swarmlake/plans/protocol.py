@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -142,11 +143,15 @@ def verified_metadata(spark, sf_dir):
 
 
 @query(
-    " SELECT doc_id, doc_id % 10 <> 0 AS whole, CASE WHEN doc_id % 10 <> 0 THEN sha1(text) END AS digest, greatest(1, (octet_length(encode(text)) + 16383) // 16384)::BIGINT AS n_pieces FROM documents WHERE octet_length(encode(text)) > 0"
+    ", m AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents)"
+    " SELECT doc_id, doc_id % 10 <> 0 AND n > 0 AS whole, CASE WHEN doc_id % 10 <> 0 AND n > 0 THEN sha1(t) END AS digest, ((n + 16383) // 16384)::BIGINT AS n_pieces FROM m"
 )
 def pieces_assembled(spark, sf_dir):
-    """Metadata cut into pieces of 16 KiB, sent as messages with others between them, and put together; a reject ends it."""
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("m")).filter(F.octet_length("m") > 0)
+    """Metadata cut into pieces of 16 KiB, sent as messages with others between them, and put together; a reject ends it.
+
+    Metadata of no bytes (an empty or null text) has an invalid size: it is asked for and never whole.
+    """
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("m"))
 
     @F.pandas_udf("array<binary>")
     def sent(keys, metadata):
@@ -365,14 +370,13 @@ def distance_sql(target: str) -> str:
     " SELECT event_id, i, (((h1 + i * h2) % 18446744073709551616::HUGEINT) % 20000)::BIGINT AS cell FROM n, (VALUES (0), (1), (2)) t(i)"
 )
 def bloom_indices(spark, sf_dir):
-    """The cells of each key in a filter of 20,000 cells."""
-
-    @F.pandas_udf("array<long>")
-    def cells(keys):
-        return keys.map(lambda k: codecs.StableBloom.indices(bytes(k), 20_000))
-
-    e = corpus.table(spark, sf_dir, "events").select("event_id", F.unhex(F.sha1(F.col("user_id").cast("string"))).alias("h"))
-    return e.select("event_id", F.posexplode(cells("h")).alias("i", "cell"))
+    """The cells of each key in a filter of 20,000 cells, in decimals, as sums of 64-bit numbers without a sign don't fit a long."""
+    e = corpus.table(spark, sf_dir, "events").select("event_id", F.sha1(F.col("user_id").cast("string")).alias("h"))
+    little = lambda at: F.conv(F.concat(*(F.substring("h", at + 14 - 2 * i, 2) for i in range(8))), 16, 10).cast("decimal(20,0)")
+    e = e.select("event_id", little(1).alias("h1"), little(17).alias("h2"))
+    whole = F.lit(Decimal(1 << 64))
+    at = lambda i: ((F.col("h1") + F.col("h2") * F.lit(i)) % whole % F.lit(20_000)).cast("long")
+    return e.select("event_id", F.posexplode(F.array(*(at(i) for i in range(codecs.StableBloom.HASHES)))).alias("i", "cell"))
 
 
 @query(" SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 AS seen FROM events")

@@ -349,8 +349,10 @@ def assembled(messages: list[bytes], size: int) -> bytes | None:
     """Metadata put together from piece messages: a piece's bytes go to its number times PIECE.
 
     Messages that are no data are left out, a reject ends it, and it is whole once as many bytes as
-    stated have come.
+    stated have come. A stated size of none is invalid.
     """
+    if size <= 0:
+        return None
     out, got = bytearray(size), 0
     for raw in messages:
         if got >= size:

@@ -289,6 +289,7 @@ def test_pieces_and_handshakes():
     data = bytes(range(256)) * 100
     cut = [codecs.piece_message(codecs.DATA, i // codecs.PIECE, data[i : i + codecs.PIECE]) for i in range(0, len(data), codecs.PIECE)]
     assert codecs.assembled([*reversed(cut), b"junk"], len(data)) == data
+    assert codecs.assembled(cut, 0) is None
     assert codecs.assembled(cut[:1], len(data)) is None and codecs.assembled([codecs.piece_message(codecs.REJECT, 0), *cut], len(data)) is None
     h = b"\x07" * 20
     assert codecs.handshake_error(codecs.handshake(h), h) is None and codecs.handshake_error(codecs.handshake(h), bytes(20)) == "infohash"
