@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import format as fmt
 from ..functions.classify import label, with_category
@@ -135,16 +136,17 @@ def recent(entries: DataFrame, categories: DataFrame, category: str | None = Non
 
     The page is cut on keys, and only its rows are read whole. `bounds` are times to look behind first (see `newest`).
     """
-    code = category_filter(category)
+    return page(newest(lambda since: listed(entries, categories, category, since), bounds, offset, limit), entries, categories)
 
-    def keys(since: int | None) -> DataFrame:
-        rows = since_time(entries.select("infohash", "discovered_at"), since)
-        if code is None:
-            return rows
-        codes = since_time(categories, since).select("infohash", "category")
-        return rows.join(codes, "infohash", "left").filter(F.coalesce(F.col("category"), F.lit(0)) == code)
 
-    return page(newest(keys, bounds, offset, limit), entries, categories)
+def listed(entries: DataFrame, categories: DataFrame, category: str | None = None, since: int | None = None) -> DataFrame:
+    """Keys of a listing in no order."""
+    code = category_filter(category)
+    rows = since_time(entries.select("infohash", "discovered_at"), since)
+    if code is None:
+        return rows
+    codes = since_time(categories, since).select("infohash", "category")
+    return rows.join(codes, "infohash", "left").filter(F.coalesce(F.col("category"), F.lit(0)) == code)
 
 
 def all_pages(at: Callable[[int], DataFrame], limit: int = RECENT_PAGE) -> Iterator[DataFrame]:
@@ -158,6 +160,27 @@ def all_pages(at: Callable[[int], DataFrame], limit: int = RECENT_PAGE) -> Itera
         offset += limit
 
 
+def numbered(rows: DataFrame, path: str, *order: Column) -> DataFrame:
+    """Rows with `n`, their place in an order, from 0 on: sorted in ranges and stored once, so that ranges stay as they are.
+
+    Of each range its number of rows comes to the driver.
+    """
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    held = rows.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField("_id", T.LongType())])).parquet(path)
+    part = F.shiftright("_id", 33)
+    before, starts = 0, []
+    for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        starts.append((r["p"], before))
+        before += r["n"]
+    at = F.broadcast(rows.sparkSession.createDataFrame(starts, "_p long, _start long"))
+    return held.join(at, part == F.col("_p")).withColumn("n", F.col("_start") + F.col("_id") - F.shiftleft(part, 33)).drop("_id", "_p", "_start")
+
+
+def paged(rows: DataFrame, path: str, limit: int = RECENT_PAGE) -> DataFrame:
+    """Keys with `page`, the number of the page that shows them: all pages at once, where `all_pages` looks from the newest entry on for each."""
+    return numbered(rows.select("discovered_at", "infohash"), path, *newest_first()).withColumn("page", F.floor(F.col("n") / limit))
+
+
 def unseen(rows: DataFrame, shown: DataFrame) -> DataFrame:
     """Rows of a page that were not shown before, as pages shift while entries arrive."""
     return rows.join(shown.select("infohash"), "infohash", "left_anti")

@@ -270,6 +270,10 @@ class Store:
     def recent(self, category: str | None = None, offset: int = 0, limit: int = RECENT_PAGE) -> DataFrame:
         return catalog.recent(self.read("entries"), self.read("categories"), category, offset, limit, self.bounds(offset + limit))
 
+    def pages(self, path: str, category: str | None = None, limit: int = RECENT_PAGE) -> DataFrame:
+        """The keys of all pages of a listing, with their page and place; `path` is a new folder for them."""
+        return catalog.paged(catalog.listed(self.read("entries"), self.read("categories"), category), path, limit)
+
     def search(self, text: str, category: str | None = None, limit: int = SEARCH_DEFAULT, offset: int = 0, cap: int | None = POSTING_CAP, strict_stopwords: bool = True) -> DataFrame:
         return search.search(self.read("entries"), self.read("categories"), self.read("postings"), text, category, limit, offset, cap, strict_stopwords, self.bounds(64 * (offset + limit)))
 

@@ -3,7 +3,10 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from swarmlake.operators import catalog
 from swarmlake.plans import registry
+from swarmlake.streaming import ingest
+from tests.test_store import made
 
 
 def test_a_filter_is_not_worn_down_by_other_keys(spark, tmp_path):
@@ -26,3 +29,23 @@ def test_a_filter_is_not_worn_down_by_other_keys(spark, tmp_path):
         (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
     got = {r["seq"]: r["seen"] for r in registry.QUERIES["bloom_sim"](spark, str(tmp_path)).collect()}
     assert got == {i: u in rows[:i] for i, u in enumerate(rows)}
+
+
+def test_all_pages_in_one_pass(spark, tmp_path):
+    """Pages of all keys are those that a client gets one after the other, over several ranges and with a last one that is not full."""
+    rows = made(spark, 0, 530, 7)
+    pages = catalog.paged(rows, f"file://{tmp_path}/pages").collect()
+    for p in range(11):
+        want = catalog.newest(lambda since: rows, (None,), p * 50, 50)
+        assert [(r["discovered_at"], bytes(r["infohash"])) for r in sorted((r for r in pages if r["page"] == p), key=lambda r: r["n"])] == want
+    assert len(pages) == 530 and len(want) == 30
+    assert catalog.paged(rows.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_exact_chunks_without_a_single_task(spark, tmp_path):
+    rows = made(spark, 0, 1003, 300)
+    chunks = ingest.exact_ranges(rows.select("discovered_at", "infohash"), 100, f"file://{tmp_path}/c")
+    assert [c.count() for c in chunks] == [100] * 10 + [3]
+    keys = [sorted((r["discovered_at"], bytes(r["infohash"])) for r in c.collect()) for c in chunks]
+    assert sum(keys, []) == sorted((r["discovered_at"], bytes(r["infohash"])) for r in rows.collect())
+    assert not any("GlobalLimit" in c._jdf.queryExecution().optimizedPlan().toString() for c in chunks)
