@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +109,8 @@ def split_two_ways(rows: DataFrame, seed: str, key: str = "id") -> DataFrame:
     return rows.withColumn("way", F.when(low < 8, "find").otherwise("sample"))
 
 
-def bootstrap(known: DataFrame, answers: DataFrame, target_hex: Column, fan: int = NEAR, enough: int = 50, rounds: int = 20) -> DataFrame:
-    """Nodes (id) that are known after asking, round by round, the `fan` closest to the target for theirs (id, neighbour).
+def bootstrap(known: DataFrame, answers: Callable[[DataFrame], DataFrame], target_hex: Column, fan: int = NEAR, enough: int = 50, rounds: int = 20) -> DataFrame:
+    """Nodes (id) that are known after asking, round by round, the `fan` closest to the target for theirs: `answers` maps asked nodes (id) to (id, neighbour).
 
     It ends once more than `enough` are known. What is known stays small, as each round adds the answers of a few.
     """
@@ -117,7 +119,7 @@ def bootstrap(known: DataFrame, answers: DataFrame, target_hex: Column, fan: int
     for _ in range(rounds):
         now = spark.createDataFrame([(i,) for i in sorted(ids)], "id string")
         near = now.orderBy(*xor_distance(F.col("id"), target_hex), "id").limit(fan)
-        told = {r["neighbour"] for r in answers.join(F.broadcast(near), "id").select("neighbour").distinct().collect()}
+        told = {r["neighbour"] for r in answers(near).select("neighbour").distinct().collect()}
         if told <= ids:  # the same nodes would be asked again
             break
         ids |= told
