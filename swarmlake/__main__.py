@@ -75,8 +75,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, quiet
         else:
             ingest.run_available(files, state, store_batch)
     elif a.job == "sync":
-        source = Store(spark, a.source).read("entries")
-        ingest.with_retry(lambda: sum(ingest.replicate(source, store, SYNC_CHUNK)), 3, lambda: time.sleep(5))
+        other = Store(spark, a.source)
+        # Each chunk looks at all stored keys, so there are at most eight. A smaller one's hashes are sent by the driver, in Store.add.
+        chunk = max(SYNC_CHUNK, -(-other.total() // 8))
+        ingest.with_retry(lambda: sum(ingest.replicate(other.read("entries"), store, chunk)), 3, lambda: time.sleep(5))
     elif a.job in ("classify", "reclassify"):
         store.classify(full=a.job == "reclassify")
     elif a.job == "compact":
