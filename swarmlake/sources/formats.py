@@ -103,6 +103,25 @@ class Split(InputPartition):
     end: int
 
 
+@dataclass
+class Run(InputPartition):
+    """Splits that a task reads one after the other; it holds the bytes of one."""
+
+    splits: list[Split]
+
+
+def runs(found: list[Split]) -> list[Run]:
+    """Splits dealt to tasks: SPLIT_BYTES each, or less if that gives no 64 tasks. So small splits bound what is held, and not how many tasks there are."""
+    per, out, size = min(SPLIT_BYTES, sum(s.end - s.start for s in found) // 64), [], 0
+    for s in found:
+        if not out or size >= per:
+            out.append(Run([]))
+            size = 0
+        out[-1].splits.append(s)
+        size += s.end - s.start
+    return out
+
+
 def file_cuts(path: str, size: int, every: int, kind: str = "dump") -> list[int]:
     """Places between a whole file's records. A dump may end inside a hash, no file later in a record."""
     store, at = opened(path)
@@ -145,25 +164,27 @@ class DumpReader(DataSourceReader):
                         out[x["path"], x["size"]] = x["cuts"]
         return out
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Run]:
         files = listed(self.path)
-        return splits(files, self.split, "dump", self._known() if any(n > self.split for _, n in files) else {})
+        return runs(splits(files, self.split, "dump", self._known() if any(n > self.split for _, n in files) else {}))
 
-    def read(self, partition: Split) -> Iterator:
-        if partition.path:
-            yield from entry_batches(codecs.read_dump(BytesIO(_bytes(partition))))
+    def read(self, partition: Run) -> Iterator:
+        for s in partition.splits:
+            if s.path:
+                yield from entry_batches(codecs.read_dump(BytesIO(_bytes(s))))
 
 
 class FramesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
 
-    def partitions(self) -> list[Split]:
-        return splits(listed(self.path), self.split, "frames", {})
+    def partitions(self) -> list[Run]:
+        return runs(splits(listed(self.path), self.split, "frames", {}))
 
-    def read(self, partition: Split) -> Iterator:
-        if partition.path:
-            yield from entry_batches(codecs.read_frames(_bytes(partition)))
+    def read(self, partition: Run) -> Iterator:
+        for s in partition.splits:
+            if s.path:
+                yield from entry_batches(codecs.read_frames(_bytes(s)))
 
 
 class FramesStream(DataSourceStreamReader):
@@ -202,7 +223,7 @@ class FramesStream(DataSourceStreamReader):
         with store.open_input_file(at) as stream:
             return cuts(stream, start, "frames", self.split, most)[0]
 
-    def partitions(self, start: dict, end: dict) -> list[Split]:
+    def partitions(self, start: dict, end: dict) -> list[Run]:
         if self.at is None:  # a restarted query asks for the empty range of the last offset it knows before all else
             self.at = dict(end)
         out = []
@@ -214,13 +235,14 @@ class FramesStream(DataSourceStreamReader):
             places = self.places.get((name, begin)) or self._cuts(path, begin, stop - begin)
             places = [p for p in places if p < stop] + [stop]
             out += [Split(path, a, b) for a, b in zip(places, places[1:], strict=False)]
-        return out
+        return runs(out)
 
     def commit(self, end: dict) -> None:
         self.places = {k: v for k, v in self.places.items() if v[-1] > end.get(k[0], 0)}
 
-    def read(self, partition: Split) -> Iterator:
-        yield from entry_batches(codecs.read_frames(_bytes(partition)))
+    def read(self, partition: Run) -> Iterator:
+        for s in partition.splits:
+            yield from entry_batches(codecs.read_frames(_bytes(s)))
 
 
 def _bytes(split: Split) -> bytes:
