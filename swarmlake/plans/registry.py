@@ -43,8 +43,9 @@ def _store(spark: SparkSession, sf_dir: str) -> Store:
     """The torrents; every tenth is not classified yet."""
 
     def build(store: Store) -> None:
-        entries, known = corpus.entries(spark, sf_dir), corpus.torrents(spark, sf_dir).filter("o_orderkey % 10 <> 3")
-        store.replace(entries=entries, categories=catalog.classified(known))
+        known = corpus.torrents(spark, sf_dir).filter("o_orderkey % 10 <> 3").select("infohash")
+        codes = lambda entries: catalog.classified(store.spread(entries.select("infohash", "name", "discovered_at").join(known, "infohash", "left_semi")))
+        store.replace(entries=corpus.entries(spark, sf_dir), categories=codes)
 
     return _stored(spark, sf_dir, "torrents", build)
 
@@ -58,9 +59,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> Store:
     """Documents as entries, with codes for most of them and postings of all their tokens."""
 
     def build(store: Store) -> None:
-        d = corpus.document_entries(spark, sf_dir)
-        codes = d.filter("size % 4 <> 1").select("infohash", (F.col("size") % 11).cast("tinyint").alias("category"), "discovered_at")
-        store.replace(entries=d.drop("doc_id"), categories=codes, postings=catalog.postings(d))
+        codes = lambda d: d.filter("size % 4 <> 1").select("infohash", (F.col("size") % 11).cast("tinyint").alias("category"), "discovered_at")
+        store.replace(entries=corpus.document_entries(spark, sf_dir).drop("doc_id"), categories=codes, postings=catalog.postings)
 
     return _stored(spark, sf_dir, "documents", build)
 

@@ -8,7 +8,8 @@ append. One writer at a time commits; a second one that took the same number fai
 Beside folders a manifest holds what spares readers a scan: the number of entries and of each category, and for
 each folder of entries 65 times that cut its rows into equal parts. Which files of entries are classified is kept
 by name, so that an increment reads the others only. Layouts are Spark's: entries and categories are
-sorted by time, postings by token and time, keys by hash, with Bloom filters of hashes, so that bounds given as
+sorted by time, postings by token and time, keys by hash (an increment's categories and postings within each file only, as they are
+written where their entries lie, and `compact` makes ranges of them), with Bloom filters of hashes, so that bounds given as
 literals skip row groups.
 """
 
@@ -75,9 +76,10 @@ class Store:
     def _read(self, table: str, names: list[str]) -> DataFrame:
         return self.spark.read.schema(TABLES[table]).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], TABLES[table])
 
-    def _write(self, table: str, rows: DataFrame, partitions: int | None = None) -> str:
+    def _write(self, table: str, rows: DataFrame, partitions: int | None = None, in_place: bool = False) -> str:
+        """A new folder. Rows `in_place` stay in their tasks: what is made of stored entries is near in time already, and ranges would make it twice, once to sample."""
         name, order = f"{table}-{uuid.uuid4().hex}", ORDER[table]
-        dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+        dealt = rows if in_place else rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
         out = dealt.sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
         if table in ("entries", "keys", "categories"):
             out = out.option("parquet.bloom.filter.enabled#infohash", True).option("parquet.bloom.filter.adaptive.enabled", True)
@@ -108,17 +110,37 @@ class Store:
                     want *= 8
         return [*out, None]
 
-    def replace(self, **tables: DataFrame) -> None:
-        """Takes whole tables as they are, all in one commit."""
-        state, given = self.state(), dict(tables)
-        if "entries" in given:
-            given["keys"] = given["entries"].select("infohash")
-        written = {t: [self._write(t, rows)] for t, rows in given.items()}
+    def _write_computed(self, table: str, rows: DataFrame) -> str:
+        """A new folder of rows that take work: it is done once, in as many tasks as the session has room for, and ranges are cut on its outcome."""
+        draft = f"{self.path}/_incoming-{uuid.uuid4().hex}"
+        rows.write.parquet(draft)
+        try:
+            return self._write(table, self.spark.read.schema(TABLES[table]).parquet(draft))
+        finally:
+            self._fs.delete(self._file(draft.rpartition("/")[2]), True)
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt to all cores, whatever few bytes they have, for work that counts by row."""
+        return rows.repartition(4 * self.spark.sparkContext.defaultParallelism)
+
+    def replace(self, **tables: DataFrame | Callable[[DataFrame], DataFrame]) -> None:
+        """Takes whole tables as they are, all in one commit. One may be a function of the entries, which then gets them as they are stored."""
+        state, written = self.state(), {}
+        if "entries" in tables:
+            written["entries"] = [self._write("entries", tables["entries"])]
+        entries = self._read("entries", written.get("entries", state["tables"]["entries"]))
+        if "entries" in tables:
+            written["keys"] = [self._write("keys", entries.select("infohash"))]
+        for t, rows in tables.items():
+            if t == "postings" and callable(rows):
+                written[t] = [self._write(t, rows(entries), in_place=True)]
+            elif t != "entries":
+                written[t] = [self._write_computed(t, rows(entries)) if callable(rows) else self._write(t, rows)]
         changes = {"tables": state["tables"] | written}
-        if "entries" in given:
+        if "entries" in tables:
             (folder,) = written["entries"]
             changes |= {"entries": {folder: self._described(folder)}, "classified": {}}
-        if "categories" in given:
+        if "categories" in tables:
             changes |= {"counts": self._counted(written["categories"]), "loose": True}
         self._commit(state, **changes)
 
@@ -165,8 +187,8 @@ class Store:
 
     def _classified(self, state: dict, todo: DataFrame, classified: dict, fresh: bool = False) -> int:
         """Commits categories and postings of entries; `fresh` forgets the earlier ones. Returns the number of entries."""
-        codes = self._write("categories", catalog.classified(todo))
-        index = self._write("postings", catalog.postings(todo))
+        codes = self._write("categories", catalog.classified(todo), in_place=True)
+        index = self._write("postings", catalog.postings(todo), in_place=True)
         new = self._counted([codes])
         latest = self._read("categories", [codes]).agg(F.max("discovered_at")).first()[0]
         old = {"categories": [], "postings": []} if fresh else state["tables"]
@@ -184,7 +206,7 @@ class Store:
         files = state["tables"]["entries"] if full else self._open_files(state)
         todo = self._read("entries", files)
         if state["loose"] and not full:  # categories that came by `replace` are of no known file
-            todo = catalog.unclassified(todo, self.read("categories"))
+            todo = self.spread(catalog.unclassified(todo, self.read("categories")))
         if not files and not full:
             return 0
         return self._classified(state, todo, {f: True for f in state["tables"]["entries"]}, full)

@@ -49,3 +49,31 @@ def test_exact_chunks_without_a_single_task(spark, tmp_path):
     keys = [sorted((r["discovered_at"], bytes(r["infohash"])) for r in c.collect()) for c in chunks]
     assert sum(keys, []) == sorted((r["discovered_at"], bytes(r["infohash"])) for r in rows.collect())
     assert not any("GlobalLimit" in c._jdf.queryExecution().optimizedPlan().toString() for c in chunks)
+
+
+def test_small_splits_share_tasks():
+    from swarmlake.sources import formats
+
+    small = [formats.Split("f", k << 16, (k + 1) << 16) for k in range(32_768)]  # 2 GB in splits of 64 KB
+    runs = formats.runs(small)
+    assert len(runs) == 128 and [s for r in runs for s in r.splits] == small
+    assert max(sum(s.end - s.start for s in r.splits) for r in runs) == formats.SPLIT_BYTES
+    assert len(formats.runs(small[:50])) == 50 and formats.runs([]) == []
+    large = [formats.Split("f", k << 24, (k + 1) << 24) for k in range(200)]
+    assert [r.splits for r in formats.runs(large)] == [[s] for s in large]
+
+
+def test_computed_rows_are_made_once(spark, tmp_path):
+    """Ranges are cut on stored rows, so the work of a row is not done again to sample it."""
+    from swarmlake.store import Store
+
+    made_rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("tinyint")
+    def code(size):
+        made_rows.add(1)
+        return size % 11
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.replace(entries=made(spark, 0, 300), categories=lambda e: e.select("infohash", code("size").alias("category"), "discovered_at"), postings=catalog.postings)
+    assert made_rows.value == 300 == store.read("categories").count() == store.total() and store.read("postings").count() > 300
