@@ -48,6 +48,16 @@ def absent(first: DataFrame, keys: DataFrame, first_bytes: list[bytes], few: boo
     return first.join(keys, "infohash", "left_anti")
 
 
+def placed(rows: DataFrame, places: DataFrame, bits: bool) -> DataFrame:
+    """Rows whose place `_id` is among `places`, which are distinct. With `bits` no row is shuffled: places are broadcast as bitmaps, a bit for each row."""
+    if not bits:
+        return rows.join(places, "_id", "left_semi")
+    at, bit = F.col("_id") + 1, F.bitmap_bit_position(F.col("_id") + 1)  # buckets are counted from 1
+    maps = places.select(F.bitmap_bucket_number(at).alias("_bucket"), bit.alias("_bit")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(at) == F.col("_bucket")) & (F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1), "left_semi")
+
+
 def new_entries(stored: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
     """Rows that an upsert adds: first arrivals whose key is not stored."""
     return first_arrivals(incoming, order).join(stored.select("infohash"), "infohash", "left_anti")

@@ -33,6 +33,7 @@ ORDER = {"entries": ("discovered_at", "infohash"), "keys": ("infohash",), "categ
 ROW_GROUP = 16 << 20  # bytes
 CUTS = 64
 BROADCAST_KEYS = 200_000  # incoming hashes that are sent to the stored keys, of 20 bytes each
+BROADCAST_BITS = 64 << 20  # bytes of bits that tell which of the incoming rows are new
 
 
 class Store:
@@ -150,24 +151,46 @@ class Store:
     def add(self, incoming: DataFrame, order=None) -> int:
         """First write wins; the number of rows that were new.
 
-        The incoming rows are written once, and their hashes go to the stored keys, of which only the range of the
-        incoming first bytes is read; above BROADCAST_KEYS of them that range is shuffled instead.
+        The incoming rows are written once. Up to BROADCAST_KEYS of them, their hashes go to the stored keys, of which only the
+        range of the incoming first bytes is read. Of more rows, hashes alone are shuffled (`_new_keys`), and rows stay where
+        they were written: a new one is told by a bit for its place.
         """
         state = self.state()
         draft = f"{self.path}/_incoming-{uuid.uuid4().hex}"
-        catalog.first_arrivals(incoming, F.col("discovered_at") if order is None else order).select(*ENTRY.fieldNames()).write.parquet(draft)
-        first = self.spark.read.schema(ENTRY).parquet(draft)
+        rows = incoming.select(*ENTRY.fieldNames(), (F.col("discovered_at") if order is None else order).alias("_order")).withColumn("_id", F.monotonically_increasing_id())
+        rows.write.option("compression", "zstd").parquet(draft)
+        held = self.spark.read.schema(rows.schema).parquet(draft)
         try:
-            folder = self._write("entries", self.unknown(first))
+            n, low, high = held.agg(F.count(F.lit(1)), F.min("infohash"), F.max("infohash")).first()
+            if n <= BROADCAST_KEYS:
+                folder = self._write("entries", self.unknown(catalog.first_arrivals(held, F.struct(*self._first())).select(*ENTRY.fieldNames())))
+                keys = None
+            else:
+                keys = self._write("keys", self._new_keys(held, low, high), in_place=True)
+                new = self.spark.read.schema("_id long").parquet(f"{self.path}/{keys}")
+                bits = n // 8 + len(self._names_in(draft.rpartition("/")[2])) * 4096 <= BROADCAST_BITS
+                folder = self._write("entries", catalog.placed(held, new, bits).select(*ENTRY.fieldNames()), in_place=True)
             known = self._described(folder)
             if known["rows"] or not state["tables"]["entries"]:
-                keys = self._write("keys", self._read("entries", [folder]).select("infohash"))
+                keys = keys or self._write("keys", self._read("entries", [folder]).select("infohash"))
                 tables = state["tables"] | {"entries": [*state["tables"]["entries"], folder], "keys": [*state["tables"].get("keys", []), keys]}
                 self._commit(state, tables=tables, entries=state["entries"] | {folder: known})
         finally:
             self._fs.delete(self._file(draft.rpartition("/")[2]), True)
         return known["rows"]
 
+    def _first(self) -> list:
+        """Of the rows of a hash one without an order comes last, of equal ones the first in place."""
+        return [F.col("_order").isNull().alias("_last"), F.col("_order"), F.col("_id")]
+
+    def _new_keys(self, held: DataFrame, low: bytes | None, high: bytes | None) -> DataFrame:
+        """Hashes that are not stored, with the place `_id` of the first row of each, in ranges of hashes: one shuffle of hashes, orders and places, and of the stored keys between two hashes."""
+        none = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("_order", "_id")]
+        stored = self.read("keys").filter(F.col("infohash").between(F.lit(low), F.lit(high))).select("infohash", *none)
+        dealt = held.select("infohash", "_order", "_id").unionByName(stored).repartitionByRange("infohash")
+        first = F.min(F.struct(F.col("_id").isNotNull().alias("new"), *self._first()))  # a stored key comes before all
+        return dealt.groupBy("infohash").agg(first.alias("_first")).filter("_first.new").select("infohash", "_first._id")
+
     def unknown(self, first: DataFrame) -> DataFrame:
         """Rows of distinct hashes that are not stored yet."""
         bytes_ = first.groupBy(F.substring("infohash", 1, 1).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # 256 rows at most

@@ -77,3 +77,35 @@ def test_computed_rows_are_made_once(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.replace(entries=made(spark, 0, 300), categories=lambda e: e.select("infohash", code("size").alias("category"), "discovered_at"), postings=catalog.postings)
     assert made_rows.value == 300 == store.read("categories").count() == store.total() and store.read("postings").count() > 300
+
+
+def test_many_rows_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Above BROADCAST_KEYS an upsert shuffles hashes and places, not names and files; the first row of a hash by the order, and of equal ones the first that came."""
+    from swarmlake import store as module
+
+    Store = module.Store
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    salt = F.concat_ws("", *[F.sha2(F.concat(F.col("size").cast("string"), F.lit(str(k))), 512) for k in range(8)])  # 1,024 letters a row
+    rows = lambda low, high: made(spark, low, high).withColumn("name", F.concat(F.lit("n"), F.col("size").cast("string"), F.lit(" "), salt))
+    want, got = {}, {}
+    for kind, limit in (("few", 10_000), ("many", 100)):
+        monkeypatch.setattr(module, "BROADCAST_KEYS", limit)
+        s, counts = Store(spark, f"file://{tmp_path}/{kind}"), []
+        counts.append(s.add(rows(0, 1000).limit(0)))
+        before = shuffled()
+        counts.append(s.add(rows(0, 1000)))
+        again = rows(500, 1500).unionByName(rows(500, 1500).withColumn("name", F.lit("later")).withColumn("discovered_at", F.col("discovered_at") + 1))
+        again = again.unionByName(rows(1500, 1600).withColumn("name", F.lit("no time")).withColumn("discovered_at", F.lit(None).cast("long"))).unionByName(rows(1500, 1550))
+        counts += [s.add(again), s.add(again), s.add(rows(0, 300))]
+        moved = shuffled() - before
+        (want if kind == "few" else got).update({r["infohash"]: r for r in s.read("entries").filter("discovered_at is not null").collect()}, counts=counts, total=s.total(), keys=s.read("keys").count())
+    assert got == want and got["counts"] == [0, 1000, 600, 0, 0] and got["total"] == got["keys"] == 1600
+    assert moved < 600_000  # rows would be over a megabyte
+    monkeypatch.setattr(module, "BROADCAST_BITS", 0)
+    s = Store(spark, f"file://{tmp_path}/joined")
+    assert [s.add(rows(0, 1000)), s.add(again), s.add(again)] == [1000, 600, 0] and s.read("entries").select("infohash").distinct().count() == 1600
