@@ -58,6 +58,16 @@ def entry_batches(rows: Iterator[codecs.Entry], size: int = 5000):
     yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def frame_batches(raw: bytes, size: int = 5000):
+    """Arrow batches of the entries of sync frames."""
+    import pyarrow as pa
+
+    for hashes, names, sizes, times, starts, paths, lengths in codecs.read_frame_columns(raw, size):
+        files = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], ["path", "size"])
+        columns = [pa.array(hashes, pa.binary()), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(times, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), files)]
+        yield pa.RecordBatch.from_arrays(columns, ["infohash", "name", "size", "discovered_at", "files"])
+
+
 def from_old_store(pairs: DataFrame) -> DataFrame:
     """Entries of the older store's export, rows (key, value); rows of other kinds and broken ones are left out."""
 
@@ -75,7 +85,7 @@ def from_frames(files: DataFrame) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for raw in batch.column(0):
-                yield from entry_batches(codecs.read_frames(raw.as_py()))
+                yield from frame_batches(raw.as_py())
 
     return files.select("content").mapInArrow(parse, DUMP)
 

@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from . import codecs
-from .datasource import DUMP, entry_batches
+from .datasource import DUMP, entry_batches, frame_batches
 
 SPLIT_BYTES = 16 << 20
 OFFSETS = "_offsets"
@@ -184,7 +184,7 @@ class FramesReader(DataSourceReader):
     def read(self, partition: Run) -> Iterator:
         for s in partition.splits:
             if s.path:
-                yield from entry_batches(codecs.read_frames(_bytes(s)))
+                yield from frame_batches(_bytes(s))
 
 
 class FramesStream(DataSourceStreamReader):
@@ -242,7 +242,7 @@ class FramesStream(DataSourceStreamReader):
 
     def read(self, partition: Run) -> Iterator:
         for s in partition.splits:
-            yield from entry_batches(codecs.read_frames(_bytes(s)))
+            yield from frame_batches(_bytes(s))
 
 
 def _bytes(split: Split) -> bytes:

@@ -107,3 +107,28 @@ def test_frames_resume_inside_a_file(spark, tmp_path):
     for split in (3000, 1 << 20):
         whole = spark.read.format("swarm_frames").option("splitBytes", split).load(f"file://{where}")
         assert names(whole) == want and (split > 3000 or whole.rdd.getNumPartitions() > 5)
+
+
+def test_frames_are_made_and_read_by_the_column(spark, tmp_path):
+    """Frames of built-in expressions are those of `write_frame`, byte for byte, and columns those of `read_frames`."""
+    from swarmlake.sources import datasource, sink
+
+    long, many = "é" * 40_000, [(f"p{i}", i) for i in range(70_000)]
+    found = [(b"\1" * 20, "a", 0, 0, []), (b"\2" * 20, long, (1 << 50) + 5, (1 << 32) - 1, [(long, 1 << 62), ("", 0), ("b/ü", 7)]), (b"\3" * 20, "many", 3, 4, many)]
+    rows = spark.createDataFrame([*found, (b"\4" * 20, "", 1, 1, []), (b"\5" * 20, None, 1, 1, [])], datasource.DUMP).coalesce(1)
+    want = b"".join(codecs.write_frame({"infohash": h, "name": n, "size": s, "discovered_at": t, "files": f}) for h, n, s, t, f in found)
+    plan = rows.select(sink.frame())._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    sink.write_frames(rows, f"file://{tmp_path}/f")
+    (made,) = (tmp_path / "f").glob("part-*")
+    assert made.read_bytes() == want + b"\0\0"
+    for size in (1, 2, 5000):
+        got = [r for b in datasource.frame_batches(made.read_bytes() + b"behind", size) for r in b.to_pylist()]
+        assert [r | {"files": [(f["path"], f["size"]) for f in r["files"]]} for r in got] == list(codecs.read_frames(want))
+    whole = codecs.write_frame({"infohash": b"\1" * 20, "name": "a", "size": 0, "discovered_at": 0, "files": [("x", 1)]})
+    for n in range(1, len(whole)):
+        with pytest.raises(codecs.Truncated):
+            list(codecs.read_frame_columns(whole[:n], 10))
+    for broken in ((b"\1" * 20, "a", 1, -1, []), (b"\1" * 20, "a", 1, 1 << 32, []), (None, "a", 1, 1, []), (b"\1" * 20, "a", 1, 1, [(None, 1)]), (b"\1" * 20, "a", 1, 1, [("x", None)])):
+        with pytest.raises(Exception, match="a frame has no null|32 bits"):
+            spark.createDataFrame([broken], datasource.DUMP).select(sink.frame()).collect()
