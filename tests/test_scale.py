@@ -109,3 +109,18 @@ def test_many_rows_are_not_shuffled(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(module, "BROADCAST_BITS", 0)
     s = Store(spark, f"file://{tmp_path}/joined")
     assert [s.add(rows(0, 1000)), s.add(again), s.add(again)] == [1000, 600, 0] and s.read("entries").select("infohash").distinct().count() == 1600
+
+
+def test_a_large_upsert_groups_no_rows(spark, tmp_path, monkeypatch):
+    """`upsert_stored` with both of its increments above BROADCAST_KEYS against its SQL, without first arrivals of whole rows."""
+    from swarmlake import store as module
+    from tests.test_oracle import plain
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for name in ("orders", "part", "customer", "lineitem", "documents"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    monkeypatch.setattr(module, "BROADCAST_KEYS", 100)
+    monkeypatch.setattr(module.catalog, "first_arrivals", None)
+    got = registry.QUERIES["upsert_stored"](spark, sf).toPandas()
+    assert plain(got).equals(plain(c.execute(registry.ORACLE_SQL["upsert_stored"]).df()))
