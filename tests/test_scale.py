@@ -124,3 +124,19 @@ def test_a_large_upsert_groups_no_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(module.catalog, "first_arrivals", None)
     got = registry.QUERIES["upsert_stored"](spark, sf).toPandas()
     assert plain(got).equals(plain(c.execute(registry.ORACLE_SQL["upsert_stored"]).df()))
+
+
+def test_entries_are_made_after_their_joins(spark):
+    """What entries are made of is shuffled, not hashes, names and lists of files: 131 bytes an order at sf0.01, before 169."""
+    from swarmlake.plans import corpus
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    made_of = corpus.entries(spark, "/root/testdata/sf0.01")
+    before = shuffled()
+    made_of.write.format("noop").mode("overwrite").save()
+    moved = (shuffled() - before) / spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    assert 0 < moved < 150
